@@ -9,5 +9,5 @@ from .dates import (  # noqa: F401
 from .ids import normalize_id, pad_then_normalize, trim_ws  # noqa: F401
 from .logic import (  # noqa: F401
     any_true, count_distinct_with_null, count_null, count_true, floor_at, if_else,
-    max_null_propagating, min_null_propagating, percent, yes_no,
+    max_null_propagating, min_null_propagating, percent, round_ratio, yes_no,
 )

@@ -30,17 +30,22 @@ def yes_no(c) -> Column:
     return col_of(c) == F.lit("Y")
 
 
-def percent(num, den, digits: int = 1) -> Column:
-    """``num / den * 100`` rounded half-to-even; zero denominator -> NULL.
+def round_ratio(num, den, digits: int = 1) -> Column:
+    """``num / den`` rounded half-to-even; zero denominator -> NULL.
 
     Computed in decimal so that a tie (x.x5 exactly) is detected exactly and
     rounds to even, and no floating error moves a value across a boundary.
+    decimal(18,0) operands keep 16+ fractional digits in the quotient, enough
+    to tell a true tie from its neighbours for denominators up to 1e14.
     """
-    # decimal(18,0) operands keep 16 fractional digits in the quotient, enough
-    # to tell a true tie from its neighbours for denominators up to 1e14.
     n = col_of(num).cast("decimal(18,0)")
     d = F.nullif(col_of(den).cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))
-    return F.bround(n * F.lit(100).cast("decimal(3,0)") / d, digits).cast("double")
+    return F.bround(n / d, digits).cast("double")
+
+
+def percent(num, den, digits: int = 1) -> Column:
+    """``num / den * 100`` rounded half-to-even to ``digits``; zero denominator -> NULL."""
+    return round_ratio(col_of(num).cast("long") * F.lit(100), den, digits)
 
 
 def any_true(*cols) -> Column:
