@@ -20,13 +20,26 @@ EXCEL_EPOCH = "1899-12-30"
 TWO_DIGIT_YEAR_PIVOT = 69
 
 
+def _mdy_to_ymd(x) -> Column:
+    """Rewrite ``M/D/YYYY`` and ``M/D/YY`` text to ``YYYY-M-D`` (other text unchanged).
+
+    Two-digit years from the pivot on are 19xx, below it 20xx.  Each step
+    reads the previous one once (see ``ids.normalize_id`` on why).
+    """
+    p = TWO_DIGIT_YEAR_PIVOT
+    hi = rf"(?:{p // 10}[{p % 10}-9]|[{p // 10 + 1}-9][0-9])" if p % 10 else rf"[{p // 10}-9][0-9]"
+    x = F.regexp_replace(x, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2")
+    x = F.regexp_replace(x, rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/({hi})$", "19$3-$1-$2")
+    return F.regexp_replace(x, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", "20$3-$1-$2")
+
+
 def parse_mdy(c) -> Column:
-    """``M/D/YYYY`` or ``M/D/YY``; anything else is NULL."""
-    x = col_of(c)
-    four = F.try_to_date(x, "M/d/yyyy")
-    two = F.try_to_date(x, "M/d/yy")  # Spark reads yy as 20yy
-    two = F.when(F.year(two) >= 2000 + TWO_DIGIT_YEAR_PIVOT, F.add_months(two, -1200)).otherwise(two)
-    return F.coalesce(four, two)
+    """``M/D/YYYY`` or ``M/D/YY``; anything else is NULL.
+
+    The text is rewritten to Y-M-D and parsed once: a valid value never
+    takes a failed-parse path (each failed ``try_to_date`` costs an exception).
+    """
+    return F.try_to_date(_mdy_to_ymd(col_of(c)), "yyyy-M-d")
 
 
 def parse_ymd(c) -> Column:
@@ -35,10 +48,12 @@ def parse_ymd(c) -> Column:
 
 
 def parse_mixed_date(c) -> Column:
-    """D3: trimmed text with ``/`` is M/D/Y, with ``-`` is Y-M-D, else NULL."""
-    x = trim_ws(c)
-    return (F.when(x.contains("/"), parse_mdy(x))
-            .when(x.contains("-"), parse_ymd(x)))
+    """D3: trimmed text with ``/`` is M/D/Y, with ``-`` is Y-M-D, else NULL.
+
+    M/D/Y text is rewritten to Y-M-D first, so one parse serves both forms;
+    text of neither form fails that parse and is NULL.
+    """
+    return F.try_to_date(_mdy_to_ymd(trim_ws(c)), "yyyy-M-d")
 
 
 def excel_serial_to_date(c) -> Column:
@@ -79,10 +94,23 @@ def era_timestamp(date_col, time_text, cutoff="2016-10-01") -> Column:
 
 def parse_mdy_hms(c, truncated: int = 0) -> Column:
     """``M/D/Y H:M:S``; with ``truncated`` up to that many trailing parts
-    (seconds, minutes, hours) may be missing."""
-    x = trim_ws(c)
-    patterns = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy H", "M/d/yyyy"]
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in patterns[: truncated + 1]])
+    (seconds, minutes, hours) may be missing.
+
+    Missing parts are filled with zeros by regex, then the text is parsed
+    once with the full pattern.
+    """
+    x = _mdy_to_ymd_dt(trim_ws(c))
+    fills = [(r"^(\S+ [0-9]{1,2}:[0-9]{1,2})$", "$1:00"),
+             (r"^(\S+ [0-9]{1,2})$", "$1:00:00"),
+             (r"^(\S+)$", "$1 0:00:00")]
+    for pattern, repl in fills[:truncated]:
+        x = F.regexp_replace(x, pattern, repl)
+    return F.try_to_timestamp(x, F.lit("yyyy-M-d H:mm:ss"))
+
+
+def _mdy_to_ymd_dt(x) -> Column:
+    """``M/D/YYYY[ rest]`` -> ``YYYY-M-D[ rest]``."""
+    return F.regexp_replace(x, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?=$| )", "$3-$1-$2")
 
 
 def minutes_between(start, end) -> Column:

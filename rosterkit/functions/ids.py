@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ._util import col_of
 
-# Unicode white space, as trimmed by the reference's string trim.
-_WS = r"\p{IsWhite_Space}"
+# The Unicode White_Space characters, trimmed from both ends.
+WHITE_SPACE = ("\t\n\u000b\u000c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # Letters and punctuation are deleted from IDs.  Symbols such as "$" or "+"
 # are not punctuation and stay (the id then fails the integer parse).
 _ALPHA_OR_PUNCT = r"[\p{IsAlphabetic}\p{P}]"
@@ -24,26 +25,32 @@ NULL_ID_TOKEN = "0000000000"
 
 
 def trim_ws(c) -> Column:
-    """Strip leading and trailing white space (all Unicode white space)."""
-    return F.regexp_replace(col_of(c), rf"^{_WS}+|{_WS}+$", "")
+    """Strip leading and trailing white space (all Unicode white space).
+
+    Built-in ``trim`` with an explicit character set: no regex per row.
+    """
+    return F.trim(col_of(c), F.lit(WHITE_SPACE))
 
 
 def normalize_id(c, width: int = 10) -> Column:
     """Clean a free-text person id to a ``width``-digit string or NULL.
 
     trim -> drop letters and punctuation -> blank is NULL -> keep the last
-    ``width`` characters -> a shorter value is parsed as an integer and
-    zero-padded (a value that does not parse, e.g. with an inner space, is
-    NULL) -> the all-zero id is NULL.
+    ``width`` characters -> a shorter value is parsed as an integer (blanks
+    around it and a leading ``+`` allowed) and zero-padded; one that does
+    not parse, e.g. with an inner space, is NULL -> the all-zero id is NULL.
+
+    Written as a chain in which every step reads the previous one exactly
+    once.  Catalyst inlines the expression wherever it pushes a filter on
+    the id (even into a join condition); a step that mentioned its input
+    several times would multiply the regex work per row.
     """
     stripped = F.regexp_replace(trim_ws(c), _ALPHA_OR_PUNCT, "")
-    # last `width` characters (the whole value when it is shorter)
-    tail = F.regexp_extract(stripped, rf"(?s)(.{{0,{width}}})$", 1)
-    n = F.length(tail)
-    padded = F.lpad(tail.try_cast("int").cast("string"), width, "0")
-    cleaned = (F.when(n == width, tail)
-               .when(n > 0, padded))
-    return F.nullif(cleaned, F.lit("0" * width))
+    tail = F.substring(stripped, -width, width)  # last `width` characters, or all of a shorter value
+    # a full-width value is kept as is; a shorter one keeps its integer digits;
+    # anything else becomes '' and then the all-zero id
+    kept = F.regexp_replace(tail, rf"(?s)^(?:(.{{{width}}})|\s*\+?([0-9]{{1,{width - 1}}})\s*|.*)$", "$1$2")
+    return F.nullif(F.lpad(kept, width, "0"), F.lit("0" * width))
 
 
 def pad_then_normalize(c, width: int = 10) -> Column:

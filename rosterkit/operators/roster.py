@@ -32,29 +32,54 @@ def person_spine(pairs: DataFrame, elig_attr: DataFrame, assessments: DataFrame,
 
     Columns: ``in_svs``, ``in_qi`` (booleans), ``has_sis`` (any assessment
     row), ``sis_completed_dt`` (latest date; NULL when any of the person's
-    dates is NULL or when there is none).
+    dates is NULL or when there is none) and ``providers``: the person's
+    eligible (provider, first, last service) structs.  That list is bounded
+    by the number of providers, not by the data: ``pairs`` is already one
+    row per (person, provider).  Carrying it here lets the claim-line
+    aggregate feed a single branch, so the claims are scanned and shuffled
+    once; the union is grouped with partial (map-side) aggregation.
     """
     nd = F.lit(None).cast("date")
-    svs = pairs.select(ID, F.lit(1).alias("_s"), F.lit(0).alias("_q"), F.lit(0).alias("_a"), nd.alias("_d"))
+    prov_t = F.struct(F.col("PROVIDER_NAME"), F.col("initial_service"), F.col("most_recent_service"))
+    no_prov = F.lit(None).cast(
+        "struct<PROVIDER_NAME:string,initial_service:date,most_recent_service:date>")
+    svs = pairs.select(ID, F.lit(1).alias("_s"), F.lit(0).alias("_q"), F.lit(0).alias("_a"), nd.alias("_d"),
+                       F.when(F.col("eligible_svs"), prov_t).otherwise(no_prov).alias("_p"))
     qi = (elig_attr.where(F.col(ID).isNotNull())
-          .select(ID, F.lit(0).alias("_s"), F.lit(1).alias("_q"), F.lit(0).alias("_a"), nd.alias("_d")))
+          .select(ID, F.lit(0).alias("_s"), F.lit(1).alias("_q"), F.lit(0).alias("_a"), nd.alias("_d"),
+                  no_prov.alias("_p")))
     a = assessments.where(F.col("mcaid_id").isNotNull())
     if cutoff is not None:
         a = a.where(F.col("sis_completed_dt") <= F.lit(cutoff))
     sis = a.select(F.col("mcaid_id").alias(ID), F.lit(0).alias("_s"), F.lit(0).alias("_q"), F.lit(1).alias("_a"),
-                   F.col("sis_completed_dt").alias("_d"))
+                   F.col("sis_completed_dt").alias("_d"), no_prov.alias("_p"))
     g = (svs.unionByName(qi).unionByName(sis).groupBy(ID)
          .agg(F.max("_s").alias("_s"), F.max("_q").alias("_q"), F.sum("_a").alias("_a"),
-              F.count("_d").alias("_n"), F.max("_d").alias("_d")))
+              F.count("_d").alias("_n"), F.max("_d").alias("_d"), F.collect_list("_p").alias("providers")))
     return g.select(
         ID,
         (F.col("_s") == 1).alias("in_svs"),
         (F.col("_q") == 1).alias("in_qi"),
         (F.col("_a") > 0).alias("has_sis"),
         F.when((F.col("_a") > 0) & (F.col("_a") == F.col("_n")), F.col("_d")).alias("sis_completed_dt"),
+        "providers",
     )
 
 
+def _explode_providers(spine: DataFrame, side=None) -> DataFrame:
+    """One row per eligible provider; one row with NULL provider when there is none.
+
+    ``side``: rows outside it get no provider rows (see ``build_fy_roster``).
+    """
+    provs = F.col("providers") if side is None else F.when(side, F.col("providers"))
+    x = spine.select("*", F.explode_outer(provs).alias("_p")).drop("providers")
+    return x.select(*[c for c in x.columns if c != "_p"],
+                    F.col("_p.PROVIDER_NAME").alias("PROVIDER_NAME"),
+                    F.col("_p.initial_service").alias("initial_service"),
+                    F.col("_p.most_recent_service").alias("most_recent_service"),
+                    F.when(F.col("_p").isNotNull(), F.lit(True)).alias("eligible_svs"))
+
+
 def _deferral_side(deferrals: DataFrame) -> DataFrame:
     return (deferrals.where(F.col(ID).isNotNull())
             .select(ID, "defer_date", "deferral", "deferral_active").distinct())
@@ -126,9 +151,7 @@ def build_roster(services: DataFrame, elig_attr: DataFrame, assessments: DataFra
     # precedes their join in the original) and are dropped by the filters
     # below, so the spine keeps the services / attribute side only.
     spine = spine.where(F.col("in_svs") | F.col("in_qi"))
-    elig = pairs.where(F.col("eligible_svs")).select(ID, "PROVIDER_NAME", "initial_service",
-                                                     "most_recent_service", "eligible_svs")
-    r = (spine.join(elig, ID, "left")
+    r = (_explode_providers(spine)
          .join(_deferral_side(deferrals), ID, "left")
          .select(ID, "PROVIDER_NAME", "initial_service", "most_recent_service",
                  F.coalesce("eligible_svs", F.lit(False)).alias("eligible_svs"),
@@ -158,10 +181,7 @@ def build_fy_roster(services: DataFrame, elig_attr: DataFrame, assessments: Data
     spine = person_spine(pairs, elig_attr, assessments, cutoff)
     spine = spine.where(F.col("in_svs") | F.col("in_qi") | F.col("has_sis"))
     side = F.col("in_svs") | F.col("in_qi")
-    elig = pairs.where(F.col("eligible_svs")).select(ID, "PROVIDER_NAME", "initial_service",
-                                                     "most_recent_service", "eligible_svs")
-    r = _left_join_on_side(spine, elig, side)
-    r = _left_join_on_side(r, _deferral_side(deferrals), side)
+    r = _left_join_on_side(_explode_providers(spine, side), _deferral_side(deferrals), side)
     on_side = F.col("in_svs") | F.col("in_qi")
     r = r.select(ID, "PROVIDER_NAME", "initial_service", "most_recent_service",
                  F.when(on_side, F.coalesce("eligible_svs", F.lit(False))).alias("eligible_svs"),

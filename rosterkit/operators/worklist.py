@@ -32,8 +32,8 @@ def worklist(roster: DataFrame, dense_priority: bool = False) -> DataFrame:
     row never carries two kept statuses of the same rank, so that equals:
     best rank per row (``least`` over the kept conditions), then rows whose
     best rank equals the person's minimum.  No 6x expansion, and the
-    per-person minimum is an aggregate joined back on (person, rank), so a
-    person's rows are never gathered in one task.
+    per-person minimum is an aggregate joined back on the person (one row
+    per person, no fan-out) rather than a window over the person's rows.
 
     ``dense_priority=True`` numbers the ranks among the statuses present in
     the result (the original's factor levels) instead of the fixed 1..5.
@@ -42,8 +42,10 @@ def worklist(roster: DataFrame, dense_priority: bool = False) -> DataFrame:
         *WORKLIST_COLUMNS, "sis_complete_any", "sis_overdue", "sis_coming90", "due_in_fy", "deferral_active")
     best = F.least(*[F.when(cond, F.lit(rank)) for rank, _, cond in _rank_candidates()])
     rows = base.withColumn("_rank", best).where(F.col("_rank").isNotNull())
-    person_min = rows.groupBy(ID).agg(F.min("_rank").alias("_rank"))
-    kept = rows.join(person_min, [ID, "_rank"], "left_semi")
+    # one row per person; joined on the person key alone, which the roster
+    # is already partitioned by, so neither side is shuffled again
+    person_min = rows.groupBy(ID).agg(F.min("_rank").alias("_min"))
+    kept = rows.join(person_min, ID).where(F.col("_rank") == F.col("_min"))
     label = F.element_at(F.array(*[F.lit(s) for _, s, _ in _rank_candidates()]), F.col("_rank"))
     out = kept.select(*WORKLIST_COLUMNS, label.alias("status"), label.alias("priority"),
                       F.col("_rank").cast("int").alias("n_priority"))
