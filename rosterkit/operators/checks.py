@@ -1,31 +1,43 @@
-"""Reconciliation and coverage checks."""
+"""Reconciliation and coverage checks.
+
+Each check reads the roster once: per-person facts are computed on the
+person key (the roster is partitioned by it) instead of joining the roster
+with a worklist derived from the same roster.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import any_true, count_distinct_with_null, count_null, min_null_propagating
 from .cohorts import ID
+from .worklist import row_priority
+
+FLAGS = ("sis_overdue", "sis_coming90", "due_in_fy")
 
 
-def flagged_not_in_worklist(roster: DataFrame, worklist: DataFrame) -> DataFrame:
+def flagged_not_in_worklist(roster: DataFrame) -> DataFrame:
     """M24 rows: roster rows of people absent from the worklist with an upcoming / overdue flag."""
-    ids = worklist.select(ID).distinct()
-    return (roster.join(ids, roster[ID].eqNullSafe(ids[ID]), "left_anti")
-            .where(any_true("sis_overdue", "sis_coming90", "due_in_fy")))
+    cols = roster.columns
+    in_work = F.max(F.col("_rank").isNotNull()).over(Window.partitionBy(ID))
+    return (row_priority(roster).withColumn("_in_work", in_work)
+            .where(~F.col("_in_work") & any_true(*FLAGS)).select(*cols))
 
 
-def reconcile(roster: DataFrame, worklist: DataFrame) -> DataFrame:
-    """M24 counts: people missing from the worklist; worklist ids; worklist ids also in the roster."""
-    missing = flagged_not_in_worklist(roster, worklist)
-    w_ids = worklist.select(ID).distinct()
-    both = w_ids.intersect(roster.select(ID).distinct())
-    return missing.agg(count_distinct_with_null(ID).alias("n_people_missing"),
-                       F.count(F.lit(1)).alias("n_rows_missing")).select(
-        "n_people_missing", "n_rows_missing",
-        w_ids.agg(F.count(F.lit(1))).scalar().alias("n_worklist_ids"),
-        both.agg(F.count(F.lit(1))).scalar().alias("n_worklist_ids_in_roster"))
+def reconcile(roster: DataFrame) -> DataFrame:
+    """M24 counts: people and rows missing from the worklist; worklist ids; worklist ids in the roster."""
+    per_person = row_priority(roster).groupBy(ID).agg(
+        F.bool_or(F.col("_rank").isNotNull()).alias("in_work"),
+        F.count_if(any_true(*FLAGS)).alias("n_flagged"))
+    missing = ~F.col("in_work") & (F.col("n_flagged") > 0)
+    return per_person.agg(
+        F.count_if(missing).alias("n_people_missing"),
+        F.coalesce(F.sum(F.when(missing, F.col("n_flagged"))), F.lit(0)).alias("n_rows_missing"),
+        F.count_if("in_work").alias("n_worklist_ids"),
+        # every worklist person is a roster person by construction; counted on the roster's ids
+        F.count_if(F.col("in_work") & F.col(ID).isNotNull()).alias("n_worklist_ids_in_roster"))
 
 
 def ids_without_admission(ids: DataFrame, admissions: DataFrame) -> DataFrame:
@@ -34,28 +46,43 @@ def ids_without_admission(ids: DataFrame, admissions: DataFrame) -> DataFrame:
     return ids.select(ID).subtract(adm)
 
 
-def coverage_gap(services: DataFrame, worklist: DataFrame, admissions: DataFrame) -> DataFrame:
+def coverage_gap(services: DataFrame, roster: DataFrame, admissions: DataFrame) -> DataFrame:
     """One row of coverage-gap metrics.
 
-    Service ids and worklist ids without an admission record, the service
-    date span of the worklist gap (semi join, J7), the overall first service
-    date and the NULL counts of the admission table.  Dates use
-    NULL-propagating min/max, as the original writes them without removing
-    missing values.
+    Service ids and worklist ids without an admission record (set
+    difference; a NULL id is one value), the service-date span of the
+    worklist gap, the overall first service date and the NULL counts of the
+    admission table.  Dates use NULL-propagating min/max, as the original
+    writes them without removing missing values.
+
+    One shuffle: services (pre-aggregated per person), worklist persons and
+    admission rows are unioned and grouped by person; a global aggregate
+    then yields the row.
     """
-    svs_gap = ids_without_admission(services, admissions)
-    work_gap = ids_without_admission(worklist, admissions)
-    gap_rows = services.join(work_gap, services[ID].eqNullSafe(work_gap[ID]), "left_semi")
-    span = gap_rows.agg(min_null_propagating("FROM_DATE").alias("a"),
-                        F.max(F.col("FROM_DATE")).alias("b"), F.count(F.lit(1)).alias("n"),
-                        F.count("FROM_DATE").alias("m"))
-    adm = admissions.agg(count_null("medicaid_id").alias("n_null_admission_id"),
-                         count_null("agency_admission_date").alias("n_null_admission_date"))
-    first_service = services.agg(min_null_propagating("FROM_DATE")).scalar()
-    return adm.select(
-        svs_gap.agg(F.count(F.lit(1))).scalar().alias("n_service_ids_without_admission"),
-        work_gap.agg(F.count(F.lit(1))).scalar().alias("n_worklist_ids_without_admission"),
-        span.select("a").scalar().alias("gap_first_service"),
-        span.select(F.when(F.col("n") == F.col("m"), F.col("b"))).scalar().alias("gap_last_service"),
-        first_service.alias("first_service"),
-        "n_null_admission_id", "n_null_admission_date")
+    nd = F.lit(None).cast("date")
+    z = F.lit(0).cast("long")
+    svs = (services.groupBy(ID).agg(F.count(F.lit(1)).alias("_n"), F.count("FROM_DATE").alias("_nd"),
+                                    F.min("FROM_DATE").alias("_mn"), F.max("FROM_DATE").alias("_mx"))
+           .select(ID, F.lit(1).alias("_s"), F.lit(0).alias("_w"), F.lit(0).alias("_a"), "_n", "_nd", "_mn", "_mx",
+                   z.alias("_adm_null_date")))
+    work = (row_priority(roster).where(F.col("_rank").isNotNull()).select(ID).distinct()
+            .select(ID, F.lit(0).alias("_s"), F.lit(1).alias("_w"), F.lit(0).alias("_a"), z.alias("_n"),
+                    z.alias("_nd"), nd.alias("_mn"), nd.alias("_mx"), z.alias("_adm_null_date")))
+    adm = admissions.select(F.col("medicaid_id").alias(ID), F.lit(0).alias("_s"), F.lit(0).alias("_w"),
+                            F.lit(1).alias("_a"), z.alias("_n"), z.alias("_nd"), nd.alias("_mn"), nd.alias("_mx"),
+                            F.col("agency_admission_date").isNull().cast("long").alias("_adm_null_date"))
+    p = (svs.unionByName(work).unionByName(adm).groupBy(ID)
+         .agg(F.max("_s").alias("s"), F.max("_w").alias("w"), F.sum("_a").alias("a"),
+              F.sum("_n").alias("n"), F.sum("_nd").alias("nd"), F.min("_mn").alias("mn"), F.max("_mx").alias("mx"),
+              F.sum("_adm_null_date").alias("adm_null_date")))
+    in_svs, in_work, in_adm = F.col("s") == 1, F.col("w") == 1, F.col("a") > 0
+    gap = in_work & ~in_adm & in_svs
+    complete = F.col("n") == F.col("nd")
+    return p.agg(
+        F.count_if(in_svs & ~in_adm).alias("n_service_ids_without_admission"),
+        F.count_if(in_work & ~in_adm).alias("n_worklist_ids_without_admission"),
+        F.when(F.count_if(gap & ~complete) == 0, F.min(F.when(gap, F.col("mn")))).alias("gap_first_service"),
+        F.when(F.count_if(gap & ~complete) == 0, F.max(F.when(gap, F.col("mx")))).alias("gap_last_service"),
+        F.when(F.count_if(in_svs & ~complete) == 0, F.min(F.when(in_svs, F.col("mn")))).alias("first_service"),
+        F.coalesce(F.sum(F.when(F.col(ID).isNull(), F.col("a"))), F.lit(0)).cast("long").alias("n_null_admission_id"),
+        F.coalesce(F.sum("adm_null_date"), F.lit(0)).cast("long").alias("n_null_admission_date"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import floor_month, round_ratio
 from .schema import pivot_counts, row_sum, safe_name
@@ -14,10 +15,14 @@ from .schema import pivot_counts, row_sum, safe_name
 def trailing_window(monthly: DataFrame, days: int = 365) -> DataFrame:
     """Monthly rows from the month of (latest month - ``days``) on.
 
-    The latest month is a scalar subquery (one value, computed once).
+    The latest month is a window over the whole monthly table, which is
+    bounded by providers x months (not by the data volume); the table is
+    read once.
     """
-    latest = monthly.agg(F.max("month_complete")).scalar()
-    return monthly.where(F.col("month_complete") >= floor_month(F.date_sub(latest, days)))
+    latest = F.max("month_complete").over(Window.partitionBy())
+    return (monthly.withColumn("_latest", latest)
+            .where(F.col("month_complete") >= floor_month(F.date_sub(F.col("_latest"), days)))
+            .drop("_latest"))
 
 
 def trailing_months(monthly: DataFrame, days: int = 365) -> DataFrame:
@@ -25,20 +30,37 @@ def trailing_months(monthly: DataFrame, days: int = 365) -> DataFrame:
     return trailing_window(monthly, days).groupBy("month_complete").agg(F.sum("n").alias("n"))
 
 
-def narrative_metrics(summary: DataFrame, monthly: DataFrame, days: int = 365) -> DataFrame:
+def month_facts(roster: DataFrame) -> DataFrame:
+    """Per completion month (NULL month included): completions of eligible rows and rows due this FY.
+
+    Bounded by the number of months; the inputs of M19/M20 in one roster pass.
+    """
+    r = roster.where(F.col("PROVIDER_NAME").isNotNull())
+    return r.groupBy(floor_month("sis_completed_dt").alias("month_complete")).agg(
+        F.count_if("sis_complete_elig").alias("n"),
+        F.count_if(F.col("sis_eligible") & F.col("due_in_fy")).alias("n_due"))
+
+
+def narrative_metrics(roster: DataFrame, days: int = 365) -> DataFrame:
     """One row: total due this FY, that over 12, last month's count, mean per month.
 
-    "Last month" is the latest month with data; the mean is over months
-    that have completions (no zero months), as in the original.
+    "Last month" is the latest month with completions; the mean is over
+    months that have completions (no zero months), as in the original.  The
+    total due equals the summary's total row (eligible rows with a provider
+    due this FY).  Computed from ``month_facts``: one roster pass.
     """
-    per_mo = trailing_months(monthly, days)
-    needed = summary.where(F.col("is_total") == 1).agg(F.max("due_in_fy")).scalar()
+    m = month_facts(roster)
+    whole = Window.partitionBy()
+    m = m.withColumns({"_needed": F.sum("n_due").over(whole),
+                       "_latest": F.max(F.when(F.col("n") > 0, F.col("month_complete"))).over(whole)})
+    per_mo = m.where((F.col("n") > 0) & (F.col("month_complete") >= floor_month(F.date_sub("_latest", days))))
     return per_mo.agg(
+        F.max("_needed").alias("needed"),
+        round_ratio(F.max("_needed"), F.lit(12), 1).alias("needed_per_month"),
+        F.max("month_complete").alias("last_month"),
         F.max_by("n", "month_complete").alias("last_month_n"),
         round_ratio(F.sum("n"), F.count(F.lit(1)), 1).alias("mean_per_month"),
-        F.max("month_complete").alias("last_month"),
-    ).select(needed.alias("needed"), round_ratio(needed, F.lit(12), 1).alias("needed_per_month"),
-             "last_month", "last_month_n", "mean_per_month")
+    )
 
 
 def priority_crosstab(worklist: DataFrame, providers: Sequence[str] | None = None,

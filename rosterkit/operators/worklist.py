@@ -24,6 +24,15 @@ def _rank_candidates():
     ]
 
 
+def row_priority(roster: DataFrame) -> DataFrame:
+    """Roster rows with ``_rank``: the row's best kept status rank (NULL: nothing to do).
+
+    Rows without a provider never enter the worklist.
+    """
+    best = F.least(*[F.when(cond, F.lit(rank)) for rank, _, cond in _rank_candidates()])
+    return roster.withColumn("_rank", F.when(F.col("PROVIDER_NAME").isNotNull(), best))
+
+
 def worklist(roster: DataFrame, dense_priority: bool = False) -> DataFrame:
     """Each person's highest-priority open issue, one row per roster row that has it.
 
@@ -31,21 +40,16 @@ def worklist(roster: DataFrame, dense_priority: bool = False) -> DataFrame:
     drops excluded labels and keeps the rows at the person's best rank.  A
     row never carries two kept statuses of the same rank, so that equals:
     best rank per row (``least`` over the kept conditions), then rows whose
-    best rank equals the person's minimum.  No 6x expansion, and the
-    per-person minimum is an aggregate joined back on the person (one row
-    per person, no fan-out) rather than a window over the person's rows.
+    best rank equals the person's minimum.  No 6x expansion.  The minimum is
+    a window on the person key, which the roster is already partitioned by:
+    no extra shuffle, and the roster is computed once.
 
     ``dense_priority=True`` numbers the ranks among the statuses present in
     the result (the original's factor levels) instead of the fixed 1..5.
     """
-    base = roster.where(F.col("PROVIDER_NAME").isNotNull()).select(
-        *WORKLIST_COLUMNS, "sis_complete_any", "sis_overdue", "sis_coming90", "due_in_fy", "deferral_active")
-    best = F.least(*[F.when(cond, F.lit(rank)) for rank, _, cond in _rank_candidates()])
-    rows = base.withColumn("_rank", best).where(F.col("_rank").isNotNull())
-    # one row per person; joined on the person key alone, which the roster
-    # is already partitioned by, so neither side is shuffled again
-    person_min = rows.groupBy(ID).agg(F.min("_rank").alias("_min"))
-    kept = rows.join(person_min, ID).where(F.col("_rank") == F.col("_min"))
+    rows = row_priority(roster).where(F.col("_rank").isNotNull())
+    kept = (rows.withColumn("_min", F.min("_rank").over(Window.partitionBy(ID)))
+            .where(F.col("_rank") == F.col("_min")))
     label = F.element_at(F.array(*[F.lit(s) for _, s, _ in _rank_candidates()]), F.col("_rank"))
     out = kept.select(*WORKLIST_COLUMNS, label.alias("status"), label.alias("priority"),
                       F.col("_rank").cast("int").alias("n_priority"))

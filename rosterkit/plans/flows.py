@@ -122,19 +122,24 @@ class Run:
         return reports.trailing_months(self.monthly)
 
     def narrative(self) -> DataFrame:
-        return reports.narrative_metrics(self.summary, self.monthly)
+        return reports.narrative_metrics(self.roster)
+
+    @cached_property
+    def providers(self) -> list[str]:
+        """Provider labels from the provider dimension (a handful of rows), in key order."""
+        return standin.provider_labels(self.spark, self.sf_dir, self.cfg.provider_recode)
 
     def crosstab(self) -> DataFrame:
-        return reports.priority_crosstab(self.worklist)
+        return reports.priority_crosstab(self.worklist, self.providers)
 
     def reconcile_rows(self) -> DataFrame:
-        return checks.flagged_not_in_worklist(self.roster, self.worklist)
+        return checks.flagged_not_in_worklist(self.roster)
 
     def reconcile_counts(self) -> DataFrame:
-        return checks.reconcile(self.roster, self.worklist)
+        return checks.reconcile(self.roster)
 
     def coverage_gap(self) -> DataFrame:
-        return checks.coverage_gap(self.services, self.worklist, self.admissions)
+        return checks.coverage_gap(self.services, self.roster, self.admissions)
 
     def overlap(self, count_null_id: bool = False) -> DataFrame:
         from ..config import OVERLAP_LABELS

@@ -99,6 +99,18 @@ def raw_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def provider_labels(spark: SparkSession, sf_dir: str, recode_map=STANDIN_PROVIDER_RECODE) -> list[str]:
+    """Clean provider labels of the provider dimension (the region table), in key order.
+
+    A dimension of a handful of rows: collecting it gives the column header
+    of the provider cross-tab without a pass over the facts.
+    """
+    from ..operators.schema import recode
+    r = table(spark, sf_dir, "region")
+    lab = recode(F.concat_ws("-", F.col("r_regionkey").cast("string"), F.col("r_name")), recode_map)
+    return [row[0] for row in r.orderBy("r_regionkey").select(lab).collect()]
+
+
 def raw_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality-indicator file: one row per customer."""
     c = table(spark, sf_dir, "customer")
