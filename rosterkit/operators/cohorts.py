@@ -72,16 +72,21 @@ def service_person_provider(services: DataFrame, codes: Sequence[str], payers: S
     One aggregation serves both the roster's person spine (every person
     with any service) and ``eligible_by_service`` (pairs with
     ``eligible_svs``), so the claim lines are scanned and shuffled once.
-    NULL ids are dropped first: they never reach the roster.
+    NULL ids never reach the roster.
     """
     flag = eligible_service_flag(services, codes, payers, cutoff)
     d = F.col("FROM_DATE")
-    return (services.where(F.col(ID).isNotNull())
+    # The NULL id group is dropped through an aggregate output: a filter on
+    # the id itself would be pushed below the aggregate and inlined (with the
+    # whole id-cleaning expression) into the scan side, cleaning every id twice.
+    return (services
             .select(ID, "PROVIDER_NAME", F.coalesce(flag, F.lit(False)).alias("_elig"), d.alias("_d"))
             .groupBy(ID, "PROVIDER_NAME")
             .agg(F.bool_or("_elig").alias("eligible_svs"),
                  F.min(F.when(F.col("_elig"), F.col("_d"))).alias("initial_service"),
-                 F.max(F.when(F.col("_elig"), F.col("_d"))).alias("most_recent_service")))
+                 F.max(F.when(F.col("_elig"), F.col("_d"))).alias("most_recent_service"),
+                 F.bool_or(F.col(ID).isNotNull()).alias("_has_id"))
+            .where(F.col("_has_id")).drop("_has_id"))
 
 
 # -- M3 / M4: attributes -----------------------------------------------------------
