@@ -72,9 +72,9 @@ def count_true(c) -> Column:
 
 
 def count_distinct_with_null(c) -> Column:
-    """Exact distinct count where NULL counts as one value."""
+    """Exact distinct count where NULL counts as one value (0 for no rows)."""
     x = col_of(c)
-    return F.count_distinct(x) + F.max(x.isNull().cast("int"))
+    return F.count_distinct(x) + F.coalesce(F.max(x.isNull().cast("int")), F.lit(0))
 
 
 def count_null(c) -> Column:

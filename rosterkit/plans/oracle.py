@@ -440,7 +440,7 @@ FINAL = {
         SELECT * FROM roster r
         WHERE NOT EXISTS (SELECT 1 FROM worklist w WHERE w.MEDICAID_ID IS NOT DISTINCT FROM r.MEDICAID_ID)
           AND (sis_overdue OR sis_coming90 OR due_in_fy))
-      SELECT count(DISTINCT MEDICAID_ID) + max(CASE WHEN MEDICAID_ID IS NULL THEN 1 ELSE 0 END) AS n_people_missing,
+      SELECT count(DISTINCT MEDICAID_ID) + coalesce(max(CASE WHEN MEDICAID_ID IS NULL THEN 1 ELSE 0 END), 0) AS n_people_missing,
         count(*) AS n_rows_missing,
         (SELECT count(DISTINCT MEDICAID_ID) FROM worklist) AS n_worklist_ids,
         (SELECT count(*) FROM (SELECT MEDICAID_ID FROM worklist INTERSECT SELECT MEDICAID_ID FROM roster))
@@ -506,7 +506,7 @@ FINAL = {
       SELECT * FROM p UNION ALL
       SELECT {TOTAL}, CAST(sum(n_claims) AS BIGINT), CAST(sum(n_eligible_claims) AS BIGINT), 1 FROM p""",
     "distinct_with_null": """SELECT PROVIDER_NAME,
-        count(DISTINCT MEDICAID_ID) + max(CASE WHEN MEDICAID_ID IS NULL THEN 1 ELSE 0 END) AS n_people
+        count(DISTINCT MEDICAID_ID) + coalesce(max(CASE WHEN MEDICAID_ID IS NULL THEN 1 ELSE 0 END), 0) AS n_people
       FROM svs GROUP BY PROVIDER_NAME""",
     "null_counts": """SELECT PROVIDER_NAME, count(*) FILTER (WHERE MEDICAID_ID IS NULL) AS n_null_id, count(*) AS n_rows
       FROM svs GROUP BY PROVIDER_NAME""",

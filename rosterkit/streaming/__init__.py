@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The workflow this library rebuilds is batch only: every input is a file
+extract read in full for one ``as_of`` date, and no step keeps state across
+runs, watches a source or handles late data.  There is nothing to express
+with Structured Streaming, so no streaming operator is provided (see
+README, "What is not built").
+"""
