@@ -380,6 +380,8 @@ FINAL = {
     # marts
     "services_clean": "SELECT clm_id, MEDICAID_ID, PROVIDER_NAME, CPT_CD, MEDICAID, FROM_DATE, THRU_DATE, "
                       "HAB_WAIVER, HMP_ELIG, HMP_BUCKET FROM svs",
+    "services_via_files": "SELECT clm_id, MEDICAID_ID, PROVIDER_NAME, CPT_CD, MEDICAID, FROM_DATE, THRU_DATE, "
+                          "HAB_WAIVER, HMP_ELIG, HMP_BUCKET FROM svs",
     "service_eligibility": "SELECT * FROM elig_svs",
     "attributes_clean": "SELECT MEDICAID_ID, DISABILITYDD, MOBILITY, PERSONAL, SUPPORT_SYSTEM, DATE_OF_BIRTH FROM attrs",
     "attribute_eligibility": "SELECT * FROM elig_qi",
@@ -398,6 +400,8 @@ FINAL = {
                          "sis_complete_elig, sis_complete_inel, sis_complete_any FROM roster",
     "worklist": "SELECT * FROM worklist",
     "completion_summary": "SELECT * FROM summary",
+    "worklist_split_files": "SELECT * FROM worklist",
+    "summary_dated_csv": "SELECT * FROM summary",
     "monthly_completions": "SELECT * FROM monthly",
     "fy_roster": "SELECT MEDICAID_ID, PROVIDER_NAME, initial_service, most_recent_service, eligible_svs, "
                  "eligible_qi, defer_date, deferral, deferral_active, sis_completed_dt, sis_eligible, "
@@ -412,6 +416,16 @@ FINAL = {
     "fy_summary": f"""SELECT PROVIDER_NAME, denominator, completed, overdue, completed - overdue AS numerator,
         {pct('completed - overdue', 'denominator')} AS percent_complete, CAST(is_total AS INTEGER) AS is_total
       FROM fy_s2""",
+    "fy_worklist_numbered": """SELECT row_number() OVER (ORDER BY most_recent_service DESC NULLS LAST,
+          MEDICAID_ID ASC NULLS LAST, PROVIDER_NAME ASC NULLS LAST, initial_service ASC NULLS LAST,
+          status ASC NULLS LAST) AS "row", MEDICAID_ID, PROVIDER_NAME, initial_service, most_recent_service, status
+      FROM (SELECT MEDICAID_ID, PROVIDER_NAME, initial_service, most_recent_service, status FROM (
+        SELECT *, CASE WHEN sis_complete = FALSE THEN 'Initial SIS Needed'
+                       WHEN sis_overdue THEN 'Reassessment Overdue'
+                       WHEN sis_coming30 THEN 'Reassessment Due in 30 Days' END AS status
+        FROM fy_roster
+        WHERE sis_eligible AND deferral = FALSE AND (sis_complete = FALSE OR sis_overdue OR sis_coming30))
+      WHERE status IN ('Initial SIS Needed', 'Reassessment Overdue'))""",
     "trailing_months": "SELECT * FROM per_mo",
     "narrative_metrics": f"""SELECT (SELECT max(due_in_fy) FROM summary WHERE is_total = 1) AS needed,
         {rr('(SELECT max(due_in_fy) FROM summary WHERE is_total = 1)', '12')} AS needed_per_month,

@@ -43,6 +43,29 @@ def q_services_clean(spark, d):
         "HAB_WAIVER", "HMP_ELIG", "HMP_BUCKET")
 
 
+@query("services_via_files")  # S2, S4, S7 (header), S8 + M1 on files written from the tables
+def q_services_via_files(spark, d):
+    """Round trip: the claim extract is written as preamble CSV files (closed years and current
+    period in two folders, several files per provider) into the shared checkpoint folder, then read
+    back with the preamble-skipping reader and cleaned."""
+    import uuid
+
+    from ..session import checkpoint_path
+    from ..sources import files
+    r = _run(spark, d)
+    raw = r.raw_services.drop("NOTE:")
+    base = checkpoint_path(spark, f"services-extract-{uuid.uuid4().hex}")
+    preamble = ["Services report", "Source: claims", "", "Parameters:", "  all providers", "", "Generated"]
+    closed = F.substring(F.col("`THRU DATE`"), 1, 4) < F.lit(str(r.cfg.as_of.year))
+    key = F.concat_ws("-", F.col("`PROVIDER NAME`"), F.pmod(F.xxhash64(F.col("`CLM ID`")), F.lit(4)).cast("string"))
+    paths = [files.write_with_preamble(raw.where(closed), f"{base}/complete_years", preamble, key),
+             files.write_with_preamble(raw.where(~closed), f"{base}/current", preamble, key)]
+    back = files.read_many(spark, paths, skip=len(preamble), keep_source=False)
+    return cohorts.prep_services(back, r.cfg.provider_recode).select(
+        F.col("CLM_ID").alias("clm_id"), ID, "PROVIDER_NAME", "CPT_CD", "MEDICAID", "FROM_DATE", "THRU_DATE",
+        "HAB_WAIVER", "HMP_ELIG", "HMP_BUCKET")
+
+
 @query("service_eligibility")  # M2
 def q_service_eligibility(spark, d):
     return _run(spark, d).elig_svs
@@ -109,6 +132,29 @@ def q_worklist(spark, d):
     return _run(spark, d).worklist
 
 
+@query("worklist_split_files")  # K2 + M13: one ordered CSV folder per provider, read back
+def q_worklist_split_files(spark, d):
+    import uuid
+
+    from ..session import checkpoint_path
+    from ..sources.sinks import write_split
+    w = _run(spark, d).worklist
+    base = write_split(w, "PROVIDER_NAME", checkpoint_path(spark, f"worklist-split-{uuid.uuid4().hex}"),
+                       "most_recent_service")
+    return spark.read.option("header", True).schema(w.schema).csv(f"{base}/*/*.csv")
+
+
+@query("summary_dated_csv")  # K1 + M14: date-stamped CSV, read back
+def q_summary_dated_csv(spark, d):
+    import uuid
+
+    from ..session import checkpoint_path
+    from ..sources.sinks import write_csv
+    r = _run(spark, d)
+    path = write_csv(r.summary, checkpoint_path(spark, f"summary-{uuid.uuid4().hex}"), r.cfg.as_of)
+    return spark.read.option("header", True).schema(r.summary.schema).csv(path)
+
+
 @query("completion_summary")  # M14
 def q_completion_summary(spark, d):
     return _run(spark, d).summary
@@ -134,6 +180,16 @@ def q_fy_summary(spark, d):
     return _run(spark, d).fy_summary
 
 
+@query("fy_worklist_numbered")  # M17 + K3 (row names), O1 order
+def q_fy_worklist_numbered(spark, d):
+    from ..sources.sinks import with_row_number
+    w = _run(spark, d).fy_worklist
+    order = [F.col("most_recent_service").desc_nulls_last(), F.col(ID).asc_nulls_last(),
+             F.col("PROVIDER_NAME").asc_nulls_last(), F.col("initial_service").asc_nulls_last(),
+             F.col("status").asc_nulls_last()]
+    return with_row_number(w, order, "row")
+
+
 @query("trailing_months")  # M19
 def q_trailing_months(spark, d):
     return _run(spark, d).trailing_months()

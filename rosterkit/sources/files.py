@@ -14,7 +14,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -67,3 +67,27 @@ def read_many(spark: SparkSession, paths: Sequence[str], skip: int = 0, dedupe:
 def load_audit(df: DataFrame) -> DataFrame:
     """Rows loaded per source file."""
     return df.groupBy(SOURCE_FILE).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def write_with_preamble(df: DataFrame, path: str, preamble: Sequence[str], file_key: Column | None = None,
+                        sep: str = ",") -> str:
+    """Write ``df`` as CSV text files that start with ``preamble`` lines and a header.
+
+    The layout ``read_many`` reads (used to round-trip extracts in tests and
+    in the ``services_via_files`` query).  ``file_key`` splits rows into
+    files (one file per key, under ``path/_file=<key>/``); choose it so that
+    no key is unbounded.  Every file gets its own preamble and header; lines
+    are ordered inside each file by a sequence number.  Returns a glob of the
+    written files.
+    """
+    cols = df.columns
+    header = sep.join('"' + c.replace('"', '""') + '"' if (sep in c or '"' in c) else c for c in cols)
+    key = file_key if file_key is not None else F.lit("part")
+    data = df.select(key.cast("string").alias("_file"), F.lit(len(preamble) + 1).alias("_seq"),
+                     F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]), {"sep": sep}).alias("_line"))
+    heads = (data.select("_file").distinct()
+             .select("_file", F.posexplode(F.array(*[F.lit(x) for x in [*preamble, header]])).alias("_seq", "_line")))
+    lines = heads.unionByName(data.select("_file", "_seq", "_line"))
+    (lines.repartition("_file").sortWithinPartitions("_file", "_seq")
+     .select("_file", "_line").write.mode("overwrite").partitionBy("_file").text(path))
+    return f"{path}/*/*.txt"

@@ -54,6 +54,8 @@ def with_row_number(df: DataFrame, order_by: Sequence, name: str = "row") -> Dat
     then each partition is offset by the row count of the partitions before
     it (a table with one row per partition: a proven bound for the broadcast).
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     keys = list(order_by)
     pid = F.spark_partition_id()
     x = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)

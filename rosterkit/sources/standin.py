@@ -79,9 +79,11 @@ def raw_services(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(ln == 7, F.lit("N/A"))
               .otherwise(F.lpad(k, 10, "0")))
     ship = F.col("l_shipdate").cast("date")
-    from_text = (F.when(ln == 4, F.date_format(ship, "MM/dd/yy"))
-                 .when(ln.isin(1, 3, 5), F.date_format(ship, "M/d/yyyy"))
-                 .otherwise(F.date_format(ship, "yyyy-MM-dd")))
+    iso = ship.cast("string")  # yyyy-MM-dd
+    mon, day = F.month(ship).cast("string"), F.dayofmonth(ship).cast("string")
+    from_text = (F.when(ln == 4, F.concat_ws("/", F.lpad(mon, 2, "0"), F.lpad(day, 2, "0"), F.substring(iso, 3, 2)))
+                 .when(ln.isin(1, 3, 5), F.concat_ws("/", mon, day, F.substring(iso, 1, 4)))
+                 .otherwise(iso))
     yn = lambda c: F.when(c, F.lit("Y")).otherwise(F.lit("N"))
     return x.select(
         raw_id.alias("MEDICAID ID"),
@@ -91,7 +93,7 @@ def raw_services(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("PRV ID"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), ln.cast("string")).alias("CLM ID"),
         from_text.alias("FROM DATE"),
-        F.date_format(ship, "yyyy-MM-dd").alias("THRU DATE"),
+        iso.alias("THRU DATE"),
         yn(F.col("l_returnflag") == "R").alias("HAB WAIVER"),
         yn(F.col("l_linestatus") == "O").alias("HMP ELIG"),
         yn(F.col("l_discount") >= 0.05).alias("HMP BUCKET"),
