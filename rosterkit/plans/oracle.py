@@ -509,11 +509,10 @@ FINAL = {
     "unpivot_flags": "SELECT MEDICAID_ID, PROVIDER_NAME, agency_admission_date, most_recent_service, due_by_dt, "
                      "sis_completed_dt, field, val FROM w1",
     "pivot_counts": """SELECT PROVIDER_NAME,
-        count(*) FILTER (WHERE CPT_CD = '1-URGENT') AS n_1_urgent, count(*) FILTER (WHERE CPT_CD = '2-HIGH') AS n_2_high,
-        count(*) FILTER (WHERE CPT_CD = '3-MEDIUM') AS n_3_medium,
-        count(*) FILTER (WHERE CPT_CD = '4-NOT SPECIFIED') AS n_4_not_specified,
-        count(*) FILTER (WHERE CPT_CD = '5-LOW') AS n_5_low, count(*) AS n_all
-      FROM svs GROUP BY PROVIDER_NAME""",
+        count(*) FILTER (WHERE n_priority = 1) AS n_rank_1, count(*) FILTER (WHERE n_priority = 2) AS n_rank_2,
+        count(*) FILTER (WHERE n_priority = 3) AS n_rank_3, count(*) FILTER (WHERE n_priority = 4) AS n_rank_4,
+        count(*) FILTER (WHERE n_priority = 5) AS n_rank_5, count(*) AS n_all
+      FROM worklist GROUP BY PROVIDER_NAME""",
     "rollup_total": f"""WITH p AS (SELECT PROVIDER_NAME, count(*) AS n_claims,
           count(*) FILTER (WHERE CPT_CD IN ('1-URGENT', '2-HIGH')) AS n_eligible_claims, 0 AS is_total
         FROM svs GROUP BY PROVIDER_NAME)

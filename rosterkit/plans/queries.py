@@ -353,12 +353,15 @@ def q_unpivot_flags(spark, d):
 
 @query("pivot_counts")  # R2, A11
 def q_pivot_counts(spark, d):
-    s = _run(spark, d).services
-    counts = s.groupBy("PROVIDER_NAME", "CPT_CD").agg(F.count(F.lit(1)).alias("n"))
-    wide = schema.pivot_counts(counts, "PROVIDER_NAME", "CPT_CD", "n")
-    out = wide.select("PROVIDER_NAME", *[F.col(f"`{c}`").alias("n_" + schema.safe_name(c))
-                                         for c in wide.columns if c != "PROVIDER_NAME"])
-    return out.withColumn("n_all", schema.row_sum([c for c in out.columns if c != "PROVIDER_NAME"]))
+    """Worklist rows per provider (rows) and priority rank (columns, the fixed 1..5), plus a row total.
+
+    The column values are known, so no extra pass discovers them.
+    """
+    w = _run(spark, d).worklist
+    counts = w.groupBy("PROVIDER_NAME", "n_priority").agg(F.count(F.lit(1)).alias("n"))
+    wide = schema.pivot_counts(counts, "PROVIDER_NAME", "n_priority", "n", [1, 2, 3, 4, 5])
+    out = wide.select("PROVIDER_NAME", *[F.col(f"`{k}`").alias(f"n_rank_{k}") for k in range(1, 6)])
+    return out.withColumn("n_all", schema.row_sum([f"n_rank_{k}" for k in range(1, 6)]))
 
 
 @query("rollup_total")  # A4, U3
