@@ -80,16 +80,27 @@ def space_before_meridiem(c) -> Column:
     return F.regexp_replace(col_of(c), "([0-9])([A-Za-z])", "$1 $2")
 
 
+def wall_clock(ts) -> Column:
+    """A parsed timestamp as a wall-clock value (TIMESTAMP_NTZ).
+
+    ``try_to_timestamp`` reads the text in the session time zone; casting
+    back to NTZ returns the same wall-clock reading, so results do not depend
+    on the session zone (and no daylight-saving gap can shift them).
+    """
+    return ts.cast("timestamp_ntz")
+
+
 def era_timestamp(date_col, time_text, cutoff="2016-10-01") -> Column:
     """Combine a date and a clock text, the format depending on the era.
 
     From ``cutoff`` on the clock is ``h:mm AM``; before it ``h:mm:ss AM``.
+    The result is a wall-clock timestamp (TIMESTAMP_NTZ).
     """
     d = col_of(date_col)
     s = F.concat_ws(" ", d.cast("string"), space_before_meridiem(time_text))
     new = F.try_to_timestamp(s, F.lit("yyyy-MM-dd h:mm a"))
     old = F.try_to_timestamp(s, F.lit("yyyy-MM-dd h:mm:ss a"))
-    return F.when(d >= date_lit(cutoff), new).when(d < date_lit(cutoff), old)
+    return wall_clock(F.when(d >= date_lit(cutoff), new).when(d < date_lit(cutoff), old))
 
 
 def parse_mdy_hms(c, truncated: int = 0) -> Column:
@@ -105,7 +116,7 @@ def parse_mdy_hms(c, truncated: int = 0) -> Column:
              (r"^(\S+)$", "$1 0:00:00")]
     for pattern, repl in fills[:truncated]:
         x = F.regexp_replace(x, pattern, repl)
-    return F.try_to_timestamp(x, F.lit("yyyy-M-d H:mm:ss"))
+    return wall_clock(F.try_to_timestamp(x, F.lit("yyyy-M-d H:mm:ss")))
 
 
 def _mdy_to_ymd_dt(x) -> Column:
@@ -114,8 +125,8 @@ def _mdy_to_ymd_dt(x) -> Column:
 
 
 def minutes_between(start, end) -> Column:
-    """Fractional minutes from ``start`` to ``end``."""
-    return (F.unix_micros(col_of(end)) - F.unix_micros(col_of(start))) / F.lit(60_000_000.0)
+    """Fractional minutes from ``start`` to ``end`` (``timestampdiff`` in minutes truncates)."""
+    return F.timestamp_diff("MICROSECOND", col_of(start), col_of(end)) / F.lit(60_000_000.0)
 
 
 def days_since(c, as_of) -> Column:

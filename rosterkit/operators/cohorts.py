@@ -141,11 +141,12 @@ def prep_assessments(raw: DataFrame, as_of, clock_format_change=C.CLOCK_FORMAT_C
         "dateUpdated": parse_mdy_hms("dateUpdated"),
         "isp_begin_date": parse_mdy("isp_begin_date"),
     })
-    completed_ts = F.col("sis_completed_dt").cast("timestamp")
+    completed_ts = F.col("sis_completed_dt").cast("timestamp_ntz")
     return df.withColumns({
         "duration": minutes_between("start", "end"),
         "DaysSince": days_since("sis_completed_dt", as_of),
-        "age": F.floor((F.unix_seconds(completed_ts) - F.unix_seconds("sis_cl_dob_dt")) / F.lit(86400.0 * 365.242)),
+        "age": F.floor(F.timestamp_diff("SECOND", F.col("sis_cl_dob_dt"), completed_ts)
+                       / F.lit(86400.0 * 365.242)),
         "sis_wk": week_of_year("sis_completed_dt"),
         "sis_yr": F.year("sis_completed_dt"),
         "sis_yrwk": floor_week_sunday("sis_completed_dt"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings applied when the caller has not set them.  AQE re-plans joins at
@@ -32,13 +33,23 @@ DEFAULT_CONF = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "rosterkit") -> SparkSession:
-    """Return the active session, or build one with the library defaults."""
+    """Return the active session untouched, or build one with the library defaults.
+
+    Defaults are applied only to keys the submitted configuration
+    (spark-defaults, ``--conf``) does not set, so a cluster keeps its own values.
+    """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ensure_checkpoint_dir(active)
+        return active
+    submitted = SparkConf()
     builder = SparkSession.builder.appName(app_name)
-    if master:
+    if master and not submitted.contains("spark.master"):
         builder = builder.master(master)
     for k, v in DEFAULT_CONF.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
+        if not submitted.contains(k):
+            builder = builder.config(k, v)
+    if shuffle_partitions and not submitted.contains("spark.sql.shuffle.partitions"):
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

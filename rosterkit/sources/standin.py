@@ -36,6 +36,7 @@ STANDIN_PROVIDER_RECODE = {
 }
 # Deferral dates count back from as_of by the event's hour within its month.
 EVENT_EPOCH_SECONDS = 1704067200  # 2024-01-01T00:00:00Z
+EVENT_EPOCH_DATE = dt.date(2024, 1, 1)
 
 
 def standin_config() -> RunConfig:
@@ -171,7 +172,9 @@ def raw_deferral_sources(spark: SparkSession, sf_dir: str, as_of=STANDIN_AS_OF)
     """
     e = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
     key = (F.col("user_id") * 10 + 1).cast("string")
-    back = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(EVENT_EPOCH_SECONDS)) / 3600).cast("int")
+    # whole hours since the epoch, on the wall clock (independent of the session zone)
+    ts = F.col("ts").cast("timestamp_ntz")
+    back = (F.datediff(ts.cast("date"), F.lit(EVENT_EPOCH_DATE)) * 24 + F.hour(ts)).cast("int")
     defer_day = F.date_sub(F.lit(as_of), back)
     serial = F.datediff(defer_day, F.lit(dt.date(1899, 12, 30))).cast("double")
     dom = F.dayofmonth("ts")
