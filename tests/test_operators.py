@@ -139,3 +139,16 @@ def test_attribute_eligibility_blank_flag(spark):
     code = {x[ID] for x in cohorts.eligible_by_attributes(attrs, AS_OF).collect()}
     comment = {x[ID] for x in cohorts.eligible_by_attributes(attrs, AS_OF, blank_uses_proxies=True).collect()}
     assert code == {"a", "e"} and comment == {"a", "b", "e"}
+
+
+def test_display_names_and_report_tables(spark):
+    from rosterkit.operators import reports
+    s = spark.createDataFrame([("A", 1200, 10, 5, 1500, 100, 7, 0, 2, 300, 0.4, 50.0, 0)],
+                              "cmhsp string, denominator long, denominator_fy long, numerator long, eligible long, "
+                              "due_in_fy long, completed_elig long, completed_inel long, overdue long, deferred long, "
+                              "percent_complete double, percent_complete_fy double, is_total int")
+    shown = summary.display_names(s)
+    assert shown.columns[0] == "CMHSP" and shown.columns[-1].endswith("due in FY") and len(shown.columns) == 12
+    d = reports.director_table(s).first()
+    assert (d.organization, d.denominator, d.eligible, d.due_this_fy) == ("A", "1,200", "1,500", "100")
+    assert reports.supervisor_table(s).columns[-3:] == ["completed", "overdue", "deferred"]
