@@ -112,3 +112,23 @@ def test_aggregates(spark):
     assert r["b"].m == D(2019, 1, 1) and r["b"].t == 1
     v = one_col(spark, ["a", "a", None]).agg(rf.count_distinct_with_null("x").alias("n")).first().n
     assert v == 2
+
+
+def test_mdy_hms_truncated_and_pivot(spark):
+    df = one_col(spark, ["9/1/2017 13:05:09", "9/1/2017 13:05", "9/1/2017 13", "9/1/2017", "x"])
+    r = {x.x: x for x in df.select("x", rf.parse_mdy_hms("x", truncated=3).alias("t"),
+                                   rf.parse_mdy_hms("x").alias("strict")).collect()}
+    assert str(r["9/1/2017 13:05:09"].t) == "2017-09-01 13:05:09"
+    assert str(r["9/1/2017 13:05"].t) == "2017-09-01 13:05:00" and r["9/1/2017 13:05"].strict is None
+    assert str(r["9/1/2017"].t) == "2017-09-01 00:00:00"
+    assert r["x"].t is None
+    piv = {x.x: x.d for x in one_col(spark, ["1/1/68", "1/1/69", "12/31/99", "2/30/2017"])
+           .select("x", rf.parse_mdy("x").alias("d")).collect()}
+    assert piv == {"1/1/68": D(2068, 1, 1), "1/1/69": D(1969, 1, 1), "12/31/99": D(1999, 12, 31), "2/30/2017": None}
+
+
+def test_normalize_id_integer_forms(spark):
+    cases = {"+123": "0000000123", "12\t": "0000000012", "$12": None, "0012": "0000000012",
+             "1234567890123": "4567890123", "ÄB12": "0000000012", "12·34": "0000001234", "12¢34": None}
+    df = one_col(spark, list(cases)).select("x", rf.normalize_id("x").alias("y"))
+    assert {r.x: r.y for r in df.collect()} == cases

@@ -152,3 +152,23 @@ def test_display_names_and_report_tables(spark):
     d = reports.director_table(s).first()
     assert (d.organization, d.denominator, d.eligible, d.due_this_fy) == ("A", "1,200", "1,500", "100")
     assert reports.supervisor_table(s).columns[-3:] == ["completed", "overdue", "deferred"]
+
+
+def test_open_admissions_compare_modes_and_drop_matching(spark):
+    raw = spark.createDataFrame([("1", "0000000001", "2017-10-02", "10/2/2017", "junk"),
+                                 ("1", "0000000001", "2017-9-30", "9/30/2017", "junk")],
+                                "`case number` string, `medicaid id` string, `service start date` string, "
+                                "`agency admission date` string, X_1 string")
+    by_date = cohorts.open_admissions(raw).collect()
+    by_text = cohorts.open_admissions(raw, compare_as="string").collect()
+    assert [x.agency_admission_date for x in by_date] == [D(2017, 10, 2)]
+    assert [x.agency_admission_date for x in by_text] == [D(2017, 9, 30)]  # '2017-9-30' > '2017-10-02' as text
+    df = spark.createDataFrame([(1, 2, 3)], "a_notes int, X_b int, keep int")
+    assert schema.drop_matching(df, suffix="NOTES").columns == ["X_b", "keep"]
+    assert schema.drop_matching(df, prefix="x_").columns == ["a_notes", "keep"]
+
+
+def test_null_tokens(spark):
+    df = spark.createDataFrame([("Choose one", " ", 1), ("ok", "Enterprise Wide", 2)], "a string, b string, n int")
+    out = schema.null_tokens(df, ("", " ", "NA", "Choose one", "Enterprise Wide")).collect()
+    assert [(x.a, x.b, x.n) for x in out] == [(None, None, 1), ("ok", None, 2)]
