@@ -46,7 +46,8 @@ def ids_without_admission(ids: DataFrame, admissions: DataFrame) -> DataFrame:
     return ids.select(ID).subtract(adm)
 
 
-def coverage_gap(services: DataFrame, roster: DataFrame, admissions: DataFrame) -> DataFrame:
+def coverage_gap(services: DataFrame, elig_attr: DataFrame, assessments: DataFrame, deferrals: DataFrame,
+                 admissions: DataFrame, cfg) -> DataFrame:
     """One row of coverage-gap metrics.
 
     Service ids and worklist ids without an admission record (set
@@ -55,23 +56,32 @@ def coverage_gap(services: DataFrame, roster: DataFrame, admissions: DataFrame)
     admission table.  Dates use NULL-propagating min/max, as the original
     writes them without removing missing values.
 
-    One shuffle: services (pre-aggregated per person), worklist persons and
-    admission rows are unioned and grouped by person; a global aggregate
-    then yields the row.
+    One pass over the claims: the roster is built in keep-all mode from a
+    spine that also carries each person's service-date span (and the NULL-id
+    group), so the worklist membership and the service side come from the
+    same rows.  Per-person facts (no shuffle: the rows are partitioned by
+    person) are unioned with the admission rows and grouped by person once;
+    a global aggregate then yields the row.
     """
+    from .cohorts import service_person_provider
+    from .roster import person_spine, roster_rows
+
+    pairs = service_person_provider(services, cfg.procedure_codes, cfg.payer_codes, keep_null_id=True,
+                                    with_span=True)
+    spine = person_spine(pairs, elig_attr, assessments, with_span=True)
+    rows = row_priority(roster_rows(spine, deferrals, admissions, cfg, keep_all=True))
     nd = F.lit(None).cast("date")
     z = F.lit(0).cast("long")
-    svs = (services.groupBy(ID).agg(F.count(F.lit(1)).alias("_n"), F.count("FROM_DATE").alias("_nd"),
-                                    F.min("FROM_DATE").alias("_mn"), F.max("FROM_DATE").alias("_mx"))
-           .select(ID, F.lit(1).alias("_s"), F.lit(0).alias("_w"), F.lit(0).alias("_a"), "_n", "_nd", "_mn", "_mx",
-                   z.alias("_adm_null_date")))
-    work = (row_priority(roster).where(F.col("_rank").isNotNull()).select(ID).distinct()
-            .select(ID, F.lit(0).alias("_s"), F.lit(1).alias("_w"), F.lit(0).alias("_a"), z.alias("_n"),
-                    z.alias("_nd"), nd.alias("_mn"), nd.alias("_mx"), z.alias("_adm_null_date")))
+    person = rows.groupBy(ID).agg(
+        F.coalesce(F.max("svc_n"), z).alias("_n"), F.coalesce(F.max("svc_nd"), z).alias("_nd"),
+        F.min("svc_min").alias("_mn"), F.max("svc_max").alias("_mx"),
+        F.bool_or(F.col("_in_roster") & F.col("_rank").isNotNull()).cast("int").alias("_w"))
+    person = person.select(ID, (F.col("_n") > 0).cast("int").alias("_s"), "_w", F.lit(0).alias("_a"), "_n", "_nd",
+                           "_mn", "_mx", z.alias("_adm_null_date"))
     adm = admissions.select(F.col("medicaid_id").alias(ID), F.lit(0).alias("_s"), F.lit(0).alias("_w"),
                             F.lit(1).alias("_a"), z.alias("_n"), z.alias("_nd"), nd.alias("_mn"), nd.alias("_mx"),
                             F.col("agency_admission_date").isNull().cast("long").alias("_adm_null_date"))
-    p = (svs.unionByName(work).unionByName(adm).groupBy(ID)
+    p = (person.unionByName(adm).groupBy(ID)
          .agg(F.max("_s").alias("s"), F.max("_w").alias("w"), F.sum("_a").alias("a"),
               F.sum("_n").alias("n"), F.sum("_nd").alias("nd"), F.min("_mn").alias("mn"), F.max("_mx").alias("mx"),
               F.sum("_adm_null_date").alias("adm_null_date")))

@@ -66,27 +66,35 @@ def eligible_by_service(services: DataFrame, codes: Sequence[str] = C.ELIGIBLE_P
             .withColumn("eligible_svs", F.lit(True)))
 
 
-def service_person_provider(services: DataFrame, codes: Sequence[str], payers: Sequence[str], cutoff=None) -> DataFrame:
+def service_person_provider(services: DataFrame, codes: Sequence[str], payers: Sequence[str], cutoff=None,
+                            keep_null_id: bool = False, with_span: bool = False) -> DataFrame:
     """All (person, provider) pairs of the services with their eligible-service span.
 
     One aggregation serves both the roster's person spine (every person
     with any service) and ``eligible_by_service`` (pairs with
     ``eligible_svs``), so the claim lines are scanned and shuffled once.
-    NULL ids never reach the roster.
+    The NULL id group is dropped unless ``keep_null_id``.  ``with_span``
+    adds the span of all service dates (``_n`` rows, ``_nd`` dated rows,
+    ``_mn``/``_mx``), used by the coverage check.
     """
     flag = eligible_service_flag(services, codes, payers, cutoff)
     d = F.col("FROM_DATE")
+    aggs = [F.bool_or("_elig").alias("eligible_svs"),
+            F.min(F.when(F.col("_elig"), F.col("_d"))).alias("initial_service"),
+            F.max(F.when(F.col("_elig"), F.col("_d"))).alias("most_recent_service"),
+            F.bool_or(F.col(ID).isNotNull()).alias("_has_id")]
+    if with_span:
+        aggs += [F.count(F.lit(1)).alias("_n"), F.count("_d").alias("_nd"), F.min("_d").alias("_mn"),
+                 F.max("_d").alias("_mx")]
+    pairs = (services
+             .select(ID, "PROVIDER_NAME", F.coalesce(flag, F.lit(False)).alias("_elig"), d.alias("_d"))
+             .groupBy(ID, "PROVIDER_NAME").agg(*aggs))
     # The NULL id group is dropped through an aggregate output: a filter on
     # the id itself would be pushed below the aggregate and inlined (with the
     # whole id-cleaning expression) into the scan side, cleaning every id twice.
-    return (services
-            .select(ID, "PROVIDER_NAME", F.coalesce(flag, F.lit(False)).alias("_elig"), d.alias("_d"))
-            .groupBy(ID, "PROVIDER_NAME")
-            .agg(F.bool_or("_elig").alias("eligible_svs"),
-                 F.min(F.when(F.col("_elig"), F.col("_d"))).alias("initial_service"),
-                 F.max(F.when(F.col("_elig"), F.col("_d"))).alias("most_recent_service"),
-                 F.bool_or(F.col(ID).isNotNull()).alias("_has_id"))
-            .where(F.col("_has_id")).drop("_has_id"))
+    if not keep_null_id:
+        pairs = pairs.where(F.col("_has_id"))
+    return pairs.drop("_has_id")
 
 
 # -- M3 / M4: attributes -----------------------------------------------------------

@@ -27,7 +27,8 @@ from .cohorts import ID, service_person_provider
 from .schema import reorder
 
 
-def person_spine(pairs: DataFrame, elig_attr: DataFrame, assessments: DataFrame, cutoff=None) -> DataFrame:
+def person_spine(pairs: DataFrame, elig_attr: DataFrame, assessments: DataFrame, cutoff=None,
+                 with_span: bool = False) -> DataFrame:
     """One row per non-NULL person id seen in services, attribute eligibility or assessments.
 
     Columns: ``in_svs``, ``in_qi`` (booleans), ``has_sis`` (any assessment
@@ -38,31 +39,40 @@ def person_spine(pairs: DataFrame, elig_attr: DataFrame, assessments: DataFrame,
     row per (person, provider).  Carrying it here lets the claim-line
     aggregate feed a single branch, so the claims are scanned and shuffled
     once; the union is grouped with partial (map-side) aggregation.
+    ``with_span`` carries the person's service-date span (pairs built with
+    ``with_span=True``) as ``svc_n``, ``svc_nd``, ``svc_min``, ``svc_max``.
     """
     nd = F.lit(None).cast("date")
+    z = F.lit(0).cast("long")
     prov_t = F.struct(F.col("PROVIDER_NAME"), F.col("initial_service"), F.col("most_recent_service"))
     no_prov = F.lit(None).cast(
         "struct<PROVIDER_NAME:string,initial_service:date,most_recent_service:date>")
+    span = ([F.col("_n"), F.col("_nd"), F.col("_mn"), F.col("_mx")] if with_span else [])
+    no_span = [z.alias("_n"), z.alias("_nd"), nd.alias("_mn"), nd.alias("_mx")] if with_span else []
     svs = pairs.select(ID, F.lit(1).alias("_s"), F.lit(0).alias("_q"), F.lit(0).alias("_a"), nd.alias("_d"),
-                       F.when(F.col("eligible_svs"), prov_t).otherwise(no_prov).alias("_p"))
+                       F.when(F.col("eligible_svs"), prov_t).otherwise(no_prov).alias("_p"), *span)
     qi = (elig_attr.where(F.col(ID).isNotNull())
           .select(ID, F.lit(0).alias("_s"), F.lit(1).alias("_q"), F.lit(0).alias("_a"), nd.alias("_d"),
-                  no_prov.alias("_p")))
+                  no_prov.alias("_p"), *no_span))
     a = assessments.where(F.col("mcaid_id").isNotNull())
     if cutoff is not None:
         a = a.where(F.col("sis_completed_dt") <= F.lit(cutoff))
     sis = a.select(F.col("mcaid_id").alias(ID), F.lit(0).alias("_s"), F.lit(0).alias("_q"), F.lit(1).alias("_a"),
-                   F.col("sis_completed_dt").alias("_d"), no_prov.alias("_p"))
+                   F.col("sis_completed_dt").alias("_d"), no_prov.alias("_p"), *no_span)
+    span_aggs = ([F.sum("_n").alias("svc_n"), F.sum("_nd").alias("svc_nd"), F.min("_mn").alias("svc_min"),
+                  F.max("_mx").alias("svc_max")] if with_span else [])
     g = (svs.unionByName(qi).unionByName(sis).groupBy(ID)
          .agg(F.max("_s").alias("_s"), F.max("_q").alias("_q"), F.sum("_a").alias("_a"),
-              F.count("_d").alias("_n"), F.max("_d").alias("_d"), F.collect_list("_p").alias("providers")))
+              F.count("_d").alias("_dn"), F.max("_d").alias("_d"), F.collect_list("_p").alias("providers"),
+              *span_aggs))
     return g.select(
         ID,
         (F.col("_s") == 1).alias("in_svs"),
         (F.col("_q") == 1).alias("in_qi"),
         (F.col("_a") > 0).alias("has_sis"),
-        F.when((F.col("_a") > 0) & (F.col("_a") == F.col("_n")), F.col("_d")).alias("sis_completed_dt"),
+        F.when((F.col("_a") > 0) & (F.col("_a") == F.col("_dn")), F.col("_d")).alias("sis_completed_dt"),
         "providers",
+        *([c for c in ("svc_n", "svc_nd", "svc_min", "svc_max")] if with_span else []),
     )
 
 
@@ -147,24 +157,52 @@ def build_roster(services: DataFrame, elig_attr: DataFrame, assessments: DataFra
     """
     pairs = service_person_provider(services, cfg.procedure_codes, cfg.payer_codes)
     spine = person_spine(pairs, elig_attr, assessments)
+    return reorder(roster_rows(spine, deferrals, admissions, cfg), **ROSTER_ORDER)
+
+
+def roster_rows(spine: DataFrame, deferrals: DataFrame, admissions: DataFrame, cfg: RunConfig,
+                keep_all: bool = False) -> DataFrame:
+    """The roster from a person spine.
+
+    ``keep_all=False``: the roster's filters drop rows.  ``keep_all=True``:
+    every spine person is kept and ``_in_roster`` marks the roster rows
+    (used by the coverage check, which also needs the persons the roster
+    drops; extra spine columns are carried along).
+    """
     # Persons seen only in assessments have NULL eligibility (the NULL fill
     # precedes their join in the original) and are dropped by the filters
-    # below, so the spine keeps the services / attribute side only.
-    spine = spine.where(F.col("in_svs") | F.col("in_qi"))
+    # below, so only the services / attribute side can enter the roster.
+    side = F.col("in_svs") | F.col("in_qi")
+    extra = [c for c in spine.columns if c not in (ID, "in_svs", "in_qi", "has_sis", "sis_completed_dt", "providers")]
+    if not keep_all:
+        spine = spine.where(side)
+        extra = []
+    else:
+        spine = spine.withColumn("_side", side)
+        extra = ["_side", *extra]
     r = (_explode_providers(spine)
          .join(_deferral_side(deferrals), ID, "left")
          .select(ID, "PROVIDER_NAME", "initial_service", "most_recent_service",
                  F.coalesce("eligible_svs", F.lit(False)).alias("eligible_svs"),
                  F.col("in_qi").alias("eligible_qi"),
                  "defer_date", F.coalesce("deferral", F.lit(False)).alias("deferral"), "deferral_active",
-                 "sis_completed_dt"))
-    r = r.where(F.col("eligible_svs") | F.col("eligible_qi") | F.col("sis_completed_dt").isNotNull())
-    r = eligibility_flags(r).where(F.col("sis_eligible") | F.col("sis_complete_inel"))
+                 "sis_completed_dt", *extra))
+    kept = F.col("eligible_svs") | F.col("eligible_qi") | F.col("sis_completed_dt").isNotNull()
+    if not keep_all:
+        r = r.where(kept)
+    else:
+        r = r.withColumn("_kept", kept)
+    r = eligibility_flags(r)
+    in_roster = F.col("sis_eligible") | F.col("sis_complete_inel")
+    if not keep_all:
+        r = r.where(in_roster)
+    else:
+        r = (r.withColumn("_in_roster", F.col("_side") & F.col("_kept") & in_roster & F.col(ID).isNotNull())
+             .drop("_side", "_kept"))
     adm = (admissions.where(F.col("medicaid_id").isNotNull())
            .select(F.col("medicaid_id").alias(ID), "agency_admission_date").distinct())
     r = r.join(adm, ID, "left")
-    r = compliance_flags(due_date(r, cfg.due_floor), cfg.as_of, cfg.rollover_month, cfg.coming_days)
-    return reorder(r, **ROSTER_ORDER)
+    return compliance_flags(due_date(r, cfg.due_floor), cfg.as_of, cfg.rollover_month, cfg.coming_days)
 
 
 def build_fy_roster(services: DataFrame, elig_attr: DataFrame, assessments: DataFrame, deferrals: DataFrame,

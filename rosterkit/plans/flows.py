@@ -139,7 +139,8 @@ class Run:
         return checks.reconcile(self.roster)
 
     def coverage_gap(self) -> DataFrame:
-        return checks.coverage_gap(self.services, self.roster, self.admissions)
+        return checks.coverage_gap(self.services, self.elig_qi, self.assessments, self.deferrals, self.admissions,
+                                   self.cfg)
 
     def overlap(self, count_null_id: bool = False) -> DataFrame:
         from ..config import OVERLAP_LABELS

@@ -11,7 +11,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 SINGLE_CLAIMS_PASS = ["roster", "worklist", "completion_summary", "monthly_completions", "fy_summary",
                       "priority_crosstab", "reconcile_counts", "reconcile_missing", "narrative_metrics",
-                      "trailing_months", "set_overlap"]
+                      "trailing_months", "set_overlap", "coverage_gap"]
 
 
 def _plan(spark, name):
