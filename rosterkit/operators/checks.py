@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import any_true, count_distinct_with_null, count_null, min_null_propagating
+from ..functions import any_true
 from .cohorts import ID
 from .worklist import row_priority
 

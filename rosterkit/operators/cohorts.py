@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import (
-    age_in_years_floor, age_on, cut_at_space, days_since, era_timestamp, excel_serial_to_date,
+    age_on, cut_at_space, days_since, era_timestamp, excel_serial_to_date,
     floor_week_sunday, max_null_propagating, minutes_between, normalize_id, pad_then_normalize,
     parse_mdy, parse_mdy_hms, parse_mixed_date, parse_ymd, to_date_part, trim_ws, week_of_year, yes_no,
 )
