@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import RunConfig
 from ..operators import checks, cohorts, overlap, reports, roster, summary, worklist
+from ..operators.cohorts import ID
 from ..sources import standin
 
 
@@ -147,3 +148,31 @@ class Run:
         sets = [(OVERLAP_LABELS[0], self.elig_svs, cohorts.ID), (OVERLAP_LABELS[1], self.elig_qi, cohorts.ID),
                 (OVERLAP_LABELS[2], self.latest, "mcaid_id"), (OVERLAP_LABELS[3], self.deferrals, cohorts.ID)]
         return overlap.set_overlap(self.spark, sets, count_null_id)
+
+    # -- outputs (K1-K3) ------------------------------------------------------
+    def write_outputs(self, base: str, checkpoint: bool = True) -> dict[str, str]:
+        """Write the run's outputs: dated summary and worklist CSVs, one worklist folder per
+        provider (latest service first), and the point-in-time summary and worklist with row
+        numbers.  The roster feeds every output, so it is checkpointed once into the shared
+        checkpoint folder first (lineage cut: an executor loss does not rerun the claims scan).
+        Returns the written locations.
+        """
+        from pyspark.sql import functions as F
+
+        from ..sources import sinks
+        if checkpoint:
+            self.checkpoint_roster()
+        as_of = self.cfg.as_of
+        out = {
+            "summary": sinks.write_csv(self.summary, f"{base}/percent_complete_summary", as_of),
+            "worklist": sinks.write_csv(self.worklist, f"{base}/need_assessment", as_of),
+            "per_provider": sinks.write_split(self.worklist, "PROVIDER_NAME",
+                                              sinks.dated_path(f"{base}/per_provider/need_assessment", as_of),
+                                              "most_recent_service"),
+        }
+        fy_order = [F.col("most_recent_service").desc_nulls_last(), F.col(ID).asc_nulls_last(),
+                    F.col("PROVIDER_NAME").asc_nulls_last()]
+        out["fy_summary"] = sinks.write_csv_with_row_names(
+            self.fy_summary, f"{base}/percent_complete_summary_fy", [F.col("is_total"), F.col("PROVIDER_NAME")])
+        out["fy_worklist"] = sinks.write_csv_with_row_names(self.fy_worklist, f"{base}/need_assessment_fy", fy_order)
+        return out

@@ -79,3 +79,18 @@ def test_row_numbers_are_consecutive(spark):
     got = sorted((r.row, r.v) for r in out)
     assert [r for r, _ in got] == list(range(1, 1001))
     assert [v for _, v in got] == list(range(999, -1, -1))
+
+
+def test_run_write_outputs(spark, tmp_path):
+    from rosterkit.plans.flows import Run
+    run = Run(spark, "/root/testdata/sf0.001")
+    out = run.write_outputs(str(tmp_path / "output"))
+    assert out["summary"].endswith("percent_complete_summary_1999-06-30")
+    summary = spark.read.option("header", True).csv(out["summary"])
+    assert summary.count() == run.summary.count()
+    assert spark.read.option("header", True).csv(out["worklist"]).count() == run.worklist.count()
+    per = spark.read.option("header", True).csv(out["per_provider"] + "/*/*.csv")
+    assert per.count() == run.worklist.count()
+    fy = spark.read.option("header", True).csv(out["fy_worklist"])
+    # the row-name column has an empty header (Spark reads it back as _c0)
+    assert fy.columns[0] in ("", "_c0") and sorted(int(x[0]) for x in fy.collect()) == list(range(1, fy.count() + 1))
