@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _row_hash(df: DataFrame):
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def dated_path(base: str, as_of: dt.date | str) -> str:
     """``<base>_<YYYY-MM-DD>``: the run date is part of the output name (K1)."""
     d = as_of.isoformat() if isinstance(as_of, dt.date) else str(as_of)
@@ -37,9 +41,12 @@ def write_split(df: DataFrame, by: str, base: str, order_desc: str, mode: str =
     """
     part = f"{by}_dir"
     # ordered on the folder column itself: the writer needs its rows grouped
-    # by that column and keeps an existing order that starts with it
-    keys = [F.col(part).asc_nulls_last(), F.col(order_desc).desc_nulls_last()]
-    ordered = df.withColumn(part, F.col(by)).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # by that column and keeps an existing order that starts with it; a row
+    # hash breaks ties so a run of equal (group, date) values can still be
+    # split over several range partitions
+    keys = [F.col(part).asc_nulls_last(), F.col(order_desc).desc_nulls_last(), F.col("_tie")]
+    ordered = (df.withColumn(part, F.col(by)).withColumn("_tie", _row_hash(df))
+               .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie"))
     ordered.write.option("header", True).mode(mode).partitionBy(part).csv(base)
     return base
 
@@ -56,9 +63,9 @@ def with_row_number(df: DataFrame, order_by: Sequence, name: str = "row") -> Dat
     """
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    keys = list(order_by)
+    keys = [*order_by, F.col("_tie")]  # row hash: ties spread over range partitions
     pid = F.spark_partition_id()
-    x = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    x = (df.withColumn("_tie", _row_hash(df)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
          .withColumn("_pid", pid)
          .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
          .checkpoint(eager=True))
