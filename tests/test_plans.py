@@ -41,3 +41,10 @@ def test_id_cleaning_not_duplicated_into_claims_join(spark):
     claims_joins = [ln for ln in plan.splitlines() if ("BroadcastHashJoin" in ln or "SortMergeJoin" in ln)
                     and re.search(r"\[(l|o|s|n)_\w+#", ln)]
     assert claims_joins and not any("regexp_replace" in ln for ln in claims_joins)
+
+
+def test_roster_exchanges_bounded(spark):
+    """One hash shuffle per input family (claims pairs, person spine, deferrals, admissions x2), none after the spine."""
+    plan = _plan(spark, "roster")
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 6
+    assert len(re.findall(r"Exchange hashpartitioning\(MEDICAID_ID#\d+, \d+\)", plan)) <= 1
