@@ -38,3 +38,40 @@ def test_normalize_id_matches_model(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x string").select("x", rf.normalize_id("x").alias("y"))
     got = {r.x: r.y for r in df.collect()}
     assert got == {v: model(v) for v in values}
+
+
+def date_model(x):
+    import datetime as dt
+    if x is None:
+        return None
+    x = x.strip(WS)
+    m = re.fullmatch(r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})", x)
+    if m:
+        mo, d, y = int(m.group(1)), int(m.group(2)), m.group(3)
+        yr = int(y) if len(y) == 4 else (1900 if int(y) >= 69 else 2000) + int(y)
+    else:
+        m = re.fullmatch(r"([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", x)
+        if not m:
+            return None
+        yr, mo, d = int(m.group(1)), int(m.group(2)), int(m.group(3))
+    try:
+        return dt.date(yr, mo, d)
+    except ValueError:
+        return None
+
+
+def _date_text():
+    num = st.integers(min_value=0, max_value=40).map(str)
+    year = st.sampled_from(["1999", "2017", "2020", "17", "68", "69", "99", "00"])
+    mdy = st.tuples(num, num, year).map(lambda t: f"{t[0]}/{t[1]}/{t[2]}")
+    ymd = st.tuples(st.sampled_from(["1999", "2016", "2020"]), num, num).map(lambda t: f"{t[0]}-{t[1]}-{t[2]}")
+    junk = st.text(alphabet="0123456789/- x", max_size=10)
+    return st.one_of(mdy, ymd, junk, mdy.map(lambda s: f" {s} "))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(_date_text(), min_size=1, max_size=60))
+def test_mixed_date_matches_model(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x string").select("x", rf.parse_mixed_date("x").alias("d"))
+    got = {r.x: r.d for r in df.collect()}
+    assert got == {v: date_model(v) for v in values}
