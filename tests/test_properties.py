@@ -75,3 +75,19 @@ def test_mixed_date_matches_model(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x string").select("x", rf.parse_mixed_date("x").alias("d"))
     got = {r.x: r.d for r in df.collect()}
     assert got == {v: date_model(v) for v in values}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.sets(st.integers(min_value=0, max_value=30), max_size=20), min_size=1, max_size=4))
+def test_set_overlap_matches_brute_force(spark, sets):
+    from itertools import combinations
+
+    from rosterkit.operators.overlap import set_overlap
+    frames = [(f"s{i}", spark.createDataFrame([(str(v),) for v in s] or [], "id string"), "id")
+              for i, s in enumerate(sets)]
+    got = {tuple(r.sets): r.size for r in set_overlap(spark, frames).collect()}
+    want = {}
+    for k in range(1, len(sets) + 1):
+        for combo in combinations(range(len(sets)), k):
+            want[combo] = len(set.intersection(*[set(sets[i]) for i in combo]))
+    assert got == want
