@@ -5,6 +5,7 @@ import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rosterkit import functions as rf
 
@@ -91,3 +92,46 @@ def test_set_overlap_matches_brute_force(spark, sets):
         for combo in combinations(range(len(sets)), k):
             want[combo] = len(set.intersection(*[set(sets[i]) for i in combo]))
     assert got == want
+
+
+_STATUS = [  # (field, value, status) in the original's order; None = dropped
+    ("sis_complete_any", False, "Initial SIS Needed"), ("sis_complete_inel", True, None),
+    ("sis_overdue", True, "Reassessment Overdue"), ("sis_coming90", True, "Reassessment Due in 90 Days"),
+    ("due_in_fy", True, "Other upcoming in current FY"), ("deferral_active", True, None),
+    ("deferral_active", False, "Expired Deferral")]
+_RANK = {"Initial SIS Needed": 1, "Reassessment Overdue": 2, "Reassessment Due in 90 Days": 3,
+         "Other upcoming in current FY": 4, "Expired Deferral": 5}
+_FLAGS = ["sis_complete_any", "sis_complete_inel", "sis_overdue", "sis_coming90", "due_in_fy", "deferral_active"]
+
+
+def worklist_model(rows):
+    long = []
+    for r in rows:
+        if r["PROVIDER_NAME"] is None:
+            continue
+        for f in _FLAGS:  # unpivot: one (field, val) per flag, NULLs kept
+            st_ = next((s for fld, v, s in _STATUS if fld == f and r[f] is v), None)
+            if st_ is not None:
+                long.append((r["MEDICAID_ID"], r["PROVIDER_NAME"], _RANK[st_]))
+    best = {}
+    for pid, _, rank in long:
+        best[pid] = min(best.get(pid, 9), rank)
+    return sorted((pid, prov, rank) for pid, prov, rank in long if rank == best[pid])
+
+
+_tri = st.sampled_from([True, False, None])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p1", "p2", "p3"]), st.sampled_from(["A", "B", None]),
+                          _tri, _tri, _tri, _tri, _tri, _tri), min_size=1, max_size=25))
+def test_worklist_matches_unpivot_model(spark, rows):
+    from rosterkit.operators.worklist import worklist
+    cols = ["MEDICAID_ID", "PROVIDER_NAME", *_FLAGS]
+    dicts = [dict(zip(cols, r)) for r in rows]
+    df = spark.createDataFrame(rows, "MEDICAID_ID string, PROVIDER_NAME string, " +
+                               ", ".join(f"{f} boolean" for f in _FLAGS))
+    for c in ("agency_admission_date", "most_recent_service", "due_by_dt", "sis_completed_dt"):
+        df = df.withColumn(c, F.lit(None).cast("date"))
+    got = sorted((r.MEDICAID_ID, r.PROVIDER_NAME, r.n_priority) for r in worklist(df).collect())
+    assert got == worklist_model(dicts)
