@@ -62,14 +62,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster that setting names a shared folder (HDFS / object store)
     that survives executor loss.  A machine-local folder is only chosen when
-    nothing is configured, which is the case for local tests.
+    nothing is configured, which is the case for local tests.  (The setting
+    is static, so the fallback goes through the SparkContext.)
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="rosterkit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rosterkit-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
