@@ -5,10 +5,11 @@ A query derives its digest columns from the operator's own output.
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality
+from . import bpe, fingerprints, mixing, quality, token_files
 from .common import table
 
 
@@ -34,6 +35,17 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                     like(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_mix, op9_quality, op10_fingerprint)}
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_files.write_and_read(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+    return token_files.digests(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.encode_decode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
+
+
+REGISTRY = {f.__name__: f for f in (op1_mix, op5_token_files, op6_bpe, op9_quality, op10_fingerprint)}
 
 ORACLE: dict[str, str] = {}
