@@ -9,7 +9,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, quality, token_files
+from . import bpe, fingerprints, jaccard, mixing, quality, suffixes, token_files
 from .common import table
 
 
@@ -18,6 +18,16 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.dedup(docs, length=400, with_text=False).drop("kept")
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     q = quality.quality(docs, with_text=False)
@@ -46,6 +56,6 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
 
 
-REGISTRY = {f.__name__: f for f in (op1_mix, op5_token_files, op6_bpe, op9_quality, op10_fingerprint)}
+REGISTRY = {f.__name__: f for f in (op1_mix, op3_suffix_dedup, op5_token_files, op6_bpe, op7_jaccard, op9_quality, op10_fingerprint)}
 
 ORACLE: dict[str, str] = {}
