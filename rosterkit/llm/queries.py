@@ -9,7 +9,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, mixing, quality, suffixes, token_files
+from . import bpe, fingerprints, hmm, jaccard, mixing, quality, suffixes, token_files
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.hmm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     q = quality.quality(docs, with_text=False)
@@ -56,6 +60,6 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
 
 
-REGISTRY = {f.__name__: f for f in (op1_mix, op3_suffix_dedup, op5_token_files, op6_bpe, op7_jaccard, op9_quality, op10_fingerprint)}
+REGISTRY = {f.__name__: f for f in (op1_mix, op3_suffix_dedup, op5_token_files, op6_bpe, op7_jaccard, op8_hmm, op9_quality, op10_fingerprint)}
 
 ORACLE: dict[str, str] = {}
