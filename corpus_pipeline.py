@@ -1,11 +1,91 @@
-"""Corpus pipeline over ``documents``: stages are filled in as their operators land."""
+"""Corpus pipeline over ``documents``: drop toxic texts, keep one text of each near-duplicate
+group, remove repeated passages, mix sources to their target weights, encode.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before kept.  All but
+the last return the columns of ``documents``; the mix returns one row per draw, so a document that
+is drawn twice occurs twice.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers as tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rosterkit.llm import bpe, jaccard, mixing, suffixes, toxicity
+from rosterkit.llm.common import cut, table, whole_text
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# The pipeline removes passages of this many bytes that also start elsewhere.
+PASSAGE_BYTES = 400
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: learn from the labels of the documents, drop those predicted toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7 (five-word shingles, 0.8): of each group the document with the least id stays.
+
+    Documents without a word are linked with nothing and stay.  Of repeated rows with one id, one stays.
+    """
+    found = jaccard.near_duplicates(docs, words=5, percent=80)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: cut every byte under a repeated passage; characters cut in two go too."""
+    kept = suffixes.dedup(docs.select("doc_id", "text"), PASSAGE_BYTES, with_text=True)
+    kept = kept.where("n_removed > 0").select(F.col("doc_id").alias("_id"), "n_bytes", "n_removed", "kept")
+    text = kept.mapInArrow(_texts, T.StructType([T.StructField("_id", T.LongType()), T.StructField("_text", T.StringType())]))
+    out = docs.join(text, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    new = F.when(F.col("_text").isNotNull(), F.col("_text")).otherwise(F.col("text"))
+    out = out.withColumn("n_chars", F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", new).select(*COLUMNS)
+
+
+def _texts(batches):
+    import pyarrow as pa
+    for b in batches:
+        yield pa.RecordBatch.from_arrays(
+            [b.column("_id"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())],
+            names=["_id", "_text"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: one row per draw; a document that a draw takes in part stays whole."""
+    return mixing.shards(mixing.mix(docs)).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: the ids of every text, and a proof of the round trip."""
+    done = bpe.encode_decode(docs.select(*COLUMNS), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids",
+                       (F.col("decoded") == whole_text().cast("binary")).alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", one_of_each_group),
+    ("suffix_dedup", remove_repeats),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+# SQL cannot express the classifier, the suffix tables, the splitting tree or the encoder.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's rows are written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, name)
     return docs

@@ -9,8 +9,8 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, hmm, jaccard, mixing, quality, suffixes, token_files
-from .common import table
+from . import bpe, fingerprints, hmm, jaccard, mixing, quality, suffixes, token_files, toxicity
+from .common import id_crc, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,12 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                     like(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = token_files.write_and_read(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
@@ -60,6 +66,6 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
 
 
-REGISTRY = {f.__name__: f for f in (op1_mix, op3_suffix_dedup, op5_token_files, op6_bpe, op7_jaccard, op8_hmm, op9_quality, op10_fingerprint)}
+REGISTRY = {f.__name__: f for f in (op1_mix, op3_suffix_dedup, op4_toxicity, op5_token_files, op6_bpe, op7_jaccard, op8_hmm, op9_quality, op10_fingerprint)}
 
 ORACLE: dict[str, str] = {}
