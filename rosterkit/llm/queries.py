@@ -9,7 +9,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, hmm, jaccard, mixing, quality, suffixes, token_files, toxicity
+from . import bpe, fingerprints, hmm, jaccard, mixing, quality, roles, suffixes, token_files, toxicity
 from .common import id_crc, table
 
 
@@ -18,6 +18,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.repair(table(spark, sf_dir, "conversations"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.dedup(docs, length=400, with_text=False).drop("kept")
@@ -66,6 +70,6 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
 
 
-REGISTRY = {f.__name__: f for f in (op1_mix, op3_suffix_dedup, op4_toxicity, op5_token_files, op6_bpe, op7_jaccard, op8_hmm, op9_quality, op10_fingerprint)}
+REGISTRY = {f.__name__: f for f in (op1_mix, op2_role_repair, op3_suffix_dedup, op4_toxicity, op5_token_files, op6_bpe, op7_jaccard, op8_hmm, op9_quality, op10_fingerprint)}
 
 ORACLE: dict[str, str] = {}
