@@ -118,7 +118,7 @@ def with_next(docs: DataFrame, derive, range_rows: int = RANGE_ROWS) -> DataFram
     if n > 1:
         bounds = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile(
             "x", [i / n for i in range(1, n)], 1 / (8 * n))
-    splits = [-math.inf, *sorted(set(bounds)), math.inf]
+    splits = [-math.inf, *(sorted(set(bounds)) or [0.0]), math.inf]   # a bucketizer needs two ranges or more
     d = d.withColumn("_x", F.col("doc_id").cast("double"))
     d = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(d)
     # null ids: ranges of their text hash, below all ids
