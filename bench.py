@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "roster", "worklist", "completion_summary", "monthly_completions", "fy_summary", "priority_crosstab",
     "reconcile_counts", "coverage_gap", "set_overlap", "services_clean", "assessments_clean", "deferral_status",
-    "open_admissions",
+    "open_admissions", "services_via_files", "worklist_split_files", "fy_worklist_numbered",
 ]
 
 
@@ -35,8 +35,8 @@ def main():
             REGISTRY[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
+        t0 = time.perf_counter()  # some queries write and read files while they are built
         df = REGISTRY[name](spark, sf_dir)
-        t0 = time.perf_counter()
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)

@@ -1,15 +1,14 @@
 """Reconciliation and coverage checks.
 
-Each check reads the roster once: per-person facts are computed on the
-person key (the roster is partitioned by it) instead of joining the roster
-with a worklist derived from the same roster.
+The reconciliation takes the two tables it compares, reduces each to one row
+per person (map-side combine) and compares those.  Callers that derive both
+from one roster cut its lineage first (``Run.checkpoint_roster``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import any_true
 from .cohorts import ID
@@ -18,32 +17,33 @@ from .worklist import row_priority
 FLAGS = ("sis_overdue", "sis_coming90", "due_in_fy")
 
 
-def flagged_not_in_worklist(roster: DataFrame) -> DataFrame:
+def flagged_not_in_worklist(roster: DataFrame, worklist: DataFrame) -> DataFrame:
     """M24 rows: roster rows of people absent from the worklist with an upcoming / overdue flag."""
-    cols = roster.columns
-    in_work = F.max(F.col("_rank").isNotNull()).over(Window.partitionBy(ID))
-    return (row_priority(roster).withColumn("_in_work", in_work)
-            .where(~F.col("_in_work") & any_true(*FLAGS)).select(*cols))
+    ids = worklist.select(F.col(ID).alias("_wid")).distinct()
+    return roster.where(any_true(*FLAGS)).join(ids, F.col(ID).eqNullSafe(F.col("_wid")), "left_anti")
 
 
-def reconcile(roster: DataFrame) -> DataFrame:
+def reconcile(roster: DataFrame, worklist: DataFrame) -> DataFrame:
     """M24 counts: people and rows missing from the worklist; worklist ids; worklist ids in the roster."""
-    per_person = row_priority(roster).groupBy(ID).agg(
-        F.bool_or(F.col("_rank").isNotNull()).alias("in_work"),
-        F.count_if(any_true(*FLAGS)).alias("n_flagged"))
-    missing = ~F.col("in_work") & (F.col("n_flagged") > 0)
-    return per_person.agg(
+    no, none = F.lit(False), F.lit(0).cast("long")
+    r = roster.groupBy(ID).agg(F.count_if(any_true(*FLAGS)).alias("n_flagged")).select(
+        ID, F.lit(True).alias("in_roster"), no.alias("in_work"), "n_flagged")
+    w = worklist.select(ID).distinct().select(ID, no.alias("in_roster"), F.lit(True).alias("in_work"), none.alias("n_flagged"))
+    person = r.unionByName(w).groupBy(ID).agg(
+        F.bool_or("in_roster").alias("in_roster"), F.bool_or("in_work").alias("in_work"), F.max("n_flagged").alias("n_flagged"))
+    missing = F.col("in_roster") & ~F.col("in_work") & (F.col("n_flagged") > 0)
+    return person.agg(
         F.count_if(missing).alias("n_people_missing"),
         F.coalesce(F.sum(F.when(missing, F.col("n_flagged"))), F.lit(0)).alias("n_rows_missing"),
         F.count_if("in_work").alias("n_worklist_ids"),
-        # every worklist person is a roster person by construction; counted on the roster's ids
-        F.count_if(F.col("in_work") & F.col(ID).isNotNull()).alias("n_worklist_ids_in_roster"))
+        F.count_if(F.col("in_work") & F.col("in_roster")).alias("n_worklist_ids_in_roster"))
 
 
 def ids_without_admission(ids: DataFrame, admissions: DataFrame) -> DataFrame:
     """U4: distinct ids (NULL is one value) that have no admission record."""
-    adm = admissions.select(F.col("medicaid_id").alias(ID))
-    return ids.select(ID).subtract(adm)
+    # both sides are reduced to distinct ids (map-side combine) before they meet
+    adm = admissions.select(F.col("medicaid_id").alias(ID)).distinct()
+    return ids.select(ID).distinct().subtract(adm)
 
 
 def coverage_gap(services: DataFrame, elig_attr: DataFrame, assessments: DataFrame, deferrals: DataFrame,

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_SETS = 16
-
 
 def set_overlap(spark: SparkSession, sets: Sequence[tuple[str, DataFrame, str]],
                 count_null_id: bool = False) -> DataFrame:
@@ -20,31 +18,33 @@ def set_overlap(spark: SparkSession, sets: Sequence[tuple[str, DataFrame, str]],
     rows), and each mask's count is added to every subset of the mask.
     Combinations nobody reaches are kept with size 0.  A NULL id is skipped
     unless ``count_null_id`` (then it is one element, as in R's ``unique``).
+    The result has 2^k - 1 rows and the step before it up to 3^k: bounded by
+    the number of sets, not by the data.
     """
     k = len(sets)
-    if not 1 <= k <= MAX_SETS:
-        raise ValueError(f"between 1 and {MAX_SETS} sets")
+    if not 1 <= k < 64:
+        raise ValueError("between 1 and 63 sets: the mask is a long")
     parts = []
     for i, (_, df, col) in enumerate(sets):
         x = df.select(F.col(col).cast("string").alias("_id"))
         if not count_null_id:
             x = x.where(F.col("_id").isNotNull())
-        parts.append(x.select("_id", F.lit(1 << i).alias("_bit")))
+        parts.append(x.select("_id", F.lit(1 << i).cast("long").alias("_bit")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
     full = (1 << k) - 1
     masks = u.groupBy("_id").agg(F.bit_or("_bit").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
-    subsets = F.filter(F.sequence(F.lit(1), F.lit(full)), lambda t: (t.bitwiseAND(F.col("mask"))) == t)
+    subsets = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(full).cast("long")), lambda t: (t.bitwiseAND(F.col("mask"))) == t)
     per_combo = masks.select(F.explode(subsets).alias("combo"), "n")
-    zeros = spark.range(1, full + 1).select(F.col("id").cast("int").alias("combo"), F.lit(0).cast("long").alias("n"))
+    zeros = spark.range(1, full + 1).select(F.col("id").alias("combo"), F.lit(0).cast("long").alias("n"))
     sizes = per_combo.unionByName(zeros).groupBy("combo").agg(F.sum("n").alias("size"))
     labels = F.array(*[F.lit(lbl) for lbl, _, _ in sets])
     combo = F.col("combo")
-    members = F.array_compact(F.array(*[F.when(combo.bitwiseAND(F.lit(1 << i)) != 0, F.lit(i)) for i in range(k)]))
+    members = F.array_compact(F.array(*[F.when(combo.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(i)) for i in range(k)]))
     single = F.bit_count(combo) == 1
     return sizes.select(
-        F.col("combo").alias("mask"),
+        F.col("combo").cast("int" if k < 32 else "long").alias("mask"),
         members.alias("sets"),
         F.when(single, F.element_at(labels, F.element_at(members, 1) + 1)).alias("label"),
         F.col("size").cast("long").alias("size"),

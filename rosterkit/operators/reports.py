@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import floor_month, round_ratio
-from .schema import pivot_counts, row_sum, safe_name
+from .schema import unique_names
 
 
 def trailing_window(monthly: DataFrame, days: int = 365) -> DataFrame:
@@ -64,18 +64,23 @@ def narrative_metrics(roster: DataFrame, days: int = 365) -> DataFrame:
 
 
 def priority_crosstab(worklist: DataFrame, providers: Sequence[str] | None = None,
-                      total_name: str = "region_total") -> DataFrame:
+                      total_name: str = "region_total", other_name: str = "n_other") -> DataFrame:
     """Count of worklist rows per priority (rows) and provider (columns) plus a total column.
 
-    Provider columns come from the data (``providers=None``: Spark's pivot
-    finds them) and are named ``n_<provider>``.
+    Columns are named ``n_<provider>`` (unique).  Rows of a provider that is
+    not listed, or without one, are counted in ``other_name``; the total
+    counts all rows.  ``providers=None`` takes the providers that occur, one
+    driver row per provider.
     """
-    counts = worklist.groupBy("priority", "PROVIDER_NAME").agg(F.count(F.lit(1)).alias("n"))
-    wide = pivot_counts(counts, "priority", "PROVIDER_NAME", "n", providers)
-    renamed = wide.select("priority", *[F.col(f"`{c}`").alias("n_" + safe_name(c)) for c in wide.columns
-                                        if c != "priority"])
-    value_cols = [c for c in renamed.columns if c != "priority"]
-    return renamed.withColumn(total_name, row_sum(value_cols))
+    if providers is None:
+        found = worklist.select("PROVIDER_NAME").where(F.col("PROVIDER_NAME").isNotNull()).distinct()
+        providers = sorted(r[0] for r in found.collect())
+    p = F.col("PROVIDER_NAME")
+    names = unique_names(providers, "n_", [total_name, other_name, "priority"])
+    listed = F.coalesce(p.isin(list(providers)), F.lit(False)) if len(providers) else F.lit(False)
+    return worklist.groupBy("priority").agg(
+        *[F.count_if(F.coalesce(p == F.lit(v), F.lit(False))).alias(n) for v, n in zip(providers, names)],
+        F.count_if(~listed).alias(other_name), F.count(F.lit(1)).alias(total_name))
 
 
 def _fmt(c: str):

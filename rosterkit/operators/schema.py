@@ -149,9 +149,23 @@ def pivot_counts(df: DataFrame, row: str, col: str, value: str, col_values: Sequ
     g = df.groupBy(row)
     p = g.pivot(col, list(col_values)) if col_values is not None else g.pivot(col)
     out = p.agg(F.sum(value))
-    return out.fillna(fill, subset=[c for c in out.columns if c != row])
+    # by back-quoted name: a value may hold a dot
+    return out.select(F.col(f"`{row}`"), *[F.coalesce(F.col(f"`{c}`"), F.lit(fill)).alias(c) for c in out.columns if c != row])
 
 
 def safe_name(s: str) -> str:
     """A lower-case identifier made from a data value (for pivoted headers)."""
     return re.sub(r"[^0-9a-z]+", "_", s.lower()).strip("_")
+
+
+def unique_names(values: Sequence[str], prefix: str = "", taken: Sequence[str] = ()) -> list[str]:
+    """One identifier per value: ``prefix + safe_name``, with ``_2``, ``_3`` ... where names would be equal."""
+    used, out = set(taken), []
+    for v in values:
+        base = prefix + safe_name(v)
+        name, k = base, 2
+        while name in used:
+            name, k = f"{base}_{k}", k + 1
+        used.add(name)
+        out.append(name)
+    return out

@@ -10,32 +10,19 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import count_true, floor_month, percent
 
-# Display names of the completion summary (the original's report headers), in order.
-SUMMARY_DISPLAY = {
-    "cmhsp": "CMHSP",
-    "denominator": "Individuals eligible without refusal (Denominator)",
-    "denominator_fy": "Individuals eligible without refusal in Current FY (Denominator)",
-    "numerator": "Individuals with a current SIS (Numerator)",
-    "eligible": "Individuals eligible to receive SIS",
-    "due_in_fy": "Individuals with SIS due in current Fiscal Year",
-    "completed_elig": "Eligible individuals with a completed SIS",
-    "completed_inel": "Ineligible individuals with a completed SIS",
-    "overdue": "Individuals with an expired SIS",
-    "deferred": "Individuals who refused to take SIS",
-    "percent_complete": "Individuals with a current SIS / Individuals eligible for SIS",
-    "percent_complete_fy": "Individuals with a current SIS / Individuals with SIS due in FY",
-}
-
-
 def with_total(df: DataFrame, group: str, measures: dict[str, Column], label: str = C.TOTAL_LABEL,
                out_name: str | None = None) -> DataFrame:
-    """Per-group measures plus one appended total row (``rollup``).
+    """Per-group measures plus one appended total row.
+
+    The rows are reduced to one row per group first; the total is rolled up
+    from that small result, so no input row is read or expanded twice.
 
     The total is recognised by ``grouping()``, not by a NULL key, because a
     NULL group is a real group.  All measures must be additive.
     """
     out_name = out_name or group
-    agg = df.rollup(group).agg(*[m.alias(k) for k, m in measures.items()], F.grouping(group).alias("_g"))
+    per_group = df.groupBy(group).agg(*[m.alias(k) for k, m in measures.items()])
+    agg = per_group.rollup(group).agg(*[F.sum(k).alias(k) for k in measures], F.grouping(group).alias("_g"))
     return agg.select(F.when(F.col("_g") == 1, F.lit(label)).otherwise(F.col(group)).alias(out_name),
                       *measures.keys(), F.col("_g").cast("int").alias("is_total"))
 
@@ -66,15 +53,20 @@ def completion_summary(roster: DataFrame, label: str = C.TOTAL_LABEL) -> DataFra
         "percent_complete": percent("numerator", "denominator"),
         "percent_complete_fy": percent("numerator", "denominator_fy"),
     })
-    return t.select(*SUMMARY_DISPLAY.keys(), "is_total")
+    return t.select(*C.SUMMARY_DISPLAY.keys(), "is_total")
 
 
-def display_names(df: DataFrame, names: dict[str, str] = SUMMARY_DISPLAY, cols: Sequence[str] | None = None) -> DataFrame:
+def display_names(df: DataFrame, names: dict[str, str] = C.SUMMARY_DISPLAY, cols: Sequence[str] | None = None) -> DataFrame:
     """Select and rename to the report headers."""
     cols = list(cols) if cols is not None else [c for c in names if c in df.columns]
     return df.select(*[F.col(c).alias(names.get(c, c)) for c in cols])
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """O2: providers in name order, the total row last (one row per provider)."""
+    return df.orderBy("is_total", F.col("cmhsp").asc_nulls_first())
+
+
 def monthly_completions(roster: DataFrame) -> DataFrame:
     """Completed assessments of eligible rows per provider and month."""
     r = roster.where(F.col("PROVIDER_NAME").isNotNull() & F.col("sis_complete_elig"))

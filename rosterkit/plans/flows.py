@@ -93,8 +93,21 @@ class Run:
     def checkpoint_roster(self) -> DataFrame:
         """Cut the roster's lineage into the shared checkpoint folder (survives executor loss)."""
         self.__dict__["roster"] = self.roster.checkpoint(eager=True)
+        for mart in ("worklist", "summary", "monthly"):  # built on the roster before the cut
+            self.__dict__.pop(mart, None)
+        self._checkpointed = True
         return self.roster
 
+    def cut_roster(self) -> DataFrame:
+        """The checkpointed roster, for results that read it more than once."""
+        return self.roster if getattr(self, "_checkpointed", False) else self.checkpoint_roster()
+
+    def checkpoint_fy_roster(self) -> DataFrame:
+        self.__dict__["fy_roster"] = self.fy_roster.checkpoint(eager=True)
+        for mart in ("fy_worklist", "fy_summary"):
+            self.__dict__.pop(mart, None)
+        return self.fy_roster
+
     @cached_property
     def worklist(self) -> DataFrame:
         return worklist.worklist(self.roster, self.cfg.dense_priority)
@@ -134,10 +147,12 @@ class Run:
         return reports.priority_crosstab(self.worklist, self.providers)
 
     def reconcile_rows(self) -> DataFrame:
-        return checks.flagged_not_in_worklist(self.roster)
+        r = self.cut_roster()
+        return checks.flagged_not_in_worklist(r, self.worklist)
 
     def reconcile_counts(self) -> DataFrame:
-        return checks.reconcile(self.roster)
+        r = self.cut_roster()
+        return checks.reconcile(r, self.worklist)
 
     def coverage_gap(self) -> DataFrame:
         return checks.coverage_gap(self.services, self.elig_qi, self.assessments, self.deferrals, self.admissions,
@@ -151,28 +166,36 @@ class Run:
 
     # -- outputs (K1-K3) ------------------------------------------------------
     def write_outputs(self, base: str, checkpoint: bool = True) -> dict[str, str]:
-        """Write the run's outputs: dated summary and worklist CSVs, one worklist folder per
-        provider (latest service first), and the point-in-time summary and worklist with row
-        numbers.  The roster feeds every output, so it is checkpointed once into the shared
-        checkpoint folder first (lineage cut: an executor loss does not rerun the claims scan).
-        Returns the written locations.
+        """Write the run's outputs: the dated summary (report headers, providers in order, total
+        last) and worklist (latest service first) as CSV, one worklist folder per provider, the
+        point-in-time summary and worklist with row numbers, and the report tables.  Both rosters
+        feed several outputs, so each is checkpointed once into the shared checkpoint folder
+        first (lineage cut: an executor loss does not rerun the claims scan).  Returns the
+        written locations.
         """
         from pyspark.sql import functions as F
 
         from ..sources import sinks
         if checkpoint:
-            self.checkpoint_roster()
+            self.cut_roster()
+            self.checkpoint_fy_roster()
         as_of = self.cfg.as_of
+        latest_first = [F.col("most_recent_service").desc_nulls_last(), F.col(ID).asc_nulls_last(),
+                        F.col("PROVIDER_NAME").asc_nulls_last()]
         out = {
-            "summary": sinks.write_csv(self.summary, f"{base}/percent_complete_summary", as_of),
-            "worklist": sinks.write_csv(self.worklist, f"{base}/need_assessment", as_of),
+            "summary": sinks.write_csv(summary.display_names(summary.in_order(self.summary)),
+                                       f"{base}/percent_complete_summary", as_of),
+            "worklist": sinks.write_csv(self.worklist.orderBy(*latest_first), f"{base}/need_assessment", as_of),
+            "trailing_months": sinks.write_csv(self.trailing_months().orderBy("month_complete"), f"{base}/trailing_months", as_of),
+            "narrative": sinks.write_csv(self.narrative(), f"{base}/narrative", as_of),
+            "crosstab": sinks.write_csv(self.crosstab().orderBy("priority"), f"{base}/priority_crosstab", as_of),
+            "director": sinks.write_csv(reports.director_table(summary.in_order(self.summary)), f"{base}/director", as_of),
+            "supervisor": sinks.write_csv(reports.supervisor_table(summary.in_order(self.summary)), f"{base}/supervisor", as_of),
             "per_provider": sinks.write_split(self.worklist, "PROVIDER_NAME",
                                               sinks.dated_path(f"{base}/per_provider/need_assessment", as_of),
                                               "most_recent_service"),
         }
-        fy_order = [F.col("most_recent_service").desc_nulls_last(), F.col(ID).asc_nulls_last(),
-                    F.col("PROVIDER_NAME").asc_nulls_last()]
         out["fy_summary"] = sinks.write_csv_with_row_names(
             self.fy_summary, f"{base}/percent_complete_summary_fy", [F.col("is_total"), F.col("PROVIDER_NAME")])
-        out["fy_worklist"] = sinks.write_csv_with_row_names(self.fy_worklist, f"{base}/need_assessment_fy", fy_order)
+        out["fy_worklist"] = sinks.write_csv_with_row_names(self.fy_worklist, f"{base}/need_assessment_fy", latest_first)
         return out

@@ -95,8 +95,8 @@ elig_qi AS (
 ),
 sis_all AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS sis_id, {PID.format(k='o_custkey')} AS mcaid_id, o_orderstatus,
-         o_totalprice, o_orderdate, CAST(o_orderdate AS DATE) AS sis_completed_dt
-  FROM orders WHERE o_orderpriority = '5-LOW'
+         o_orderpriority = '5-LOW' AS low, o_totalprice, o_orderdate, CAST(o_orderdate AS DATE) AS sis_completed_dt
+  FROM orders
 ),
 sis AS (
   SELECT sis_id, mcaid_id, sis_completed_dt,
@@ -112,7 +112,7 @@ sis AS (
          sis_completed_dt + 30 AS isp_begin_date,
          CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY + INTERVAL 8 HOUR + INTERVAL 30 MINUTE AS statusChangeDate,
          CAST(o_orderdate AS TIMESTAMP) + INTERVAL 2 DAY AS dateUpdated
-  FROM sis_all WHERE o_orderstatus = 'F'
+  FROM sis_all WHERE low AND o_orderstatus = 'F'
 ),
 sis_ids AS (
   SELECT mcaid_id, CASE WHEN count(*) = count(sis_completed_dt) THEN max(sis_completed_dt) END AS sis_completed_dt
@@ -121,7 +121,7 @@ sis_ids AS (
 defer_raw AS (
   SELECT CAST(user_id * 10 + 1 AS VARCHAR) AS raw_id,
          CAST({AS_OF} - CAST(floor((epoch(ts) - {EVENT_EPOCH_SECONDS}) / 3600) AS INTEGER) AS DATE) AS defer_date
-  FROM events WHERE event_type = 'error'
+  FROM events
 ),
 sis_defer AS (
   SELECT lpad(raw_id, 10, '0') AS MEDICAID_ID, defer_date, TRUE AS deferral,
@@ -131,7 +131,7 @@ sis_defer AS (
 ),
 adm AS (
   SELECT o_custkey, {PID.format(k='o_custkey')} AS medicaid_id, CAST(o_orderdate AS DATE) AS d
-  FROM orders WHERE o_orderstatus = 'O'
+  FROM orders
 ),
 open_date AS (
   SELECT DISTINCT medicaid_id, d AS agency_admission_date FROM adm a
@@ -382,6 +382,10 @@ FINAL = {
                       "HAB_WAIVER, HMP_ELIG, HMP_BUCKET FROM svs",
     "services_via_files": "SELECT clm_id, MEDICAID_ID, PROVIDER_NAME, CPT_CD, MEDICAID, FROM_DATE, THRU_DATE, "
                           "HAB_WAIVER, HMP_ELIG, HMP_BUCKET FROM svs",
+    "admissions_via_files": "SELECT * FROM open_date",
+    "assessments_via_files": """SELECT sis_id, CASE WHEN low AND o_orderstatus = 'F' THEN 'COMPLETED' WHEN low AND o_orderstatus = 'O' THEN 'IN PROGRESS' END AS statusText,
+        CASE WHEN o_totalprice > 300000 THEN NULL ELSE 'Region' END AS sis_region FROM sis_all""",
+    "load_audit": "SELECT count(*) AS rows, TRUE AS every_file_has_rows FROM customer",
     "service_eligibility": "SELECT * FROM elig_svs",
     "attributes_clean": "SELECT MEDICAID_ID, DISABILITYDD, MOBILITY, PERSONAL, SUPPORT_SYSTEM, DATE_OF_BIRTH FROM attrs",
     "attribute_eligibility": "SELECT * FROM elig_qi",
@@ -438,6 +442,7 @@ FINAL = {
         count(*) FILTER (WHERE PROVIDER_NAME = 'ASIA') AS n_asia,
         count(*) FILTER (WHERE PROVIDER_NAME = 'EUROPE') AS n_europe,
         count(*) FILTER (WHERE PROVIDER_NAME = 'MIDDLE EAST') AS n_middle_east,
+        count(*) FILTER (WHERE coalesce(PROVIDER_NAME NOT IN ('0-AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'), TRUE)) AS n_other,
         count(*) AS region_total
       FROM worklist GROUP BY priority""",
     "director_table": """SELECT cmhsp AS organization, format('{:,}', denominator) AS denominator,
@@ -447,6 +452,17 @@ FINAL = {
         format('{:,}', numerator) AS numerator, format('{:,}', eligible) AS eligible, percent_complete,
         format('{:,}', due_in_fy) AS due_this_fy, format('{:,}', completed_elig) AS completed,
         format('{:,}', overdue) AS overdue, format('{:,}', deferred) AS deferred FROM summary""",
+    "summary_display": """SELECT cmhsp AS "CMHSP", denominator AS "Individuals eligible without refusal (Denominator)",
+        denominator_fy AS "Individuals eligible without refusal in Current FY (Denominator)",
+        numerator AS "Individuals with a current SIS (Numerator)", eligible AS "Individuals eligible to receive SIS",
+        due_in_fy AS "Individuals with SIS due in current Fiscal Year",
+        completed_elig AS "Eligible individuals with a completed SIS",
+        completed_inel AS "Ineligible individuals with a completed SIS",
+        overdue AS "Individuals with an expired SIS", deferred AS "Individuals who refused to take SIS",
+        percent_complete AS "Individuals with a current SIS / Individuals eligible for SIS",
+        percent_complete_fy AS "Individuals with a current SIS / Individuals with SIS due in FY",
+        row_number() OVER (ORDER BY is_total, cmhsp) AS "row"
+      FROM summary""",
     "reconcile_missing": f"""SELECT {ROSTER_COLS} FROM roster r
       WHERE NOT EXISTS (SELECT 1 FROM worklist w WHERE w.MEDICAID_ID IS NOT DISTINCT FROM r.MEDICAID_ID)
         AND (sis_overdue OR sis_coming90 OR due_in_fy)""",
@@ -495,7 +511,7 @@ FINAL = {
         CAST(year(d) AS INTEGER) AS year, CAST(d - CAST(dayofweek(d) AS INTEGER) AS DATE) AS week_start,
         CAST(date_trunc('month', d) AS DATE) AS month_start
       FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""",
-    "null_tokens": """SELECT sis_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'IN PROGRESS' END AS statusText,
+    "null_tokens": """SELECT sis_id, CASE WHEN low AND o_orderstatus = 'F' THEN 'COMPLETED' WHEN low AND o_orderstatus = 'O' THEN 'IN PROGRESS' END AS statusText,
         CASE WHEN o_totalprice > 300000 THEN NULL ELSE 'Region' END AS sis_region FROM sis_all""",
     "recode": "SELECT clm_id, PROVIDER_NAME FROM svs",
     "yes_no_flags": "SELECT clm_id, HAB_WAIVER, HMP_ELIG, HMP_BUCKET FROM svs",

@@ -43,29 +43,69 @@ def q_services_clean(spark, d):
         "HAB_WAIVER", "HMP_ELIG", "HMP_BUCKET")
 
 
-@query("services_via_files")  # S2, S4, S7 (header), S8 + M1 on files written from the tables
-def q_services_via_files(spark, d):
-    """Round trip: the claim extract is written as preamble CSV files (closed years and current
-    period in two folders, several files per provider) into the shared checkpoint folder, then read
-    back with the preamble-skipping reader and cleaned."""
+ROWS_PER_FILE = 50_000
+PREAMBLE = ["Services report", "Source: claims", "", "Parameters:", "  all providers", "", "Generated"]
+
+
+def _extract_files(df, name: str, preamble, key_col: str) -> str:
+    """Write an extract as preamble CSV files of about ROWS_PER_FILE rows; returns the glob."""
     import uuid
 
     from ..session import checkpoint_path
     from ..sources import files
+    n = max(2, -(-df.count() // ROWS_PER_FILE))
+    key = F.pmod(F.xxhash64(F.col(f"`{key_col}`")), F.lit(n))
+    return files.write_with_preamble(df, checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}"), preamble, key)
+
+
+@query("services_via_files")  # S2, S4 + M1 on files written from the tables
+def q_services_via_files(spark, d):
+    """Round trip: the claim extract is written as preamble CSV files (closed years and current
+    period in two folders) into the shared checkpoint folder, then read back with the
+    preamble-skipping reader and cleaned."""
+    from ..sources import files
     r = _run(spark, d)
     raw = r.raw_services.drop("NOTE:")
-    base = checkpoint_path(spark, f"services-extract-{uuid.uuid4().hex}")
-    preamble = ["Services report", "Source: claims", "", "Parameters:", "  all providers", "", "Generated"]
-    closed = F.substring(F.col("`THRU DATE`"), 1, 4) < F.lit(str(r.cfg.as_of.year))
-    key = F.concat_ws("-", F.col("`PROVIDER NAME`"), F.pmod(F.xxhash64(F.col("`CLM ID`")), F.lit(4)).cast("string"))
-    paths = [files.write_with_preamble(raw.where(closed), f"{base}/complete_years", preamble, key),
-             files.write_with_preamble(raw.where(~closed), f"{base}/current", preamble, key)]
-    back = files.read_many(spark, paths, skip=len(preamble), keep_source=False)
+    closed = F.coalesce(F.substring(F.col("`THRU DATE`"), 1, 4) < F.lit(str(r.cfg.as_of.year)), F.lit(False))
+    paths = [_extract_files(raw.where(closed), "services-closed", PREAMBLE, "CLM ID"),
+             _extract_files(raw.where(~closed), "services-current", PREAMBLE, "CLM ID")]
+    back = files.read_many(spark, paths, skip=len(PREAMBLE), keep_source=False)
     return cohorts.prep_services(back, r.cfg.provider_recode).select(
         F.col("CLM_ID").alias("clm_id"), ID, "PROVIDER_NAME", "CPT_CD", "MEDICAID", "FROM_DATE", "THRU_DATE",
         "HAB_WAIVER", "HMP_ELIG", "HMP_BUCKET")
 
 
+@query("admissions_via_files")  # S3 + M8: skip 3, whole-row duplicates across files dropped
+def q_admissions_via_files(spark, d):
+    from ..sources import files
+    from ..sources.standin import raw_admissions
+    raw = raw_admissions(spark, d).drop("X_1")
+    path = _extract_files(raw, "admissions", ["Admissions", "", "Generated"], "case number")
+    back = files.read_many(spark, [path], skip=3, dedupe=True, keep_source=False)
+    return cohorts.open_admissions(back.withColumn("X_1", F.lit(None).cast("string")))
+
+
+@query("assessments_via_files")  # S7 + S5: a description row after each header
+def q_assessments_via_files(spark, d):
+    from ..config import ASSESSMENT_NULL_TOKENS
+    from ..sources import files
+    raw = _run(spark, d).raw_assessments.select("Assessment ID", "statusText", "sis_region")
+    # the header goes in as the last preamble line; the writer's own header is the description row
+    path = _extract_files(raw, "assessments", ["Assessments", "Assessment ID,statusText,sis_region"], "Assessment ID")
+    back = files.read_many(spark, [path], skip=1, drop_rows_after_header=1, keep_source=False)
+    back = schema.null_tokens(back, ASSESSMENT_NULL_TOKENS)
+    return back.select(F.col("`Assessment ID`").alias("sis_id"), "statusText", "sis_region")
+
+
+@query("load_audit")  # S8: rows per source file, summed over the files of the extract
+def q_load_audit(spark, d):
+    from ..sources import files
+    raw = _run(spark, d).raw_attributes
+    path = _extract_files(raw, "attributes", [], "MEDICAID RECIP ID")
+    per_file = files.load_audit(files.read_many(spark, [path]))
+    return per_file.agg(F.sum("rows").alias("rows"), F.min(F.col("rows") > 0).alias("every_file_has_rows"))
+
+
 @query("service_eligibility")  # M2
 def q_service_eligibility(spark, d):
     return _run(spark, d).elig_svs
@@ -155,6 +195,17 @@ def q_summary_dated_csv(spark, d):
     return spark.read.option("header", True).schema(r.summary.schema).csv(path)
 
 
+@query("summary_display")  # C6 + O2: report headers, providers in order, total last (order as a column)
+def q_summary_display(spark, d):
+    from pyspark.sql.window import Window
+
+    from ..operators.summary import display_names
+    s = _run(spark, d).summary
+    # one row per provider
+    row = F.row_number().over(Window.orderBy("is_total", F.col("cmhsp").asc_nulls_first()))
+    return display_names(s.withColumn("row", row.cast("long")), cols=[c for c in s.columns if c != "is_total"] + ["row"])
+
+
 @query("completion_summary")  # M14
 def q_completion_summary(spark, d):
     return _run(spark, d).summary
@@ -401,7 +452,8 @@ def q_id_subtract(spark, d):
 @query("id_intersect")  # U5
 def q_id_intersect(spark, d):
     r = _run(spark, d)
-    return r.worklist.select(ID).intersect(r.roster.select(ID))
+    roster = r.cut_roster()
+    return r.worklist.select(ID).distinct().intersect(roster.select(ID).distinct())
 
 
 @query("anti_join")  # J6
@@ -413,7 +465,9 @@ def q_anti_join(spark, d):
 @query("semi_join")  # J7
 def q_semi_join(spark, d):
     r = _run(spark, d)
-    gap = checks.ids_without_admission(r.worklist, r.admissions)
+    r.cut_roster()
+    # the id list is cut too: the claims meet plain ids, not the id cleaning of another branch
+    gap = checks.ids_without_admission(r.worklist, r.admissions).checkpoint(eager=True)
     return r.services.join(gap, ID, "left_semi").select(F.col("CLM_ID").alias("clm_id"), ID, "FROM_DATE")
 
 

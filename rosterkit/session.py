@@ -8,7 +8,6 @@ cluster submit (spark-submit / spark-defaults) keeps its own values.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -58,18 +57,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
+    """Use the cluster's ``spark.checkpoint.dir``; without it, a folder of the SQL warehouse.
 
-    On a cluster that setting names a shared folder (HDFS / object store)
-    that survives executor loss.  A machine-local folder is only chosen when
-    nothing is configured, which is the case for local tests.  (The setting
-    is static, so the fallback goes through the SparkContext.)
+    Both are shared by the driver and all executors (HDFS / object store) and
+    survive executor loss; a machine-local temporary folder is never used.
+    (The setting is static, so the fallback goes through the SparkContext.)
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rosterkit-ckpt-")
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 

@@ -1,12 +1,11 @@
 """File readers.
 
 ``read_many`` handles the extract layout of the original inputs: many CSV
-files, each with a few preamble lines before the header.  Spark's CSV
-reader cannot skip a per-file preamble, so each file is read whole
-(``wholetext``), split into lines with their positions, and the lines after
-the header are parsed with ``from_csv``.  Files are then unsplittable: the
-read parallelism is the number of files, and quoted fields must not contain
-line breaks.  Every row keeps the path of its file (load audit, S8).
+files, each with a few preamble lines before its own header.  Files are read
+as lines, so a large file is split over tasks; the preamble sits in a file's
+first block, where lines keep their order, and is dropped there.  Every file's
+header is read by itself and columns are matched by name.  A quoted field may
+hold separators and doubled quotes, but no line break.
 """
 
 from __future__ import annotations
@@ -19,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SOURCE_FILE = "source_file"
+NULL_TOKENS = ("", "NA")   # fields read as missing, after trimming
+QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+BROADCAST_FILES = 100_000  # beyond this many files their headers join by shuffle
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """One CSV with a header; typed by ``schema`` (all text when omitted)."""
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    return r.schema(schema).csv(path) if schema is not None else r.csv(path)
+    """One CSV with a header; types from ``schema``, else inferred (one more pass)."""
+    r = spark.read.options(header=True, mode="PERMISSIVE", nullValue="NA", **QUOTING)
+    return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
 
 
 def period_paths(directory: str, closed_subdir: str = "complete_years") -> list[str]:
@@ -32,35 +34,64 @@ def period_paths(directory: str, closed_subdir: str = "complete_years") -> list[
     return [f"{directory}/{closed_subdir}/*.csv", f"{directory}/*.csv"]
 
 
-def _header_columns(spark: SparkSession, paths: Sequence[str], skip: int, sep: str) -> list[str]:
-    """The header line of the first file (one short line brought to the driver)."""
-    first = (spark.read.text(list(paths), wholetext=True)
-             .select(F.element_at(F.split("value", r"\r?\n"), skip + 1).alias("h")).limit(1).collect())
-    if not first or first[0]["h"] is None:
-        raise ValueError(f"no header line in {list(paths)}")
-    return [c.strip() for c in next(csv.reader([first[0]["h"]], delimiter=sep))]
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(value, file, in_first, at): ``at`` counts up by one from line to line of a file's block."""
+    return spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_in_first"),
+        F.monotonically_increasing_id().alias("_at"))
 
 
-def read_many(spark: SparkSession, paths: Sequence[str], skip: int = 0, dedupe: bool = False,
-              drop_rows_after_header: int = 0, sep: str = ",", keep_source: bool = True) -> DataFrame:
-    """Union of CSV files that start with ``skip`` preamble lines, all columns text.
+def _headers(lines: DataFrame, skip: int) -> DataFrame:
+    """(file, first, header): a file's first line number and its header line."""
+    first = lines.where("_in_first").groupBy("_file").agg(F.min("_at").alias("_first"))
+    first = first.select(F.col("_file").alias("_hf"), "_first")
+    return lines.where("_in_first").join(
+        first, (F.col("_file") == F.col("_hf")) & (F.col("_at") == F.col("_first") + skip)).select(
+        "_hf", "_first", F.col("value").alias("_header"))
+
+
+def _names(header: str, sep: str) -> list[str]:
+    return [c.strip() for c in next(csv.reader([header.strip("\r\ufeff")], delimiter=sep))]
 
-    ``drop_rows_after_header`` drops that many data rows right after each
-    header (a description row, S7).  ``dedupe`` removes whole-row duplicates
-    across files (S3; the source file column is excluded from the comparison).
+
+def read_many(spark: SparkSession, paths: Sequence[str], skip: int = 0, dedupe: bool = False,
+              drop_rows_after_header: int = 0, sep: str = ",", keep_source: bool = True,
+              null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+    """Rows of CSV files that start with ``skip`` preamble lines, matched by column name, all text.
+
+    Columns come in the order of the first file (by path); a file whose set of
+    names differs raises ``ValueError``.  Fields are trimmed, and those equal
+    to one of ``null_tokens`` are null.  ``drop_rows_after_header`` drops that
+    many lines right after each header (a description row, S7).  ``dedupe``
+    removes whole-row duplicates across files (S3; the source file column is
+    excluded from the comparison).
     """
-    cols = _header_columns(spark, paths, skip, sep)
-    ddl = ", ".join(f"`c{i}` STRING" for i in range(len(cols)))
-    files = spark.read.text(list(paths), wholetext=True).select(
-        F.col("value"), F.col("_metadata.file_path").alias(SOURCE_FILE))
-    lines = files.select(SOURCE_FILE, F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    first_data = skip + 1 + drop_rows_after_header
-    data = lines.where((F.col("pos") >= first_data) & (F.length("line") > 0))
-    parsed = data.select(SOURCE_FILE, F.from_csv("line", ddl, {"sep": sep}).alias("r"))
-    out = parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)],
-                        *([F.col(SOURCE_FILE)] if keep_source else []))
+    lines = _lines(spark, paths)
+    heads = _headers(lines, skip).checkpoint(eager=True)
+    kinds = [r["_header"] for r in heads.groupBy("_header").agg(F.min("_hf").alias("f")).orderBy("f").collect()]
+    if not kinds:
+        raise ValueError(f"no header line in {list(paths)}")
+    cols = _names(kinds[0], sep)
+    for h in kinds:
+        if sorted(_names(h, sep)) != sorted(cols):
+            raise ValueError(f"column names differ: {sorted(_names(h, sep))} and {sorted(cols)}")
+    n = heads.count()
+    x = lines.join(F.broadcast(heads) if n <= BROADCAST_FILES else heads, F.col("_file") == F.col("_hf"))
+    x = x.where(~(F.col("_in_first") & (F.col("_at") <= F.col("_first") + skip + drop_rows_after_header)) & (F.length("value") > 0))
+    parts = []
+    for h in kinds:  # files with one header are parsed together: usually one kind
+        names = _names(h, sep)
+        ddl = ", ".join(f"`c{cols.index(c)}` STRING" for c in names)
+        r = x.where(F.col("_header") == F.lit(h)) if len(kinds) > 1 else x
+        r = r.select(F.col("_file").alias(SOURCE_FILE), F.from_csv("value", ddl, {"sep": sep, **QUOTING}).alias("r"))
+        clean = lambda c: F.when(~F.trim(c).isin(list(null_tokens)), F.trim(c))
+        parts.append(r.select(*[clean(F.col(f"r.c{i}")).alias(c) for i, c in enumerate(cols)], SOURCE_FILE))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out if keep_source else out.drop(SOURCE_FILE)
     if dedupe:
-        out = out.dropDuplicates([c for c in cols]) if keep_source else out.distinct()
+        out = out.dropDuplicates(cols) if keep_source else out.distinct()
     return out
 
 
@@ -84,7 +115,7 @@ def write_with_preamble(df: DataFrame, path: str, preamble: Sequence[str], file_
     header = sep.join('"' + c.replace('"', '""') + '"' if (sep in c or '"' in c) else c for c in cols)
     key = file_key if file_key is not None else F.lit("part")
     data = df.select(key.cast("string").alias("_file"), F.lit(len(preamble) + 1).alias("_seq"),
-                     F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]), {"sep": sep}).alias("_line"))
+                     F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]), {"sep": sep, "quote": '"', "escape": '"'}).alias("_line"))
     heads = (data.select("_file").distinct()
              .select("_file", F.posexplode(F.array(*[F.lit(x) for x in [*preamble, header]])).alias("_seq", "_line")))
     lines = heads.unionByName(data.select("_file", "_seq", "_line"))

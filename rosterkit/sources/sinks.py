@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# A quote inside a field is doubled, as CSV readers expect.
+CSV = {"header": "true", "quote": '"', "escape": '"'}
+
+
 def _row_hash(df: DataFrame):
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
@@ -26,7 +30,7 @@ def dated_path(base: str, as_of: dt.date | str) -> str:
 def write_csv(df: DataFrame, base: str, as_of, mode: str = "overwrite") -> str:
     """K1: CSV with a header under a date-stamped folder; returns the folder."""
     path = dated_path(base, as_of)
-    df.write.option("header", True).mode(mode).csv(path)
+    df.write.options(**CSV).mode(mode).csv(path)
     return path
 
 
@@ -47,7 +51,7 @@ def write_split(df: DataFrame, by: str, base: str, order_desc: str, mode: str =
     keys = [F.col(part).asc_nulls_last(), F.col(order_desc).desc_nulls_last(), F.col("_tie")]
     ordered = (df.withColumn(part, F.col(by)).withColumn("_tie", _row_hash(df))
                .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie"))
-    ordered.write.option("header", True).mode(mode).partitionBy(part).csv(base)
+    ordered.write.options(**CSV).mode(mode).partitionBy(part).csv(base)
     return base
 
 
@@ -77,5 +81,5 @@ def with_row_number(df: DataFrame, order_by: Sequence, name: str = "row") -> Dat
 
 def write_csv_with_row_names(df: DataFrame, base: str, order_by: Sequence, mode: str = "overwrite") -> str:
     """K3: CSV whose first column numbers the rows (as a data frame's row names)."""
-    with_row_number(df, order_by, "").write.option("header", True).mode(mode).csv(base)
+    with_row_number(df, order_by, "").write.options(**CSV).mode(mode).csv(base)
     return base

@@ -4,8 +4,7 @@ The original inputs (claims, quality-indicator file, assessment sheet,
 deferral workbooks, admission reports) are private.  These adapters derive
 raw extracts of the same shape from the test tables, dirty ids and text
 dates included, so that the cleaning operators run on every row.  Nothing is
-sampled or filtered by key: each adapter reads its whole table and only
-selects rows by a business attribute (order status, event type).
+sampled or filtered: each adapter turns every row of its table into a row.
 
 Person key: ``k + 1`` for customer ``k`` (user ``u`` is customer ``10 u``);
 the clean id is that number zero-padded to 10 digits.
@@ -133,8 +132,9 @@ def raw_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_assessments(spark: SparkSession, sf_dir: str, clock_change=STANDIN_CLOCK_CHANGE) -> DataFrame:
-    """Assessment sheet: orders of one priority class; status F = completed."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "5-LOW")
+    """Assessment sheet: every order; those of the lowest priority with order status F are completed."""
+    o = table(spark, sf_dir, "orders")
+    low = F.col("o_orderpriority") == "5-LOW"
     k = _key(F.col("o_custkey"))
     day = F.col("o_orderdate").cast("date")
     price = F.col("o_totalprice")
@@ -147,8 +147,8 @@ def raw_assessments(spark: SparkSession, sf_dir: str, clock_change=STANDIN_CLOCK
     return o.select(
         F.col("o_orderkey").cast("string").alias("Assessment ID"),
         F.when(price > 100000, F.concat(F.lit(" "), k, F.lit("A"))).otherwise(F.lpad(k, 10, "0")).alias("sis_track_num"),
-        (F.when(F.col("o_orderstatus") == "F", F.lit("COMPLETED"))
-         .when(F.col("o_orderstatus") == "O", F.lit("IN PROGRESS"))
+        (F.when(low & (F.col("o_orderstatus") == "F"), F.lit("COMPLETED"))
+         .when(low & (F.col("o_orderstatus") == "O"), F.lit("IN PROGRESS"))
          .otherwise(F.lit("Choose one"))).alias("statusText"),
         F.concat(serial, F.when(price > 150000, F.lit(" 12:00:00")).otherwise(F.lit(""))).alias("sis_completed_dt"),
         clock(start_ts).alias("sis_startTime"),
@@ -164,13 +164,13 @@ def raw_assessments(spark: SparkSession, sf_dir: str, clock_change=STANDIN_CLOCK
 
 
 def raw_deferral_sources(spark: SparkSession, sf_dir: str, as_of=STANDIN_AS_OF) -> list[tuple[DataFrame, str, str, str]]:
-    """Deferral workbooks: error events, split by day of month into three sheets.
+    """Deferral workbooks: every event, split by day of month into three sheets.
 
     Returns ``(df, key_column, date_column, date_kind)`` for ``union_sources``.
     Sheet A carries datetimes, sheets B and C spreadsheet serial numbers;
     sheet C names its key ``Medicaid ID #``.
     """
-    e = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    e = table(spark, sf_dir, "events")
     key = (F.col("user_id") * 10 + 1).cast("string")
     # whole hours since the epoch, on the wall clock (independent of the session zone)
     ts = F.col("ts").cast("timestamp_ntz")
@@ -188,8 +188,8 @@ def raw_deferral_sources(spark: SparkSession, sf_dir: str, as_of=STANDIN_AS_OF)
 
 
 def raw_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission reports: open orders (status O); one case per customer."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "O")
+    """Admission reports: every order; one case per customer."""
+    o = table(spark, sf_dir, "orders")
     day = F.col("o_orderdate").cast("date")
     return o.select(
         F.col("o_custkey").cast("string").alias("case number"),

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from rosterkit.session import get_session
     s = get_session(master="local[4]", shuffle_partitions=8, app_name="rosterkit-tests")
+    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rosterkit-tests-"))
     yield s
 
 

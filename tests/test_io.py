@@ -39,6 +39,47 @@ def test_read_many_dedupe_and_description_row(spark, tmp_path):
     assert sorted((r["case number"], r["medicaid id"]) for r in df.collect()) == [("1", "0000000001"), ("2", "0000000002")]
 
 
+def test_read_many_by_name_quotes_and_null_tokens(spark, tmp_path):
+    _write(tmp_path / "1.csv", PREAMBLE + ["ID,PROVIDER,NOTE", '1, Y ,"say ""hi"", ok"', "2,NA,"])
+    _write(tmp_path / "2.csv", PREAMBLE + ["NOTE,ID,PROVIDER", "x,3,P9"])
+    got = sorted(map(tuple, files.read_many(spark, [str(tmp_path)], skip=7, keep_source=False).collect()))
+    assert got == [("1", "Y", 'say "hi", ok'), ("2", None, None), ("3", "P9", "x")]
+
+
+def test_read_many_rejects_other_columns(spark, tmp_path):
+    import pytest
+    _write(tmp_path / "1.csv", ["a,b", "1,2"])
+    _write(tmp_path / "2.csv", ["a,c", "1,2"])
+    with pytest.raises(ValueError, match="column names differ"):
+        files.read_many(spark, [str(tmp_path)])
+
+
+def test_read_many_splits_large_files(spark, tmp_path):
+    """Several tasks read one file; only its first block holds a preamble."""
+    _write(tmp_path / "1.csv", PREAMBLE + ["k,v"] + [f"{i},row {i}" for i in range(4000)])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = files.read_many(spark, [str(tmp_path / "1.csv")], skip=7)
+        assert spark.read.text(str(tmp_path / "1.csv")).rdd.getNumPartitions() > 4
+        assert sorted(int(r.k) for r in df.collect()) == list(range(4000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_written_quotes_are_doubled(spark, tmp_path):
+    df = spark.createDataFrame([('say "hi", ok',)], "k string")
+    path = sinks.write_csv(df, str(tmp_path / "q"), "1999-06-30")
+    text = "".join(f.read_text() for f in __import__("pathlib").Path(path).glob("*.csv"))
+    assert '"say ""hi"", ok"' in text
+
+
+def test_read_table_infers_types(spark, tmp_path):
+    _write(tmp_path / "t.csv", ["a,b", "1, x ", "NA,NA"])
+    df = files.read_table(spark, str(tmp_path / "t.csv"))
+    assert df.dtypes == [("a", "int"), ("b", "string")] and sorted(map(tuple, df.collect()), key=repr) == [(1, "x"), (None, None)]
+
+
 def test_read_table(spark, tmp_path):
     p = tmp_path / "qi.csv"
     _write(p, ["MEDICAID RECIP ID,DATE OF BIRTH", "12,1980-01-02"])
@@ -88,6 +129,9 @@ def test_run_write_outputs(spark, tmp_path):
     assert out["summary"].endswith("percent_complete_summary_1999-06-30")
     summary = spark.read.option("header", True).csv(out["summary"])
     assert summary.count() == run.summary.count()
+    assert summary.columns[0] == "CMHSP" and summary.collect()[-1]["CMHSP"] == run.cfg.total_label
+    for table in ("trailing_months", "narrative", "crosstab", "director", "supervisor"):
+        assert spark.read.option("header", True).csv(out[table]).count() > 0
     assert spark.read.option("header", True).csv(out["worklist"]).count() == run.worklist.count()
     per = spark.read.option("header", True).csv(out["per_provider"] + "/*/*.csv")
     assert per.count() == run.worklist.count()

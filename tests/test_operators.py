@@ -172,3 +172,44 @@ def test_null_tokens(spark):
     df = spark.createDataFrame([("Choose one", " ", 1), ("ok", "Enterprise Wide", 2)], "a string, b string, n int")
     out = schema.null_tokens(df, ("", " ", "NA", "Choose one", "Enterprise Wide")).collect()
     assert [(x.a, x.b, x.n) for x in out] == [(None, None, 1), ("ok", None, 2)]
+
+
+def test_crosstab_with_dots_collisions_and_unlisted_providers(spark):
+    from rosterkit.config import PROVIDER_RECODE
+    from rosterkit.operators.reports import priority_crosstab
+    names = [*PROVIDER_RECODE.values(), "A-B", "A B"]
+    rows = [("p1", n) for n in names] + [("p1", "P9"), ("p2", "P9"), ("p2", None), ("p2", "A B")]
+    w = spark.createDataFrame(rows, "priority string, PROVIDER_NAME string")
+    got = {r.priority: r.asDict() for r in priority_crosstab(w, names).collect()}
+    assert got["p1"]["n_st_clair_county_cmh"] == 1 and got["p1"]["n_a_b"] == 1 and got["p1"]["n_a_b_2"] == 1
+    assert got["p1"]["n_other"] == 1 and got["p1"]["region_total"] == 7
+    assert got["p2"] == {**{k: 0 for k in got["p2"]}, "priority": "p2", "n_a_b_2": 1, "n_other": 2, "region_total": 3}
+    found = {r.priority: r.region_total for r in priority_crosstab(w).collect()}
+    assert found == {"p1": 7, "p2": 3}
+
+
+def test_pivot_of_values_with_dots(spark):
+    counts = spark.createDataFrame([("r", "St. X", 2), ("s", "Y", 1)], "row string, col string, n int")
+    from rosterkit.operators.schema import pivot_counts
+    got = {r["row"]: (r["St. X"], r["Y"]) for r in pivot_counts(counts, "row", "col", "n", ["St. X", "Y"]).collect()}
+    assert got == {"r": (2, 0), "s": (0, 1)}
+
+
+def test_reconcile_sees_a_broken_worklist(spark):
+    from rosterkit.operators.checks import flagged_not_in_worklist, reconcile
+    from rosterkit.plans.flows import Run
+    run = Run(spark, "/root/testdata/sf0.001")
+    roster = run.cut_roster()
+    work = run.worklist.checkpoint()
+    good = reconcile(roster, work).first()
+    assert good.n_people_missing == 0 and good.n_worklist_ids == good.n_worklist_ids_in_roster > 1
+    one = work.select("MEDICAID_ID").first()[0]
+    cut = reconcile(roster, work.where(work.MEDICAID_ID != one)).first()
+    assert cut.n_worklist_ids == good.n_worklist_ids - 1
+    alien = work.limit(1).withColumn("MEDICAID_ID", work.MEDICAID_ID * 0 - 7)
+    bad = reconcile(roster, work.unionByName(alien.withColumn("MEDICAID_ID", alien.MEDICAID_ID.cast("string")))).first()
+    assert bad.n_worklist_ids == good.n_worklist_ids + 1 and bad.n_worklist_ids_in_roster == good.n_worklist_ids_in_roster
+    flagged = roster.where("sis_overdue or sis_coming90 or due_in_fy").select("MEDICAID_ID").first()[0]
+    gone = work.where(work.MEDICAID_ID != flagged)
+    assert reconcile(roster, gone).first().n_people_missing == 1
+    assert {r.MEDICAID_ID for r in flagged_not_in_worklist(roster, gone).collect()} == {flagged}

@@ -10,7 +10,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 SINGLE_CLAIMS_PASS = ["roster", "worklist", "completion_summary", "monthly_completions", "fy_summary",
-                      "priority_crosstab", "reconcile_counts", "reconcile_missing", "narrative_metrics",
+                      "priority_crosstab", "narrative_metrics",
                       "trailing_months", "set_overlap", "coverage_gap"]
 
 
@@ -29,6 +29,21 @@ def test_claims_scanned_once(spark, name):
     assert len(re.findall(r"FileScan parquet \[l_orderkey", _plan(spark, name))) == 1
 
 
+@pytest.mark.parametrize("name", ["reconcile_counts", "reconcile_missing", "id_intersect"])
+def test_shared_roster_is_cut(spark, name):
+    assert "l_orderkey" not in _plan(spark, name)
+
+
+def test_marts_read_the_checkpointed_roster(spark):
+    from rosterkit.plans.flows import Run
+    run = Run(spark, SF_SMALL)
+    before = run.summary
+    run.checkpoint_roster()
+    assert run.summary is not before
+    for mart in (run.summary, run.worklist, run.monthly, run.crosstab(), run.narrative()):
+        assert "l_orderkey" not in mart._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scan_prunes_columns(spark):
     plan = _plan(spark, "roster")
     scan = re.search(r"FileScan parquet \[(l_[^\]]*)\]", plan).group(1)
