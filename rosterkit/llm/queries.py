@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, hmm, jaccard, mixing, quality, roles, suffixes, token_files, toxicity
 from .common import id_crc, table
+from .oracle import ORACLE  # noqa: F401
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +72,3 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (op1_mix, op2_role_repair, op3_suffix_dedup, op4_toxicity, op5_token_files, op6_bpe, op7_jaccard, op8_hmm, op9_quality, op10_fingerprint)}
-
-ORACLE: dict[str, str] = {}

@@ -34,3 +34,13 @@ def test_native_operators_run_no_python(spark):
     for name in ("op9_quality", "op10_fingerprint"):
         plan = REGISTRY[name](spark, SF)._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_oracle_sql(spark):
+    import duckdb
+    from rosterkit.llm.queries import ORACLE
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for name, sql in ORACLE.items():
+        df = REGISTRY[name](spark, SF)
+        assert sorted(map(tuple, df.collect())) == sorted(con.execute(sql).fetchall()), name
