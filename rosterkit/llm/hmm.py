@@ -49,6 +49,7 @@ SHARED = 4_096        # classes of the other words
 ROUNDS = 2            # Baum-Welch rounds over all training texts
 SEED_ROUNDS = 12
 SEED_TOKENS = 200_000
+SEED_BLOCKS = 4
 PRIOR = 0.5           # pseudo-tokens per state, spread like the classes' overall shares
 BLOCK_CHARS = 4_000_000
 BATCH_TOKENS = 400_000
@@ -168,16 +169,21 @@ def _vocabulary(asked: DataFrame, threshold: float) -> DataFrame:
 class Vocabulary:
     """Bounded facts of the training counts: N, V, frequent words (keys, sorted) and the shared classes' totals."""
 
-    def __init__(self, n: int, rows: list):
-        self.n, self.v = n, sum(r["v"] for r in rows)
-        keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["own"], "<u8") for r in rows]])
-        counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["own_n"], "<i8") for r in rows]])
+    def __init__(self, n: int, rows):
+        self.n, self.v = n, 0
+        self.class_n, self.class_v = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for r in rows:   # one at a time
+            self.v += r["v"]
+            self.class_n += _unzip(r["class_n"], "<i8")
+            self.class_v += _unzip(r["class_v"], "<i8")
+            keys.append(np.frombuffer(r["own"], "<u8"))
+            counts.append(np.frombuffer(r["own_n"], "<i8"))
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
         if END not in keys:
             keys, counts = np.append(keys, END), np.append(counts, 0)
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
-        self.class_n = sum((_unzip(r["class_n"], "<i8") for r in rows), np.zeros(SHARED, np.int64))
-        self.class_v = sum((_unzip(r["class_v"], "<i8") for r in rows), np.zeros(SHARED, np.int64))
 
     @property
     def n_classes(self) -> int:
@@ -313,8 +319,9 @@ def _training(r: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seed_model(seqs: DataFrame, shares: np.ndarray) -> Model:
-    """Rounds on a bounded sample: blocks in order of a hash until SEED_TOKENS tokens."""
-    rows = seqs.orderBy(F.xxhash64("block")).limit(4).select("held", "size", "classes").collect()  # at most 4 blocks
+    """Rounds on a bounded sample: the first tokens of SEED_BLOCKS blocks (by hash), SEED_TOKENS in all."""
+    some = [r["block"] for r in seqs.select("block").orderBy(F.xxhash64("block"), "block").limit(SEED_BLOCKS).collect()]
+    rows = seqs.where(F.col("block").isin(some)).orderBy("block").select("held", "size", "classes").collect() if some else []
     model, classes, sizes, n = Model.first(shares), [], [], 0
     for r in rows:
         c, s = _training(r.asDict())
@@ -367,8 +374,8 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Vocabulary,
     n = int(packed.agg(F.sum("train")).first()[0] or 0)
     replies = cut(_vocabulary(_ask(packed, n_parts), n / FREQUENT), "vocabulary")
     facts = replies.where("block = -1").select("v", "own", "own_n", "class_n", "class_v")
-    # one bounded row per part of the key space, added up two at a time on the driver
-    vocabulary = Vocabulary(n, [r.asDict() for r in facts.toLocalIterator()])
+    # one bounded row per part of the key space, added up one at a time
+    vocabulary = Vocabulary(n, facts.toLocalIterator())
     seqs = cut(_sequences(packed, replies.where("block >= 0").select("block", "part", "totals"), vocabulary, n_parts), "sequences")
     shares = vocabulary.shares()
     model = _seed_model(seqs, shares)
