@@ -16,6 +16,12 @@ of near copies, the one closest to their common origin).  Round 2 takes all
 pairs that round 1 left in different components and applies the multi-match
 rule.  A pair inside one component needs no check: the component is the result.
 
+The first prefixes only order a hash-chosen share of the shingles by frequency;
+they settle which classes can have a partner at all.  The prefixes of these few
+classes are then built again from their full sets, with every shingle ordered
+by its frequency among them, so a copy's own edits come first and two copies
+with many edits never meet.
+
 Scale: frequencies travel as packed arrays between blocks and partitions of the
 key space (``exchange``); shingles of one document only send nothing.  Prefix
 entries, pairs and links are rows that Spark shuffles; full sets are rebuilt
@@ -35,7 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange, shingles
@@ -167,6 +173,37 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return d.mapInArrow(run, "sig binary, shingles binary").join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
+def _repack(sets: DataFrame, tokens: int = 500_000) -> DataFrame:
+    """Sets as blocks of the form that ``_requests`` and ``_entries`` read, with all shingles ordered by frequency."""
+
+    def run(batches):
+        ids = exchange.block_ids()
+        for b in batches:
+            sig, data = b.column("sig").to_pylist(), b.column("shingles").to_pylist()
+            start, size = 0, 0
+            for end in range(1, len(sig) + 1):
+                size += len(data[end - 1]) // 8
+                if size < tokens and end < len(sig):
+                    continue
+                n = [len(x) // 8 for x in data[start:end]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([next(ids)], pa.int64()), pa.array([sig[start:end]], pa.list_(pa.binary())),
+                     *[pa.array([n], pa.list_(pa.int32()))] * 3, pa.array([b"".join(data[start:end])], pa.binary())],
+                    names=["block", "sig", "n", "kept", "chosen", "tokens"])
+                start, size = end, 0
+
+    return sets.select("sig", "shingles").mapInArrow(
+        run, "block long, sig array<binary>, n array<int>, kept array<int>, chosen array<int>, tokens binary")
+
+
+def _may_match(n: str, pos: str, level: str, other_n: str, other_pos: str, other_level: str, percent: int) -> Column:
+    """Both entries lie in the prefixes that count for a pair of these sizes and levels."""
+    n, pos, other_n, other_pos = F.col(n), F.col(pos), F.col(other_n), F.col(other_pos)
+    need = F.ceil(F.lit(percent) * (n + other_n) / (100 + percent))
+    deep = F.least(level, other_level) - need
+    return ((n * 100 >= other_n * percent) & (other_n * 100 >= n * percent) & (pos < n + deep) & (other_pos < other_n + deep))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
@@ -198,22 +235,28 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     entries = _entries(packed.select("block", "sig", "n", "kept", "chosen", "tokens"), exchange.totals(asked), n_parts, percent)
     members = packed.select(F.explode(F.arrays_zip("doc_id", "tkey", "sig", "n")).alias("d")).select(
         "d.doc_id", "d.tkey", "d.sig", F.col("d.n").cast("long").alias("n_shingles"))
-    # one row per (shingle, class); shingles that two classes share
-    entries = entries.groupBy("token", "sig").agg(*[F.min(c).alias(c) for c in ("n", "pos", "level", "score")])
-    entries = cut(entries, "entries")
+    # classes that share a prefix shingle with another class; only these go on, with their full sets
+    entries = cut(entries.select("token", "sig").distinct(), "first_entries")
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
+    active = entries.join(shared, "token", "left_semi").select("sig").distinct()
+    classes = members.where("n_shingles > 0").groupBy("sig").agg(F.min("tkey").alias("tkey"))
+    wanted = cut(classes.join(active, "sig"), "wanted")
+    sets = cut(_sets(docs, wanted, words), "sets")
+
+    # their prefixes, now with every shingle ordered by its frequency among them
+    whole = cut(_repack(sets), "whole")
+    entries = cut(_entries(whole, exchange.totals(_requests(whole, n_parts)), n_parts, percent), "entries")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("score", "sig")).alias("h")).where("m > 1")
     shared = shared.select("token", F.col("h.sig").alias("hub"))
     entries = cut(entries.join(shared, "token"), "shared")
-    classes = members.where("n_shingles > 0").groupBy("sig").agg(F.min("tkey").alias("tkey"))
-    wanted = cut(classes.join(entries.select("sig").distinct(), "sig"), "wanted")
-    sets = cut(_sets(docs, wanted, words), "sets")
 
     # round 1: every class with the hubs of its shingles
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    near = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
-    sizes = entries.select(F.col("sig").alias("hub"), F.col("n").alias("hn")).distinct()
-    first = entries.where(F.col("sig") != F.col("hub")).select("sig", "n", "hub").distinct().join(sizes, "hub")
-    first = first.where(near).select(*pair(F.col("sig"), F.col("hub"))).distinct()
+    own = entries.where(F.col("sig") == F.col("hub")).select(
+        F.col("token").alias("ht"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("level").alias("hlevel"))
+    first = entries.where(F.col("sig") != F.col("hub")).join(own, F.col("token") == F.col("ht"))
+    first = first.where(_may_match("n", "pos", "level", "hn", "hpos", "hlevel", percent))
+    first = first.select(*pair(F.col("sig"), F.col("hub"))).distinct()
     tried = cut(verified(first, sets, percent), "round1")
     found = tried.where("linked").select("a", "b")
     comp = exchange.components(found, "comp1")
@@ -224,11 +267,9 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     apart = e.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     e = cut(e.join(apart, "token", "left_semi"), "apart")
     x, y = (e.select("token", *[F.col(c).alias(p + c) for c in ("sig", "n", "pos", "level", "root")]) for p in "xy")
-    need = F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / (100 + percent))
     level = F.least("xlevel", "ylevel")
     both = x.join(y, (x["token"] == y["token"]) & (F.col("xsig") < F.col("ysig")) & (F.col("xroot") != F.col("yroot"))
-                  & (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
-                  & (F.col("xpos") < F.col("xn") - need + level) & (F.col("ypos") < F.col("yn") - need + level))
+                  & _may_match("xn", "xpos", "xlevel", "yn", "ypos", "ylevel", percent))
     pairs = both.groupBy(F.col("xsig").alias("a"), F.col("ysig").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.min(level).alias("level")).where("shared >= level").select("a", "b")
     pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
