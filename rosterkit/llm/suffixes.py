@@ -130,12 +130,18 @@ def _ask_samples(packed: DataFrame, n_parts: int, length: int) -> DataFrame:
                     keys, counts = np.unique(Windows(_open(r["data"])).at(at, length - v + 1), return_counts=True)
                     yield exchange.ask_repeated(r["block"], keys, counts, n_parts, SAMPLE_WIDTH)
 
-    return packed.select("block", "size", "data").mapInArrow(run, exchange.REQUEST)
+    return packed.mapInArrow(run, exchange.REQUEST)
 
 
 def _copies(packed: DataFrame) -> DataFrame:
     """Reply rows (part -1) that name a block's exact copies: ``place:first,...`` as text."""
-    d = packed.select("block", F.posexplode("hash").alias("place", "hash"))
+    def run(batches):
+        for b in batches:
+            for block, h in zip(b.column("block").to_pylist(), b.column("hash").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(h), pa.int64()), pa.array(range(len(h)), pa.int32()),
+                                                  pa.array(h, pa.binary())], names=["block", "place", "hash"])
+
+    d = packed.mapInArrow(run, "block long, place int, hash binary")
     g = d.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("block", "place")).alias("first")).where("m > 1")
     d = d.join(g, "hash").withColumn("is_first", F.struct("block", "place") == F.col("first"))
     item = F.concat_ws(":", F.col("place").cast("string"), F.col("is_first").cast("int").cast("string"))
@@ -261,7 +267,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> Data
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_parts = 4 * n
-    packed = pack(docs).repartition(n, "block")   # one shuffle of the texts, read by all uses below
+    # one shuffle of the texts; all uses below read whole rows of it, so that Spark reuses the exchange
+    packed = pack(docs).repartition(n, "block")
     replies = exchange.repeated(_ask_samples(packed, n_parts, length), SAMPLE_WIDTH).unionByName(_copies(packed))
     pending = cut(_settle(packed, replies, n_parts, length, with_text), "pending")
     ties = exchange.repeated(_ask_suffixes(pending, n_parts, length))
