@@ -196,11 +196,11 @@ def _repack(sets: DataFrame, tokens: int = 500_000) -> DataFrame:
         run, "block long, sig array<binary>, n array<int>, kept array<int>, chosen array<int>, tokens binary")
 
 
-def _may_match(n: str, pos: str, level: str, other_n: str, other_pos: str, other_level: str, percent: int) -> Column:
-    """Both entries lie in the prefixes that count for a pair of these sizes and levels."""
+def _may_match(n: str, pos: str, level: str | None, other_n: str, other_pos: str, other_level: str | None, percent: int) -> Column:
+    """Both entries lie in the prefixes that count for a pair of these sizes and levels (None: level 1)."""
     n, pos, other_n, other_pos = F.col(n), F.col(pos), F.col(other_n), F.col(other_pos)
     need = F.ceil(F.lit(percent) * (n + other_n) / (100 + percent))
-    deep = F.least(level, other_level) - need
+    deep = (F.least(level, other_level) if level else F.lit(1)) - need
     return ((n * 100 >= other_n * percent) & (other_n * 100 >= n * percent) & (pos < n + deep) & (other_pos < other_n + deep))
 
 
@@ -267,11 +267,17 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     apart = e.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     e = cut(e.join(apart, "token", "left_semi"), "apart")
     x, y = (e.select("token", *[F.col(c).alias(p + c) for c in ("sig", "n", "pos", "level", "root")]) for p in "xy")
-    level = F.least("xlevel", "ylevel")
-    both = x.join(y, (x["token"] == y["token"]) & (F.col("xsig") < F.col("ysig")) & (F.col("xroot") != F.col("yroot"))
-                  & _may_match("xn", "xpos", "xlevel", "yn", "ypos", "ylevel", percent))
-    pairs = both.groupBy(F.col("xsig").alias("a"), F.col("ysig").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(level).alias("level")).where("shared >= level").select("a", "b")
+    # with l shared shingles in the prefixes, the first of them lies within the prefixes of level 1: these make the pairs
+    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("xsig") < F.col("ysig")) & (F.col("xroot") != F.col("yroot"))
+                   & _may_match("xn", "xpos", None, "yn", "ypos", None, percent))
+    pairs = pairs.select(F.col("xsig").alias("a"), F.col("ysig").alias("b")).distinct()
+    held = e.groupBy("sig").agg(F.min("n").alias("n"), F.min("level").alias("level"), F.collect_list(F.struct("pos", "token")).alias("p"))
+    for k in "ab":
+        pairs = pairs.join(held.select(F.col("sig").alias(k), *[F.col(c).alias(k + c) for c in ("n", "level", "p")]), k)
+    need = F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / (100 + percent))
+    level = F.least("alevel", "blevel")
+    inside = lambda k: F.transform(F.filter(k + "p", lambda t: t["pos"] < F.col(k + "n") - need + level), lambda t: t["token"])
+    pairs = pairs.where(F.size(F.array_intersect(inside("a"), inside("b"))) >= level).select("a", "b")
     pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = cut(verified(pairs, sets, percent).where("linked").select("a", "b"), "round2")
     comp = exchange.components(found.unionByName(more), "comp2")
