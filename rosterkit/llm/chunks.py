@@ -14,8 +14,8 @@ from collections.abc import Callable
 
 import regex
 
-HEADS = 500_000      # chunks remembered per worker without their trailing marks, with and without a space in front
-WHOLE = 250_000      # and with them; beyond these numbers chunks are encoded again
+HEADS = 400_000      # chunks without their trailing marks remembered per generation (a worker keeps two)
+WHOLE = 600_000      # chunks remembered with their marks; others are put together again each time
 MARKS = ".,;:!?"
 
 
@@ -23,38 +23,36 @@ class _Chunks(dict):
     """Chunk -> its ids as bytes; ``None`` marks a chunk that is no safe cut."""
 
     def __init__(self, prefix: str, encode_many: Callable[[list[str]], list[bytes]]):
-        self.prefix, self.encode_many, self.heads, self.marks = prefix, encode_many, {}, {}
-
-    def parts(self, chunk: str) -> tuple[str, str]:
-        head = chunk.rstrip(MARKS)
-        return (head, chunk[len(head):]) if head and head[-1].isalnum() else (chunk, "")
-
-    def warm(self, chunks: set[str]) -> None:
-        """Encode the heads of all new chunks in one call."""
-        new = {h for c in chunks.difference(self) if (h := self.parts(c)[0]) not in self.heads}
-        new = [h for h in new if h and not (h[0].isspace() or h[-1].isspace())]
-        if len(self.heads) + len(new) > HEADS:
-            self.heads.clear()
-        if new:
-            self.heads.update(zip(new, self.encode_many([self.prefix + h for h in new])))
+        self.prefix, self.encode_many, self.heads, self.older, self.marks = prefix, encode_many, {}, {}, {}
 
     def __missing__(self, chunk: str) -> bytes | None:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
-        head, tail = self.parts(chunk)
+        head = chunk.rstrip(MARKS)
+        if not head or not head[-1].isalnum():
+            head = chunk
         value = self.heads.get(head)
         if value is None:
-            value = self.encode_many([self.prefix + head])[0]
-        if tail:
-            if tail not in self.marks:
-                if len(self.marks) > HEADS:
-                    self.marks.clear()
-                self.marks[tail] = self.encode_many([tail])[0]
-            value += self.marks[tail]
+            value = self.older.get(head)
+            if value is None:
+                value = self.encode_many([self.prefix + head])[0]
+            if len(self.heads) >= HEADS:
+                self.heads, self.older = {}, self.heads
+            self.heads[head] = value
+        if len(head) < len(chunk):
+            value += self._mark(chunk[len(head):])
         if len(self) < WHOLE:
             self[chunk] = value
         return value
 
+    def _mark(self, tail: str) -> bytes:
+        value = self.marks.get(tail)
+        if value is None:
+            if len(self.marks) >= HEADS:
+                self.marks.clear()
+            value = self.marks[tail] = self.encode_many([tail])[0]
+        return value
+
 
 class Encoder:
     """Texts to ids (little-endian unsigned 32-bit), equal to encoding every match of ``pattern`` by itself."""
@@ -65,21 +63,14 @@ class Encoder:
         self.line = encode_many(["\n"])[0]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        first, later = set(), set()
-        for lines in split:
-            for words in lines:
-                first.add(words[0])
-                later.update(words)
-        self.first.warm(first)
-        self.later.warm(later)
-        return [self._one(t, lines) for t, lines in zip(texts, split)]
-
-    def _one(self, text: str, lines: list[list[str]]) -> bytes:
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> bytes:
         first, later = self.first, self.later
         out = []
         try:
-            for words in lines:
+            for line in text.split("\n"):
+                words = line.split(" ")
                 out.append(first[words[0]] + b"".join([later[w] for w in words[1:]]))
         except TypeError:  # None: white space beside a cut
             return self.by_pattern(text)

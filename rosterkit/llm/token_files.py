@@ -19,6 +19,7 @@ left out; an empty table gives files without rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -53,20 +54,12 @@ def library(path: str, pattern: str):
     t.encode_special_tokens = True  # the strings of special tokens are ordinary text
     to_chars, merge = dict(enumerate(byte_characters())), t.model.tokenize
 
-    def many(items: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(items)
-        rest = []
-        for k, x in enumerate(items):
-            if x[x.startswith(" "):].isalpha():
-                found = merge(x.encode().decode("latin-1").translate(to_chars))
-                out[k] = np.array([m.id for m in found], dtype="<u4").tobytes()
-            else:
-                rest.append(k)
-        for k, e in zip(rest, t.encode_batch_fast([items[k] for k in rest], add_special_tokens=False)):
-            out[k] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
-
-    return many
+    def one(x: str) -> bytes:
+        if x[x.startswith(" "):].isalpha():
+            return array("I", [m.id for m in merge(x.encode().decode("latin-1").translate(to_chars))]).tobytes()
+        return array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
+
+    return lambda items: [one(x) for x in items]
 
 
 def encode(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = END_ID) -> DataFrame:
