@@ -17,8 +17,8 @@ from rosterkit.llm import bpe, jaccard, mixing, suffixes, toxicity
 from rosterkit.llm.common import cut, table, whole_text
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# The pipeline removes passages of this many bytes that also start elsewhere.
-PASSAGE_BYTES = 400
+# The pipeline removes passages of over 50 words that also start elsewhere, whatever their length in bytes.
+PASSAGE_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: cut every byte under a repeated passage; characters cut in two go too."""
-    kept = suffixes.dedup(docs.select("doc_id", "text"), PASSAGE_BYTES, with_text=True)
+    """Operator 3 over words: cut every passage of PASSAGE_WORDS words that also starts elsewhere."""
+    kept = suffixes.dedup(docs.select("doc_id", "text"), PASSAGE_WORDS, with_text=True, unit="words")
     kept = kept.where("n_removed > 0").select(F.col("doc_id").alias("_id"), "n_bytes", "n_removed", "kept")
     text = kept.mapInArrow(_texts, T.StructType([T.StructField("_id", T.LongType()), T.StructField("_text", T.StringType())]))
     out = docs.join(text, docs["doc_id"].eqNullSafe(F.col("_id")), "left")

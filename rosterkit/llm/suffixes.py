@@ -6,6 +6,12 @@ two suffixes belong together when their first ``length`` bytes are equal, and
 ranks are names of equal strings (64-bit fingerprints) in place of positions in
 a sorted order.
 
+``unit="words"`` counts ``length`` in words (runs of other than white space):
+what is removed then is every run of ``length`` words that also starts elsewhere,
+whatever white space stands between the words, from its first word's first byte
+to its last word's last byte.  The steps are the same over names of words in
+place of bytes; read "byte" as "word" below where positions are meant.
+
 1. Cover sample.  Positions ``p`` of a text with ``p mod v`` in a difference
    cover D are named by their next ``length - v + 1`` bytes.  For any two
    positions i, j some k < v puts both i + k and j + k in the cover, so a suffix
@@ -15,8 +21,8 @@ a sorted order.
    first ``length`` bytes, are dealt into buckets of the key space; each bucket
    is sorted by itself, one at a time in a task, and equal neighbours are ties.
 
-Exact copies of a text of ``length`` bytes or more are removed whole, and only
-one of them sends its suffixes into the buckets.
+Exact copies of a text of ``length`` bytes or more are removed whole (white space
+at the ends included), and only one of them sends its suffixes into the buckets.
 
 Scale: samples (about 9 % of positions, 5 bytes each) and unsettled suffixes (8
 bytes each) are exchanged as packed arrays; a bucket holds the keys of one part
@@ -57,6 +63,15 @@ def difference_cover(r: int = 2) -> tuple[int, np.ndarray]:
     return 24 * r * r + 36 * r + 13, np.cumsum([0, *steps])
 
 
+def cover_of(length: int) -> tuple[int, np.ndarray]:
+    """The largest of the covers whose period is at most half of ``length``; every position where none is."""
+    for r in (2, 1, 0):
+        v, cover = difference_cover(r)
+        if 2 * v <= length:
+            return v, cover
+    return 1, np.zeros(1, np.int64)
+
+
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -71,18 +86,50 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 class Windows:
-    """Fingerprints of windows of a byte array."""
+    """Fingerprints of windows of an array of bytes, or of names (64 bit) of words."""
 
     def __init__(self, x: np.ndarray):
         p, self.inverse = _powers(len(x) + 1)
-        self.h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[x] * p[:len(x)])])
+        self.h = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_TABLE[x] if x.dtype == np.uint8 else x) * p[:len(x)])])
 
-    def at(self, start: np.ndarray, length: int) -> np.ndarray:
+    def at(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         k = (self.h[start + length] - self.h[start]) * self.inverse[start]
         k = (k ^ (k >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return k ^ (k >> np.uint64(32))
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+class Units:
+    """The texts of a block as bytes or as words: how many each has, fingerprints of windows, and their bytes."""
+
+    def __init__(self, x: np.ndarray, size: np.ndarray, unit: str):
+        begin = np.cumsum(size) - size
+        if unit == "bytes":
+            self.n, self.first, self._x = size, None, x
+        else:
+            solid, full = ~_SPACE[x], size > 0
+            before, after = np.append(False, solid[:-1])[:len(x)], np.append(solid[1:], False)[:len(x)]
+            before[begin[full]] = False   # a word ends with its text
+            after[(begin + size)[full] - 1] = False
+            self.first, self.last = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+            self.n = np.searchsorted(self.first, begin + size) - np.searchsorted(self.first, begin)
+            self._x = Windows(x).at(self.first, self.last - self.first)
+        self.begin, self._windows = np.cumsum(self.n) - self.n, None
+
+    def __len__(self) -> int:
+        return len(self._x)
+
+    def at(self, start: np.ndarray, length: int) -> np.ndarray:
+        self._windows = self._windows or Windows(self._x)
+        return self._windows.at(start, length)
+
+    def bytes_of(self, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """First byte of every window, and the one after its last."""
+        return (start, start + length) if self.first is None else (self.first[start], self.last[start + length - 1])
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """One row per block of about BLOCK_BYTES: ids, sizes, hashes and the compressed bytes of its texts."""
 
@@ -110,24 +157,24 @@ def _open(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if data else b"", np.uint8)
 
 
-def _samples(size: np.ndarray, length: int, v: int, cover: np.ndarray) -> np.ndarray:
+def _samples(units: Units, length: int, v: int, cover: np.ndarray) -> np.ndarray:
     """Positions in a block of the cover samples of its texts; texts shorter than ``length`` have none."""
     span = length - v + 1
-    starts = np.cumsum(size) - size
-    out = [s + p[p <= n - span] for s, n in zip(starts, size) if n >= length
+    out = [s + p[p <= n - span] for s, n in zip(units.begin, units.n) if n >= length
            for p in ((np.arange(0, n, v)[:, None] + cover[None, :]).ravel(),)]
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _ask_samples(packed: DataFrame, n_parts: int, length: int) -> DataFrame:
-    v, cover = difference_cover()
+def _ask_samples(packed: DataFrame, n_parts: int, length: int, unit: str) -> DataFrame:
+    v, cover = cover_of(length)
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                at = _samples(np.array(r["size"], dtype=np.int64), length, v, cover)
+                units = Units(_open(r["data"]), np.array(r["size"], dtype=np.int64), unit)
+                at = _samples(units, length, v, cover)
                 if len(at):
-                    keys, counts = np.unique(Windows(_open(r["data"])).at(at, length - v + 1), return_counts=True)
+                    keys, counts = np.unique(units.at(at, length - v + 1), return_counts=True)
                     yield exchange.ask_repeated(r["block"], keys, counts, n_parts, SAMPLE_WIDTH)
 
     return packed.mapInArrow(run, exchange.REQUEST)
@@ -149,9 +196,9 @@ def _copies(packed: DataFrame) -> DataFrame:
         "block", F.lit(-1).cast("long").alias("part"), "totals")
 
 
-def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, with_text: bool) -> DataFrame:
+def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, with_text: bool, unit: str) -> DataFrame:
     """Blocks with every text's state; open texts keep their bytes and the suffixes still to be sorted."""
-    v, cover = difference_cover()
+    v, cover = cover_of(length)
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {k: [] for k in ("block", "doc_id", "size", "state", "sha", "starts", "data")}
@@ -161,17 +208,17 @@ def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, wi
         for r in left.to_pylist():
             size = np.array(r["size"], dtype=np.int64)
             x, begin = _open(r["data"]), np.cumsum(size) - size
-            at = _samples(size, length, v, cover)
-            twice = np.zeros(len(x) + v + 1, np.int32)
+            units = Units(x, size, unit)
+            at = _samples(units, length, v, cover)
+            twice = np.zeros(len(units) + v + 1, np.int32)
             if len(at):
-                w = Windows(x).at(at, length - v + 1)
-                keys, inverse = np.unique(w, return_inverse=True)
+                keys, inverse = np.unique(units.at(at, length - v + 1), return_inverse=True)
                 twice[at] = exchange.collect_replies(right, keys, n_parts, "u1")[inverse]
             count = np.concatenate([[0], np.cumsum(twice)])
             copy = dict(tuple(map(int, c.split(":"))) for y in copies if y for c in y.split(","))
-            state, sha, starts, data, kept_size = [], [], [], [], 0
-            for k, (s, n) in enumerate(zip(begin.tolist(), size.tolist())):
-                own = x[s:s + n]
+            state, sha, starts, data, kept_units = [], [], [], [], 0
+            for k, (b, m, s, n) in enumerate(zip(begin.tolist(), size.tolist(), units.begin.tolist(), units.n.tolist())):
+                own = x[b:b + m]
                 if k in copy and n >= length:
                     here = np.arange(n - length + 1) if copy[k] else np.zeros(0, np.int64)
                     state.append(COPY_OPEN if copy[k] else COPY)
@@ -185,8 +232,8 @@ def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, wi
                 sha.append(hashlib.sha256(own).hexdigest() if state[-1] == PLAIN and not with_text else None)
                 if with_text or state[-1] in (OPEN, COPY_OPEN):
                     data.append(own.tobytes())
-                starts.append(here + kept_size if len(here) else np.zeros(0, np.int64))
-                kept_size += n if with_text or state[-1] in (OPEN, COPY_OPEN) else 0
+                starts.append(here + kept_units if len(here) else np.zeros(0, np.int64))
+                kept_units += n if with_text or state[-1] in (OPEN, COPY_OPEN) else 0
             z = zstandard.ZstdCompressor(level=1).compress
             rows["block"].append(r["block"])
             rows["doc_id"].append(r["doc_id"])
@@ -215,29 +262,37 @@ def _starts(data: bytes) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *[np.arange(a, b) for a, b in runs.tolist()]])
 
 
-def _ask_suffixes(pending: DataFrame, n_parts: int, length: int) -> DataFrame:
+def _held(r: dict, with_text: bool) -> np.ndarray:
+    """Sizes of the texts whose bytes a pending block has."""
+    return np.array([n for n, s in zip(r["size"], r["state"]) if with_text or s in (OPEN, COPY_OPEN)], dtype=np.int64)
+
+
+def _ask_suffixes(pending: DataFrame, n_parts: int, length: int, with_text: bool, unit: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 at = _starts(r["starts"])
                 if len(at):
-                    keys, counts = np.unique(Windows(_open(r["data"])).at(at, length), return_counts=True)
+                    units = Units(_open(r["data"]), _held(r, with_text), unit)
+                    keys, counts = np.unique(units.at(at, length), return_counts=True)
                     yield exchange.ask_repeated(r["block"], keys, counts, n_parts)
 
-    return pending.select("block", "starts", "data").mapInArrow(run, exchange.REQUEST)
+    return pending.select("block", "size", "state", "starts", "data").mapInArrow(run, exchange.REQUEST)
 
 
-def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, length: int, with_text: bool) -> DataFrame:
+def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, length: int, with_text: bool, unit: str) -> DataFrame:
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for r in left.to_pylist():
             x, at = _open(r["data"]), _starts(r["starts"])
             edge = np.zeros(len(x) + 1, np.int32)
             if len(at):
-                keys, inverse = np.unique(Windows(x).at(at, length), return_inverse=True)
+                units = Units(x, _held(r, with_text), unit)
+                keys, inverse = np.unique(units.at(at, length), return_inverse=True)
                 hit = at[exchange.collect_replies(right, keys, n_parts, "u1")[inverse] > 0]
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + length, -1)
+                first, end = units.bytes_of(hit, length)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, end, -1)
             gone = np.cumsum(edge[:-1]) > 0
             s = 0
             for i, n, state, sha in zip(r["doc_id"], r["size"], r["state"], r["sha"]):
@@ -259,17 +314,17 @@ def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, length: int, w
     return pending.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, RESULT)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True, unit: str = "bytes") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and ``kept``: the remaining bytes.
 
-    ``with_text=False`` leaves ``kept`` null and carries the bytes of open texts only.
+    ``length`` counts ``unit``s: bytes or words.  ``with_text=False`` leaves ``kept`` null and carries the bytes of open texts only.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_parts = 4 * n
     # one shuffle of the texts; all uses below read whole rows of it, so that Spark reuses the exchange
     packed = pack(docs).repartition(n, "block")
-    replies = exchange.repeated(_ask_samples(packed, n_parts, length), SAMPLE_WIDTH).unionByName(_copies(packed))
-    pending = cut(_settle(packed, replies, n_parts, length, with_text), "pending")
-    ties = exchange.repeated(_ask_suffixes(pending, n_parts, length))
-    return _remove(pending, ties, n_parts, length, with_text)
+    replies = exchange.repeated(_ask_samples(packed, n_parts, length, unit), SAMPLE_WIDTH).unionByName(_copies(packed))
+    pending = cut(_settle(packed, replies, n_parts, length, with_text, unit), "pending")
+    ties = exchange.repeated(_ask_suffixes(pending, n_parts, length, with_text, unit))
+    return _remove(pending, ties, n_parts, length, with_text, unit)

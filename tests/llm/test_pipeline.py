@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import random
+import re
+from collections import Counter
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from rosterkit.llm import suffixes  # noqa: E402
 from rosterkit.llm.queries import REGISTRY  # noqa: E402
+from .brute import DOCS  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +50,41 @@ def test_oracle_sql(spark):
     for name, sql in ORACLE.items():
         df = REGISTRY[name](spark, SF)
         assert sorted(map(tuple, df.collect())) == sorted(con.execute(sql).fetchall()), name
+
+
+def small_words(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 3))) for _ in range(n))
+
+
+def test_repeats_of_over_50_words_are_cut_whatever_their_bytes(spark):
+    passage, shorter = small_words(1, 51), small_words(2, 50)
+    assert len(passage) < 400
+    texts = [f"{small_words(10 + k, 60)} {p} {small_words(20 + k, 60)}" for k, p in enumerate((passage, passage, shorter, shorter))]
+    texts.append(f"{small_words(30, 60)} " + passage.replace(" ", "\n "))
+    texts += [small_words(31, 20), None, ""]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], DOCS).repartition(3)
+    got = {x.doc_id: x for x in corpus_pipeline.remove_repeats(spark, docs, SF).collect()}
+    want = [t and t.replace(passage, "") for t in texts[:4]] + [f"{small_words(30, 60)} ", texts[5], None, ""]
+    assert [got[k].text for k in range(8)] == want
+    assert [got[k].n_chars for k in range(8)] == [len(t or "") for t in want]
+
+
+def test_repeated_words_as_by_brute_force(spark):
+    r = random.Random(5)
+    parts = [small_words(k, r.randint(8, 20)) for k in range(12)]
+    texts = [r.choice([" ", "\n", " \t"]).join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(30)]
+    for length in (5, 13, 30):
+        count = Counter(tuple(w[i:i + length]) for w in map(str.split, texts) for i in range(len(w) - length + 1))
+        whole = Counter(texts)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        got = {x.doc_id: x for x in suffixes.dedup(docs, length, True, "words").collect()}
+        for k, t in enumerate(texts):
+            at = [m.span() for m in re.finditer(r"\S+", t)]
+            gone = set()
+            for i in range(len(at) - length + 1):
+                if count[tuple(t[a:z] for a, z in at[i:i + length])] > 1:
+                    gone.update(range(at[i][0], at[i + length - 1][1]))
+            if whole[t] > 1 and len(at) >= length:
+                gone = set(range(len(t)))
+            assert bytes(got[k].kept).decode() == "".join(c for i, c in enumerate(t) if i not in gone), (length, k)
