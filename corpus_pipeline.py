@@ -11,7 +11,6 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rosterkit.llm import bpe, jaccard, mixing, suffixes, toxicity
 from rosterkit.llm.common import cut, table, whole_text
@@ -40,21 +39,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3 over words: cut every passage of PASSAGE_WORDS words that also starts elsewhere."""
-    kept = suffixes.dedup(docs.select("doc_id", "text"), PASSAGE_WORDS, with_text=True, unit="words")
-    kept = kept.where("n_removed > 0").select(F.col("doc_id").alias("_id"), "n_bytes", "n_removed", "kept")
-    text = kept.mapInArrow(_texts, T.StructType([T.StructField("_id", T.LongType()), T.StructField("_text", T.StringType())]))
-    out = docs.join(text, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    new = F.when(F.col("_text").isNotNull(), F.col("_text")).otherwise(F.col("text"))
-    out = out.withColumn("n_chars", F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", new).select(*COLUMNS)
-
-
-def _texts(batches):
-    import pyarrow as pa
-    for b in batches:
-        yield pa.RecordBatch.from_arrays(
-            [b.column("_id"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())],
-            names=["_id", "_text"])
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", F.col("text").isNull().alias("no_text"))
+    # one row out for each row in, with its own columns: nothing is joined back on the id
+    kept = suffixes.dedup(rows, PASSAGE_WORDS, with_text=True, unit="words", others=["lang", "source", "n_chars", "no_text"])
+    text = F.when(~F.col("no_text"), F.col("kept").cast("string"))  # passages are whole words, so no character is cut in two
+    n_chars = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return kept.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,8 +31,9 @@ compressed blocks.  Fingerprints are 64 bit: two different strings share one
 with a probability of about 400 / 2**64 for each pair compared.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all their
-bytes; an empty table gives an empty result; other columns pass through
-unchanged when asked for, clashing ones as ``<name>_in``.
+bytes; an empty table gives an empty result.  There is one result row per input
+row, whatever its id (null and repeated ids too); other columns pass through
+unchanged with their row when asked for (``others``), clashing ones as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -44,16 +45,17 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange
-from .common import cut, whole_text
+from .common import cut, keep_clear, whole_text
 
 LENGTH = 400
 BLOCK_BYTES = 3_000_000
 SAMPLE_WIDTH = 5   # bytes of a sample's name that are sent; a false tie only sends a suffix to the buckets
 PLAIN, COPY, OPEN, COPY_OPEN = 0, 1, 2, 3
-BLOCK = "block long, doc_id array<long>, size array<int>, hash array<binary>, data binary"
-PENDING = "block long, doc_id array<long>, size array<int>, state array<byte>, sha array<string>, starts binary, data binary"
+BLOCK = "block long, doc_id array<long>, size array<int>, hash array<binary>, data binary, others binary"
+PENDING = "block long, doc_id array<long>, size array<int>, state array<byte>, sha array<string>, starts binary, data binary, others binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -130,8 +132,19 @@ class Units:
         return (start, start + length) if self.first is None else (self.first[start], self.last[start + length - 1])
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """One row per block of about BLOCK_BYTES: ids, sizes, hashes and the compressed bytes of its texts."""
+def _packed_rows(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+
+
+def _rows(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(_open(data).tobytes()).read_all()
+
+
+def pack(docs: DataFrame, others: list[str]) -> DataFrame:
+    """One row per block of about BLOCK_BYTES: ids, sizes, hashes, the compressed bytes of its texts and its ``others``."""
 
     def run(batches):
         ids, zip_ = exchange.block_ids(), zstandard.ZstdCompressor(level=1)
@@ -147,10 +160,12 @@ def pack(docs: DataFrame) -> DataFrame:
                     [pa.array([next(ids)], pa.int64()), pa.array([b.column("doc_id").slice(start, end - start).to_pylist()], pa.list_(pa.int64())),
                      pa.array([[len(t) for t in own]], pa.list_(pa.int32())),
                      pa.array([[hashlib.blake2b(t, digest_size=16).digest() for t in own]], pa.list_(pa.binary())),
-                     pa.array([zip_.compress(b"".join(own))], pa.binary())], names=["block", "doc_id", "size", "hash", "data"])
+                     pa.array([zip_.compress(b"".join(own))], pa.binary()),
+                     pa.array([_packed_rows(b.select(others).slice(start, end - start)) if others else b""], pa.binary())],
+                    names=["block", "doc_id", "size", "hash", "data", "others"])
                 start, size = end, 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, BLOCK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *others).mapInArrow(run, BLOCK)
 
 
 def _open(data: bytes) -> np.ndarray:
@@ -201,7 +216,7 @@ def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, wi
     v, cover = cover_of(length)
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = {k: [] for k in ("block", "doc_id", "size", "state", "sha", "starts", "data")}
+        rows = {k: [] for k in ("block", "doc_id", "size", "state", "sha", "starts", "data", "others")}
         part = np.array(right.column("part").to_pylist(), dtype=np.int64)
         copies = [x.decode() for x, p in zip(right.column("totals").to_pylist(), part) if p == -1]
         right = right.filter(pa.array(part >= 0))
@@ -242,8 +257,9 @@ def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, wi
             rows["sha"].append(sha)
             rows["starts"].append(z(_runs(np.concatenate(starts)).astype("<i8").tobytes()))
             rows["data"].append(z(b"".join(data)))
+            rows["others"].append(r["others"])
         kinds = dict(block=pa.int64(), doc_id=pa.list_(pa.int64()), size=pa.list_(pa.int32()), state=pa.list_(pa.int8()),
-                     sha=pa.list_(pa.string()), starts=pa.binary(), data=pa.binary())
+                     sha=pa.list_(pa.string()), starts=pa.binary(), data=pa.binary(), others=pa.binary())
         return pa.table({k: pa.array(x, kinds[k]) for k, x in rows.items()})
 
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, PENDING)
@@ -280,10 +296,14 @@ def _ask_suffixes(pending: DataFrame, n_parts: int, length: int, with_text: bool
     return pending.select("block", "size", "state", "starts", "data").mapInArrow(run, exchange.REQUEST)
 
 
-def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, length: int, with_text: bool, unit: str) -> DataFrame:
+def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, length: int, with_text: bool, unit: str,
+            others: T.StructType) -> DataFrame:
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        more = []
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for r in left.to_pylist():
+            if names:
+                more.append(_rows(r["others"]))
             x, at = _open(r["data"]), _starts(r["starts"])
             edge = np.zeros(len(x) + 1, np.int32)
             if len(at):
@@ -309,22 +329,33 @@ def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, length: int, w
                 for k, v in zip(out, (i, n, removed, spans, sha or hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
                     out[k].append(v)
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
+        result = pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
+        if names:
+            more = pa.concat_tables(more)
+            for k in names:
+                result = result.append_column(k, more.column(k))
+        return result
 
-    return pending.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, RESULT)
+    names = others.names
+    schema = T.StructType([*T.StructType.fromDDL(RESULT).fields, *others.fields])
+    return pending.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, schema)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True, unit: str = "bytes") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True, unit: str = "bytes",
+          others: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and ``kept``: the remaining bytes.
 
     ``length`` counts ``unit``s: bytes or words.  ``with_text=False`` leaves ``kept`` null and carries the bytes of open texts only.
+    ``others``: input columns that come out with their row.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_parts = 4 * n
     # one shuffle of the texts; all uses below read whole rows of it, so that Spark reuses the exchange
-    packed = pack(docs).repartition(n, "block")
+    carried = keep_clear(docs.select(*[F.col(f"`{c}`") for c in others or []]), ["block", *T.StructType.fromDDL(RESULT).names, "text"])
+    docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(others or [], carried.columns)])
+    packed = pack(docs, carried.columns).repartition(n, "block")
     replies = exchange.repeated(_ask_samples(packed, n_parts, length, unit), SAMPLE_WIDTH).unionByName(_copies(packed))
     pending = cut(_settle(packed, replies, n_parts, length, with_text, unit), "pending")
     ties = exchange.repeated(_ask_suffixes(pending, n_parts, length, with_text, unit))
-    return _remove(pending, ties, n_parts, length, with_text, unit)
+    return _remove(pending, ties, n_parts, length, with_text, unit, carried.schema)

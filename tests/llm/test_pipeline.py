@@ -88,3 +88,30 @@ def test_repeated_words_as_by_brute_force(spark):
             if whole[t] > 1 and len(at) >= length:
                 gone = set(range(len(t)))
             assert bytes(got[k].kept).decode() == "".join(c for i, c in enumerate(t) if i not in gone), (length, k)
+
+
+def test_repeats_are_cut_row_by_row(spark):
+    passage = small_words(1, 60)
+    own = [small_words(100 + k, 70) for k in range(9)]
+    rows = [(7, f"{own[0]} {passage}", "en", "a", 1), (7, own[1], "de", "b", 2), (7, f"{passage} {own[2]}", None, "c", 3)]
+    rows += [(None, f"{own[3]} {passage}", "en", "d", 4), (None, own[4], "fr", "e", 5), (None, f"{own[5]} {passage}", "es", None, 6)]
+    rows += [(None, None, "en", "f", None), (None, "", "en", "g", 0), (8, own[6], "en", "h", 9)]
+    got = corpus_pipeline.remove_repeats(spark, spark.createDataFrame(rows, DOCS).repartition(3), SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    cut = lambda t: t and t.replace(passage, "")
+    want = [(d, cut(t), lang, s, n if cut(t) == t else len(cut(t))) for d, t, lang, s, n in rows]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_repeats_of_one_hot_id_stay_one_row_each(spark):
+    passage = small_words(1, 60)
+    rows = [(None if k % 3 else 5, f"{small_words(1000 + k, 30)} l{k} {passage} r{k} {small_words(3000 + k, 30)}", "en", f"s{k}", 1) for k in range(300)]
+    got = corpus_pipeline.remove_repeats(spark, spark.createDataFrame(rows, DOCS).repartition(4), SF)
+    assert Counter((r.doc_id, r.text, r.source) for r in got.collect()) == Counter((d, t.replace(passage, ""), s) for d, t, _, s, _ in rows)
+
+
+def test_suffix_dedup_passes_clashing_columns_on(spark):
+    rows = [(1, "a b c d e", 10, 1.5), (2, "x", 20, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes long, kept double")
+    got = suffixes.dedup(df, 3, True, "words", ["n_bytes", "kept"])
+    assert sorted((r.doc_id, r.n_bytes, r.n_bytes_in, r.kept_in) for r in got.collect()) == [(1, 9, 10, 1.5), (2, 1, 20, None)]
