@@ -27,14 +27,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7 (five-word shingles, 0.8): of each group the document with the least id stays.
+    """Operator 7 (five-word shingles, 0.8): of each group one row stays, the one with the least id.
 
-    Documents without a word are linked with nothing and stay.  Of repeated rows with one id, one stays.
+    Rows with an id come before rows with none, and equal ids are ordered by a hash of their text: the verdict
+    is on rows, not on ids.  Documents without a word are linked with nothing and stay.  Of rows with the same
+    id and the same text, the one with the least (lang, source, n_chars) stays.
     """
-    found = jaccard.near_duplicates(docs, words=5, percent=80)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    stay = jaccard.survivors(docs, words=5, percent=80).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"))
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (F.xxhash64(whole_text()) == stay["_tkey"]), "left_semi")
+    kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    return kept.select("doc_id", "text", "row.lang", "row.source", "row.n_chars").select(*COLUMNS)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,3 +294,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     out = members.join(labels, members["sig"] == labels["_sig"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
                       .alias("component_id"), "sig")
+
+
+def survivors(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, tkey): the row of each component that has the least (doc_id, text hash), null ids last.
+
+    ``tkey`` is ``xxhash64`` of the text (null is empty).  Rows without a word are linked with nothing: each
+    distinct (doc_id, tkey) of theirs is returned.  The pairs are distinct.
+    """
+    members, comp = links(docs, words, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
+    classes = members.where("n_shingles > 0").groupBy("sig").agg(F.min(row).alias("row"))
+    classes = classes.join(comp.select(F.col("node").alias("sig"), "root"), "sig", "left")
+    best = classes.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("row").alias("row")).select("row.doc_id", "row.tkey")
+    return best.unionByName(members.where("n_shingles = 0").select("doc_id", "tkey").distinct())

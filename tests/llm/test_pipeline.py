@@ -115,3 +115,24 @@ def test_suffix_dedup_passes_clashing_columns_on(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes long, kept double")
     got = suffixes.dedup(df, 3, True, "words", ["n_bytes", "kept"])
     assert sorted((r.doc_id, r.n_bytes, r.n_bytes_in, r.kept_in) for r in got.collect()) == [(1, 9, 10, 1.5), (2, 1, 20, None)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(8)]
+    near = lambda k: texts[k].rsplit(" ", 1)[0] + " other"
+    rows = [(3, texts[0]), (None, texts[0]), (None, near(0)),            # copies of an id's text, without an id
+            (None, texts[1]),                                             # alone, without an id
+            (None, texts[2]), (None, near(2)),                            # a group without any id
+            (1, texts[3]), (1, near(4)), (0, texts[4]),                   # id 1: least of its group, and a near copy of 0
+            (4, texts[5]), (4, near(5)), (4, texts[5]),                   # a group of one id
+            (2, texts[6]), (9, near(6)), (None, None), (None, ""), (None, ""), (6, " "), (6, None), (6, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], DOCS).repartition(3)
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    kept = Counter((x.doc_id, x.text) for x in got.collect())
+    either = [k for k in (Counter([(None, texts[2])]), Counter([(None, near(2))])) if not k - kept]
+    same = [k for k in (Counter([(4, texts[5])]), Counter([(4, near(5))])) if not k - kept]
+    assert len(either) == 1 and len(same) == 1
+    assert kept - either[0] - same[0] == Counter([(3, texts[0]), (None, texts[1]), (1, texts[3]), (0, texts[4]), (2, texts[6]),
+                                                  (None, None), (None, ""), (6, " "), (6, None)])
