@@ -13,13 +13,16 @@ comes from a table with one row per file.
 
 Defined cases: null text is empty (its row holds the end id alone); null ids
 come first; repeated ids are ordered by a hash of their text; extra columns are
-left out; an empty table gives files without rows.
+left out; an empty table gives files without rows.  The string of a token added to
+the vocabulary (``<|endoftext|>``) becomes that token's id, as the library has it by
+default: a text that holds one goes to the library whole, without the memo.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,9 @@ SCHEMA = "doc_id long, row long, n_tokens long, ids array<int>"
 
 
 def library(path: str, pattern: str):
-    """Encode strings with the tokenizers library: list of strings -> ids as bytes.
+    """Encode pieces of ordinary text with the tokenizers library: list of strings -> ids as bytes.
+
+    Pieces could cut the string of an added token, so texts that hold one are for ``whole_library``.
 
     A string of letters (with or without a space in front) is one match of the
     split pattern and goes straight to the library's merge model.
@@ -62,6 +67,15 @@ def library(path: str, pattern: str):
     return lambda items: [one(x) for x in items]
 
 
+@lru_cache(maxsize=8)
+def whole_library(path: str):
+    """The strings of the vocabulary's added tokens, and the unmodified library for whole texts (ids as bytes)."""
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(path)
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    return added, lambda x: array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
+
+
 def encode(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, row, n_tokens, ids) in ascending doc_id order; ``row`` counts from 0 in every partition."""
 
@@ -69,11 +83,15 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = END_ID)
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = chunks.encoder(library, tokenizer, pattern)
+        added, whole = whole_library(tokenizer)
         end, row = np.array([end_id], dtype="<u4").tobytes(), 0
         for b in batches:
             texts = b.column("text").to_pylist()
             for i, j in chunks.slices(texts):
-                ids = [x + end for x in enc.batch(texts[i:j])]
+                own = texts[i:j]
+                special = [any(a in t for a in added) for t in own]
+                plain = iter(enc.batch([t for t, s in zip(own, special) if not s]))
+                ids = [(whole(t) if s else next(plain)) + end for t, s in zip(own, special)]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 values = np.frombuffer(b"".join(ids), dtype="<i4")
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)

@@ -220,6 +220,23 @@ def test_token_files(spark, docs, libraries):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in files.where("doc_id = 7")._jdf.queryExecution().toString()
 
 
+def test_token_files_map_added_tokens_as_the_unmodified_library_does(spark):
+    from tokenizers import Tokenizer
+    path, end = tokenizers_files.path("byte_bpe_50k.json"), "<|endoftext|>"
+    t = Tokenizer.from_file(path)
+    texts = [f"a {end} b", end, end + end, f"in{end}side it's", f"x\n{end}\n y  z", f" {end}", f"{end} ", "a <|endoftext |> b", "<|endoftext|", "plain text",
+             None, "", f"don't, {end}, x ." * 40, "<|ENDOFTEXT|>", "end <| endoftext|>"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    files = token_files.write_and_read(df, path, tokenizers_files.PATTERN)
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    assert [x.ids for x in files.orderBy("doc_id").collect()] == want
+    got = token_files.digests(files).orderBy("doc_id").collect()
+    assert [x.n_tokens for x in got] == [len(x) for x in want]
+    assert [x.start for x in got] == [sum(map(len, want[:k])) for k in range(len(want))]
+    assert [x.ids_crc32 for x in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+
+
 def test_bpe_round_trip(docs, libraries):
     out = bpe.encode_decode(docs.withColumnRenamed("n_chars", "ids"), tokenizers_files.path("byte_bpe_50k.tiktoken"), tokenizers_files.PATTERN)
     got = out.collect()
