@@ -9,7 +9,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, hmm, jaccard, mixing, quality, roles, suffixes, token_files, toxicity
+from . import bpe, fingerprints, hmm, jaccard, lines, mixing, quality, roles, structure, suffixes, token_files, toxicity, trie
 from .common import id_crc, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -71,4 +71,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
 
 
-REGISTRY = {f.__name__: f for f in (op1_mix, op2_role_repair, op3_suffix_dedup, op4_toxicity, op5_token_files, op6_bpe, op7_jaccard, op8_hmm, op9_quality, op10_fingerprint)}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs, min_chars=40, min_docs=5, with_text=False).drop("kept")
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.repair(table(spark, sf_dir, "conversations"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_mix, op2_role_repair, op3_suffix_dedup, op4_toxicity, op5_token_files, op6_bpe, op7_jaccard, op8_hmm,
+                                    op9_quality, op10_fingerprint, op11_lines, op12_trie, op13_repair)}
