@@ -8,7 +8,7 @@ vocabulary's pattern and each match is encoded by itself; decoding looks every
 id's bytes up.
 
 Scale: narrow, no shuffle; texts stream through Arrow in slices, the memo of
-encoded chunks is bounded.
+encoded matches is bounded in bytes.
 
 Defined cases: null text is empty (no ids); ids are little-endian unsigned 32
 bit; repeated rows are encoded alike; clashing input columns come back as
@@ -19,11 +19,10 @@ from __future__ import annotations
 
 import base64
 import struct
-from itertools import chain, islice
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,18 +81,18 @@ def sentencepiece_model(entries: list[bytes]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
-def library(path: str, pattern: str):
-    """Encode strings, match by match of ``pattern``, with the sentencepiece model of a rank file: ids as bytes."""
+def library(path: str):
+    """Encode strings that are matches of a pattern, with the sentencepiece model of a rank file: ids as bytes.
+
+    All strings of a call go to the library at once, their bytes mapped to characters in one pass.
+    """
     import sentencepiece
-    matches = regex.compile(pattern).findall
     sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(read_ranks(path)))
-    to_chars = dict(enumerate(byte_characters()))
+    to_chars = {**dict(enumerate(byte_characters())), 0xFF: "\n"}  # 0xFF never occurs in UTF-8: it parts the strings
 
     def many(items: list[str]) -> list[bytes]:
-        found = [[x] if x[x.startswith(" "):].isalpha() else matches(x) for x in items]
-        mapped = [m.encode().decode("latin-1").translate(to_chars) for f in found for m in f]
-        ids = iter(sp.encode(mapped, out_type=int, num_threads=1))
-        return [np.array(list(chain.from_iterable(islice(ids, len(f)))), dtype="<u4").tobytes() for f in found]
+        mapped = b"\xff".join([x.encode() for x in items]).decode("latin-1").translate(to_chars).split("\n")
+        return [array("I", x).tobytes() for x in sp.encode(mapped, out_type=int, num_threads=1)]
 
     return many
 

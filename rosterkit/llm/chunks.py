@@ -1,102 +1,71 @@
-"""Encoding whole texts through a memo of their space-separated chunks.
+"""Encoding whole texts through a memo of the matches of a split pattern.
 
-The split pattern of the public byte-level vocabularies always ends a match
-before a single space or line feed that stands between two other characters.
-So a text is cut there without changing its tokens, and each distinct chunk is
-encoded once per worker.  A chunk that starts or ends with white space is not
-such a cut; texts that hold one are split by the pattern itself.  Trailing stops
-and commas after a letter or digit are a match of their own and are cut off too.
+Every match of the pattern is encoded by itself, so equal matches have equal ids.
+All matches of a slice of texts that the memo lacks go to the library in one call.
+A worker keeps one memo per vocabulary, bounded in bytes; when it is full it
+starts anew, which costs time and never changes an id.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import regex
 
-HEADS = 400_000      # chunks without their trailing marks remembered per generation (a worker keeps two)
-WHOLE = 600_000      # chunks remembered with their marks; others are put together again each time
-MARKS = ".,;:!?"
+MEMO_BYTES = 48 << 20   # memory of all remembered matches of a worker
+ENTRY_BYTES = 180       # what an entry takes besides its characters and ids
+LATIN = 0x250           # texts of characters below this are split by the standard library's engine, which is faster
+CLASSES = (r"\p{L}", r"\p{N}", r"\s", r"\S")
 
 
-class _Chunks(dict):
-    """Chunk -> its ids as bytes; ``None`` marks a chunk that is no safe cut."""
-
-    def __init__(self, prefix: str, encode_many: Callable[[list[str]], list[bytes]]):
-        self.prefix, self.encode_many, self.heads, self.older, self.marks = prefix, encode_many, {}, {}, {}
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        head = chunk.rstrip(MARKS)
-        if not head or not head[-1].isalnum():
-            head = chunk
-        value = self.heads.get(head)
-        if value is None:
-            value = self.older.get(head)
-            if value is None:
-                value = self.encode_many([self.prefix + head])[0]
-            if len(self.heads) >= HEADS:
-                self.heads, self.older = {}, self.heads
-            self.heads[head] = value
-        if len(head) < len(chunk):
-            value += self._mark(chunk[len(head):])
-        if len(self) < WHOLE:
-            self[chunk] = value
-        return value
-
-    def _mark(self, tail: str) -> bytes:
-        value = self.marks.get(tail)
-        if value is None:
-            if len(self.marks) >= HEADS:
-                self.marks.clear()
-            value = self.marks[tail] = self.encode_many([tail])[0]
-        return value
+def latin_pattern(pattern: str) -> re.Pattern:
+    """The pattern for texts of characters below LATIN: its classes spelled out, as the regex library has them."""
+    for c in CLASSES:
+        found = [i for i in range(LATIN) if regex.match(c, chr(i))]
+        spelled = "".join(f"\\u{i:04x}" for i in found)
+        # inside a class the members alone, outside a class of its own
+        pattern = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(c, spelled), pattern).replace(c, f"[{spelled}]")
+    return re.compile(pattern)
 
 
 class Encoder:
     """Texts to ids (little-endian unsigned 32-bit), equal to encoding every match of ``pattern`` by itself."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], pattern: str):
-        self.first, self.later = _Chunks("", encode_many), _Chunks(" ", encode_many)
-        self.matches, self.memo, self.encode_many = regex.compile(pattern), {}, encode_many
-        self.line = encode_many(["\n"])[0]
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], pattern: str, memo_bytes: int = MEMO_BYTES):
+        self.matches, self.latin = regex.compile(pattern).findall, latin_pattern(pattern).findall
+        self.beyond = re.compile(f"[^\\x00-\\u{LATIN - 1:04x}]").search
+        self.encode_many, self.limit = encode_many, memo_bytes
+        self.memo: dict[str, bytes] = {}
+        self.used = 0
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        return [self._one(t) for t in texts]
-
-    def _one(self, text: str) -> bytes:
-        first, later = self.first, self.later
-        out = []
-        try:
-            for line in text.split("\n"):
-                words = line.split(" ")
-                out.append(first[words[0]] + b"".join([later[w] for w in words[1:]]))
-        except TypeError:  # None: white space beside a cut
-            return self.by_pattern(text)
-        return self.line.join(out)
-
-    def by_pattern(self, text: str) -> bytes:
-        memo, found = self.memo, self.matches.findall(text)
-        new = [m for m in set(found) if m not in memo]
-        if len(memo) + len(new) > WHOLE:
-            memo.clear()
-        memo.update(zip(new, self.encode_many(new)))
-        return b"".join([memo[m] for m in found])
-
-
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder(kind: Callable[[str, str], Callable[[list[str]], list[bytes]]], path: str, pattern: str) -> Encoder:
-    """The worker's encoder of a vocabulary file, made once."""
-    key = (kind.__module__, kind.__qualname__, path, pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(kind(path, pattern), pattern)
-    return _ENCODERS[key]
-
-
-def slices(texts: list[str], size: int = 2_000_000):
+        """The ids of each text; the library is called once at most."""
+        if self.used > self.limit:
+            self.memo, self.used = {}, 0
+        found = [self.matches(t) if self.beyond(t) else self.latin(t) for t in texts]
+        flat = list(chain.from_iterable(found))
+        out = list(map(self.memo.get, flat))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if missing:
+            new = list(dict.fromkeys([flat[i] for i in missing]))
+            ids = self.encode_many(new)
+            self.memo.update(zip(new, ids))
+            self.used += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, ids))
+            for i in missing:
+                out[i] = self.memo[flat[i]]
+        return [b"".join(out[i:j]) for i, j in pairwise(accumulate(map(len, found), initial=0))]
+
+
+@lru_cache(maxsize=2)
+def encoder(library: Callable[[str], Callable[[list[str]], list[bytes]]], path: str, pattern: str) -> Encoder:
+    """The worker's encoder of a vocabulary file."""
+    return Encoder(library(path), pattern)
+
+
+def slices(texts: list[str], size: int = 1_000_000):
     """Cut a list of texts into ranges of about ``size`` characters."""
     start, n = 0, 0
     for i, t in enumerate(texts):

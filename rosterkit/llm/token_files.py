@@ -7,7 +7,7 @@ doc_id order, and rows in a file too, so a reader prunes files, stripes and row
 groups by id, and stripes are read in parallel.
 
 Scale: one range shuffle of (doc_id, text); ids are made after it, streamed
-through Arrow in slices of about 2 MB of text.  A document's place in the whole
+through Arrow in slices of about 1 MB of text.  A document's place in the whole
 id sequence is a running sum inside its file plus the file's base; the base
 comes from a table with one row per file.
 
@@ -46,25 +46,20 @@ ORC = {
 SCHEMA = "doc_id long, row long, n_tokens long, ids array<int>"
 
 
-def library(path: str, pattern: str):
-    """Encode pieces of ordinary text with the tokenizers library: list of strings -> ids as bytes.
+def library(path: str):
+    """Encode matches of the split pattern with the tokenizers library's merge model: list of strings -> ids as bytes.
 
-    Pieces could cut the string of an added token, so texts that hold one are for ``whole_library``.
-
-    A string of letters (with or without a space in front) is one match of the
-    split pattern and goes straight to the library's merge model.
+    Matches could cut the string of an added token, so texts that hold one are for ``whole_library``.
     """
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # the strings of special tokens are ordinary text
-    to_chars, merge = dict(enumerate(byte_characters())), t.model.tokenize
+    merge = Tokenizer.from_file(path).model.tokenize
+    to_chars = {**dict(enumerate(byte_characters())), 0xFF: "\n"}  # 0xFF never occurs in UTF-8: it parts the strings
 
-    def one(x: str) -> bytes:
-        if x[x.startswith(" "):].isalpha():
-            return array("I", [m.id for m in merge(x.encode().decode("latin-1").translate(to_chars))]).tobytes()
-        return array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
+    def many(items: list[str]) -> list[bytes]:
+        mapped = b"\xff".join([x.encode() for x in items]).decode("latin-1").translate(to_chars).split("\n")
+        return [array("I", [m.id for m in merge(x)]).tobytes() for x in mapped]
 
-    return lambda items: [one(x) for x in items]
+    return many
 
 
 @lru_cache(maxsize=8)
@@ -130,13 +125,15 @@ def digests(files: DataFrame) -> DataFrame:
                 [b.column("doc_id"), b.column("file"), b.column("row"), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())],
                 names=["doc_id", "file", "row", "n_tokens", "ids_crc32"])
 
+    # part files are numbered with at least five digits: the number orders them, not the name
+    files = files.withColumn("file", F.struct(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("number"), F.col("file").alias("name")))
     d = files.select("doc_id", "file", "row", "ids").mapInArrow(
-        run, "doc_id long, file string, row long, n_tokens long, ids_crc32 long")
+        run, "doc_id long, file struct<number: long, name: string>, row long, n_tokens long, ids_crc32 long")
     d = d.withColumn("_in", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens"))
     per = files.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
     per = per.select(F.col("file").alias("_file"), (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_base"))
     d = d.join(per, d["file"] == per["_file"])
-    return d.select("doc_id", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32", "file", "row")
+    return d.select("doc_id", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32", F.col("file.name").alias("file"), "row")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:

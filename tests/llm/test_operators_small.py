@@ -196,16 +196,19 @@ def libraries():
     return (lambda x: t.encode(x, add_special_tokens=False).ids), e.encode_ordinary
 
 
-def test_encoders_equal_the_libraries(libraries, monkeypatch):
-    monkeypatch.setattr(chunks, "WHOLE", 40)
-    monkeypatch.setattr(chunks, "HEADS", 60)
-    texts = [*ODD, *[t or "" for _, t, *_ in ROWS]]
+def test_encoders_equal_the_libraries(libraries):
+    texts = [*ODD, *[t or "" for _, t, *_ in ROWS], "".join(map(chr, range(0x300))), *[f"a{chr(c)}1 {chr(c)}b" for c in range(0x300)]]
     for kind, path, want in ((token_files.library, "byte_bpe_50k.json", libraries[0]), (bpe.library, "byte_bpe_50k.tiktoken", libraries[1])):
-        enc = chunks.Encoder(kind(tokenizers_files.path(path), tokenizers_files.PATTERN), tokenizers_files.PATTERN)
+        one, calls = kind(tokenizers_files.path(path)), []
+        enc = chunks.Encoder(lambda x: calls.append(len(x)) or one(x), tokenizers_files.PATTERN, memo_bytes=20_000)
+        n = 0
         for _ in range(2):
             for i, j in chunks.slices(texts, 500):
+                n += 1
                 for t, got in zip(texts[i:j], enc.batch(texts[i:j])):
                     assert np.frombuffer(got, "<u4").tolist() == want(t), t
+                assert len(enc.memo) * chunks.ENTRY_BYTES < 2_000_000
+        assert len(calls) <= n  # one library call a slice, not one a word
 
 
 def test_token_files(spark, docs, libraries):
