@@ -19,6 +19,7 @@ from .common import cut
 
 U64 = "<u8"
 REQUEST = "block long, part long, keys binary, counts binary"
+MOST_ROUNDS = 100   # star steps; every two halve distances, so 2**50 nodes in a row would need them
 REPLY = "block long, part long, totals binary"
 
 
@@ -95,6 +96,53 @@ def repeated(asked: DataFrame, width: int = 8) -> DataFrame:
     return asked.groupBy("part").applyInArrow(add, REPLY)
 
 
+def pair_order(keys: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct 128-bit keys (two words each) by part of the key space and key, and their parts."""
+    part = parts_of(keys[:, 0], n_parts)
+    return np.lexsort((keys[:, 1], keys[:, 0], part)), part
+
+
+def ask_repeated_pairs(block: int, keys: np.ndarray, counts: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """Request rows for distinct 128-bit keys: the keys, and whether the block holds each twice."""
+    order, part = pair_order(keys, n_parts)
+    keys, twice, part = keys[order].astype(U64), (counts[order] > 1).astype(np.uint8), part[order]
+    own, first = np.unique(part, return_index=True)
+    cuts = [*first.tolist(), len(keys)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(own), block, dtype=np.int64)), pa.array(own),
+         pa.array([keys[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
+         pa.array([twice[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())],
+        names=["block", "part", "keys", "counts"])
+
+
+def repeated_pairs(asked: DataFrame) -> DataFrame:
+    """Replies: one byte per 128-bit key, 1 if it occurs twice or more over all requests."""
+
+    def add(t: pa.Table) -> pa.Table:
+        raw = [np.frombuffer(x, U64).reshape(-1, 2) for x in t.column("keys").to_pylist()]
+        keys = np.concatenate(raw)
+        more = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8) > 0
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        same = (keys[order[1:]] == keys[order[:-1]]).all(axis=1)
+        flag = more.astype(np.uint8)
+        flag[order[1:][same]] = 1
+        flag[order[:-1][same]] = 1
+        ends = np.cumsum([len(x) for x in raw])
+        return pa.table({"block": t.column("block"), "part": t.column("part"),
+                         "totals": pa.array([flag[e - len(x):e].tobytes() for e, x in zip(ends, raw)], pa.binary())})
+
+    return asked.groupBy("part").applyInArrow(add, REPLY)
+
+
+def collect_pairs(t: pa.Table, keys: np.ndarray, n_parts: int) -> np.ndarray:
+    """The flags of a block's distinct 128-bit ``keys`` (any order) from its reply rows."""
+    order, _ = pair_order(keys, n_parts)
+    rows = sorted(zip(t.column("part").to_pylist(), t.column("totals").to_pylist()))
+    out = np.zeros(len(keys), bool)
+    out[order] = np.frombuffer(b"".join(x for _, x in rows), np.uint8) > 0
+    return out
+
+
 def collect_replies(t: pa.Table, keys: np.ndarray, n_parts: int, kind: str = "<u4") -> np.ndarray:
     """The totals (``repeated``: flags, kind u1) of a block's ``keys`` (distinct, any order) from its reply rows."""
     part = parts_of(keys, n_parts)
@@ -112,11 +160,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Large and small star steps in turn; each links a node's neighbours to the
     least of them, which halves distances, until the stars do not change.  Every
     step is joins and minima with map-side combine, cut into the shared folder.
+    Raises ``RuntimeError`` rather than returning unfinished components.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e, f"{name}_0")
     before = None
-    for k in range(1, 64):
+    for k in range(1, MOST_ROUNDS + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours of u hang on the least of u and its neighbours
@@ -131,5 +180,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components of {name} still change after {MOST_ROUNDS} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())

@@ -25,7 +25,7 @@ def op2_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixes.dedup(docs, length=400, with_text=False).drop("kept")
+    return suffixes.repeats(docs, n_bytes=400, n_words=51)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,7 @@
 Every byte covered by a ``length``-byte string that also starts elsewhere is
 removed.  Only ties of ``length`` bytes matter, so suffixes need no full order:
 two suffixes belong together when their first ``length`` bytes are equal, and
-ranks are names of equal strings (64-bit fingerprints) in place of positions in
-a sorted order.
+ranks are names of equal strings in place of positions in a sorted order.
 
 ``unit="words"`` counts ``length`` in words (runs of other than white space):
 what is removed then is every run of ``length`` words that also starts elsewhere,
@@ -17,18 +16,20 @@ place of bytes; read "byte" as "word" below where positions are meant.
    positions i, j some k < v puts both i + k and j + k in the cover, so a suffix
    that ties with another for ``length`` bytes has a sample among its first v
    positions whose name occurs twice.  All others are settled and never sorted.
-2. Suffix buckets.  The remaining suffixes, keyed by the fingerprint of their
-   first ``length`` bytes, are dealt into buckets of the key space; each bucket
-   is sorted by itself, one at a time in a task, and equal neighbours are ties.
+2. Suffix buckets.  The remaining suffixes, keyed by the name of their first
+   ``length`` bytes, are dealt into buckets of the key space; each bucket is
+   sorted by itself, one at a time in a task, and equal neighbours are ties.
 
 Exact copies of a text of ``length`` bytes or more are removed whole (white space
 at the ends included), and only one of them sends its suffixes into the buckets.
 
-Scale: samples (about 9 % of positions, 5 bytes each) and unsettled suffixes (8
+Scale: samples (about 9 % of positions, 5 bytes each) and unsettled suffixes (16
 bytes each) are exchanged as packed arrays; a bucket holds the keys of one part
 of the key space, evenly dealt whatever the texts.  Texts are shuffled once as
-compressed blocks.  Fingerprints are 64 bit: two different strings share one
-with a probability of about 400 / 2**64 for each pair compared.
+compressed blocks.  A name that decides is two sums modulo the prime 2**61 - 1 with
+two bases: two different strings of n bytes share it with a probability of at most
+(n / 2**61) ** 2, below 1 in 10**31 for 400 bytes.  Names of samples are sums modulo
+2**64, cut to 5 bytes; they only choose what is sent to the buckets.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all their
 bytes; an empty table gives an empty result.  There is one result row per input
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import exchange
+from . import exchange, residues
 from .common import cut, keep_clear, whole_text
 
 LENGTH = 400
@@ -55,8 +56,9 @@ BLOCK_BYTES = 3_000_000
 SAMPLE_WIDTH = 5   # bytes of a sample's name that are sent; a false tie only sends a suffix to the buckets
 PLAIN, COPY, OPEN, COPY_OPEN = 0, 1, 2, 3
 BLOCK = "block long, doc_id array<long>, size array<int>, hash array<binary>, data binary, others binary"
-PENDING = "block long, doc_id array<long>, size array<int>, state array<byte>, sha array<string>, starts binary, data binary, others binary"
+PENDING = "block long, doc_id array<long>, size array<int>, state array<byte>, sha array<string>, units array<int>, starts binary, data binary, others binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+PLACED = "block long, place long, n_units long, " + RESULT   # the row's place in its block, and the units removed
 
 
 def difference_cover(r: int = 2) -> tuple[int, np.ndarray]:
@@ -100,6 +102,29 @@ class Windows:
         return k ^ (k >> np.uint64(32))
 
 
+_BASES = (0x17A3C9E45D2B8F61, 0x0B6E1D93F58A2C47)
+_TABLES: list[list[np.ndarray]] = [[], []]
+
+
+class Names:
+    """Names (two residues) of windows of an array of bytes, or of names (64 bit) of words."""
+
+    def __init__(self, x: np.ndarray):
+        n = len(x) + 1
+        x = x.astype(np.uint64) + np.uint64(1) if x.dtype == np.uint8 else x % np.uint64(residues.PRIME)
+        self.sums, self.inverse = [], []
+        for k, base in enumerate(_BASES):
+            if not _TABLES[k] or len(_TABLES[k][0]) < n:
+                _TABLES[k] = [residues.powers(b, n) for b in (base % residues.PRIME, pow(base, -1, residues.PRIME))]
+            up, down = _TABLES[k]
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), residues.running(residues.mulmod(x, up[:len(x)]), 0)]))
+            self.inverse.append(down)
+
+    def at(self, start: np.ndarray, length: int) -> np.ndarray:
+        return np.stack([residues.mulmod(residues.minus(h[start + length], h[start]), down[start])
+                         for h, down in zip(self.sums, self.inverse)], axis=1)
+
+
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -127,6 +152,15 @@ class Units:
         self._windows = self._windows or Windows(self._x)
         return self._windows.at(start, length)
 
+    def distinct(self, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct names of windows, each window's place among them, and how often each occurs."""
+        names = Names(self._x).at(start, length)
+        order = np.lexsort((names[:, 1], names[:, 0]))
+        new = np.append(True, (names[order[1:]] != names[order[:-1]]).any(axis=1))
+        inverse = np.empty(len(start), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        return names[order[new]], inverse, np.bincount(inverse)
+
     def bytes_of(self, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """First byte of every window, and the one after its last."""
         return (start, start + length) if self.first is None else (self.first[start], self.last[start + length - 1])
@@ -196,29 +230,46 @@ def _ask_samples(packed: DataFrame, n_parts: int, length: int, unit: str) -> Dat
 
 
 def _copies(packed: DataFrame) -> DataFrame:
-    """Reply rows (part -1) that name a block's exact copies: ``place:first,...`` as text."""
+    """Reply rows (part -1) that name a block's exact copies: ``place,place,...:first`` per text, joined by ``;``.
+
+    A block sends one row per distinct text; ``first`` is 1 where the least of its places is the first copy of all.
+    """
     def run(batches):
         for b in batches:
             for block, h in zip(b.column("block").to_pylist(), b.column("hash").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(h), pa.int64()), pa.array(range(len(h)), pa.int32()),
-                                                  pa.array(h, pa.binary())], names=["block", "place", "hash"])
-
-    d = packed.mapInArrow(run, "block long, place int, hash binary")
-    g = d.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("block", "place")).alias("first")).where("m > 1")
-    d = d.join(g, "hash").withColumn("is_first", F.struct("block", "place") == F.col("first"))
-    item = F.concat_ws(":", F.col("place").cast("string"), F.col("is_first").cast("int").cast("string"))
-    return d.groupBy("block").agg(F.concat_ws(",", F.collect_list(item)).cast("binary").alias("totals")).select(
+                places: dict[bytes, list[int]] = {}
+                for k, x in enumerate(h):
+                    places.setdefault(x, []).append(k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(places), pa.int64()), pa.array(list(places), pa.binary()), pa.array([len(p) for p in places.values()], pa.int64()),
+                     pa.array([",".join(map(str, p)) for p in places.values()])], names=["block", "hash", "n", "places"])
+
+    d = packed.select("block", "hash").mapInArrow(run, "block long, hash binary, n long, places string")
+    g = d.groupBy("hash").agg(F.sum("n").alias("m"), F.min("block").alias("first")).where("m > 1")
+    d = d.join(g, "hash").withColumn("is_first", F.col("block") == F.col("first"))
+    item = F.concat_ws(":", F.col("places"), F.col("is_first").cast("int").cast("string"))
+    return d.groupBy("block").agg(F.concat_ws(";", F.collect_list(item)).cast("binary").alias("totals")).select(
         "block", F.lit(-1).cast("long").alias("part"), "totals")
 
 
+def _copy_places(totals: list[bytes]) -> dict[int, bool]:
+    """Place of every copy in a block -> whether it is the first of all."""
+    out = {}
+    for item in (x for t in totals if t for x in t.decode().split(";")):
+        places, first = item.split(":")
+        places = [int(p) for p in places.split(",")]
+        out |= {p: first == "1" and p == places[0] for p in places}
+    return out
+
+
 def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, with_text: bool, unit: str) -> DataFrame:
     """Blocks with every text's state; open texts keep their bytes and the suffixes still to be sorted."""
     v, cover = cover_of(length)
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = {k: [] for k in ("block", "doc_id", "size", "state", "sha", "starts", "data", "others")}
+        rows = {k: [] for k in ("block", "doc_id", "size", "state", "sha", "units", "starts", "data", "others")}
         part = np.array(right.column("part").to_pylist(), dtype=np.int64)
-        copies = [x.decode() for x, p in zip(right.column("totals").to_pylist(), part) if p == -1]
+        copy = _copy_places([x for x, p in zip(right.column("totals").to_pylist(), part) if p == -1])
         right = right.filter(pa.array(part >= 0))
         for r in left.to_pylist():
             size = np.array(r["size"], dtype=np.int64)
@@ -230,7 +281,6 @@ def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, wi
                 keys, inverse = np.unique(units.at(at, length - v + 1), return_inverse=True)
                 twice[at] = exchange.collect_replies(right, keys, n_parts, "u1")[inverse]
             count = np.concatenate([[0], np.cumsum(twice)])
-            copy = dict(tuple(map(int, c.split(":"))) for y in copies if y for c in y.split(","))
             state, sha, starts, data, kept_units = [], [], [], [], 0
             for k, (b, m, s, n) in enumerate(zip(begin.tolist(), size.tolist(), units.begin.tolist(), units.n.tolist())):
                 own = x[b:b + m]
@@ -255,11 +305,12 @@ def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, wi
             rows["size"].append(r["size"])
             rows["state"].append(state)
             rows["sha"].append(sha)
+            rows["units"].append(units.n.tolist())
             rows["starts"].append(z(_runs(np.concatenate(starts)).astype("<i8").tobytes()))
             rows["data"].append(z(b"".join(data)))
             rows["others"].append(r["others"])
         kinds = dict(block=pa.int64(), doc_id=pa.list_(pa.int64()), size=pa.list_(pa.int32()), state=pa.list_(pa.int8()),
-                     sha=pa.list_(pa.string()), starts=pa.binary(), data=pa.binary(), others=pa.binary())
+                     sha=pa.list_(pa.string()), units=pa.list_(pa.int32()), starts=pa.binary(), data=pa.binary(), others=pa.binary())
         return pa.table({k: pa.array(x, kinds[k]) for k, x in rows.items()})
 
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, PENDING)
@@ -290,8 +341,8 @@ def _ask_suffixes(pending: DataFrame, n_parts: int, length: int, with_text: bool
                 at = _starts(r["starts"])
                 if len(at):
                     units = Units(_open(r["data"]), _held(r, with_text), unit)
-                    keys, counts = np.unique(units.at(at, length), return_counts=True)
-                    yield exchange.ask_repeated(r["block"], keys, counts, n_parts)
+                    keys, _, counts = units.distinct(at, length)
+                    yield exchange.ask_repeated_pairs(r["block"], keys, counts, n_parts)
 
     return pending.select("block", "size", "state", "starts", "data").mapInArrow(run, exchange.REQUEST)
 
@@ -300,35 +351,42 @@ def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, length: int, w
             others: T.StructType) -> DataFrame:
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         more = []
-        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        out = {k: [] for k in ("block", "place", "n_units", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for r in left.to_pylist():
             if names:
                 more.append(_rows(r["others"]))
             x, at = _open(r["data"]), _starts(r["starts"])
+            units = Units(x, _held(r, with_text), unit)
             edge = np.zeros(len(x) + 1, np.int32)
             if len(at):
-                units = Units(x, _held(r, with_text), unit)
-                keys, inverse = np.unique(units.at(at, length), return_inverse=True)
-                hit = at[exchange.collect_replies(right, keys, n_parts, "u1")[inverse] > 0]
+                keys, inverse, _ = units.distinct(at, length)
+                hit = at[exchange.collect_pairs(right, keys, n_parts)[inverse]]
                 first, end = units.bytes_of(hit, length)
                 np.add.at(edge, first, 1)
                 np.add.at(edge, end, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            s = 0
-            for i, n, state, sha in zip(r["doc_id"], r["size"], r["state"], r["sha"]):
+            lost = gone if units.first is None else gone[units.first]   # by unit
+            lost = np.concatenate([[0], np.cumsum(lost)])
+            s, held_texts = 0, 0
+            for place, (i, n, state, sha, n_units) in enumerate(zip(r["doc_id"], r["size"], r["state"], r["sha"], r["units"])):
                 held = with_text or state in (OPEN, COPY_OPEN)
                 own, cover = (x[s:s + n], gone[s:s + n]) if held else (x[:0], gone[:0])
                 s += n if held else 0
+                units_gone = 0
+                if held:
+                    u, m = int(units.begin[held_texts]), int(units.n[held_texts])
+                    units_gone, held_texts = int(lost[u + m] - lost[u]), held_texts + 1
                 if state in (COPY, COPY_OPEN):
-                    kept, removed, spans = b"", n, 1
+                    kept, removed, spans, units_gone = b"", n, 1, n_units
                 elif state == PLAIN:
                     kept, removed, spans = own.tobytes(), 0, 0
                 else:
                     kept, removed = own[~cover].tobytes(), int(cover.sum())
                     spans = int(cover[:1].sum() + (cover[1:] & ~cover[:-1]).sum())
-                for k, v in zip(out, (i, n, removed, spans, sha or hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
+                for k, v in zip(out, (r["block"], place, units_gone, i, n, removed, spans, sha or hashlib.sha256(kept).hexdigest(),
+                                      kept if with_text else None)):
                     out[k].append(v)
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
         result = pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
         if names:
             more = pa.concat_tables(more)
@@ -337,10 +395,19 @@ def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, length: int, w
         return result
 
     names = others.names
-    schema = T.StructType([*T.StructType.fromDDL(RESULT).fields, *others.fields])
+    schema = T.StructType([*T.StructType.fromDDL(PLACED).fields, *others.fields])
     return pending.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, schema)
 
 
+def _placed(packed: DataFrame, length: int, with_text: bool, unit: str, others: T.StructType) -> DataFrame:
+    """The rows of PLACED and ``others``, of packed blocks."""
+    n_parts = 4 * int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    replies = exchange.repeated(_ask_samples(packed, n_parts, length, unit), SAMPLE_WIDTH).unionByName(_copies(packed))
+    pending = cut(_settle(packed, replies, n_parts, length, with_text, unit), "pending")
+    ties = exchange.repeated_pairs(_ask_suffixes(pending, n_parts, length, with_text, unit))
+    return _remove(pending, ties, n_parts, length, with_text, unit, others)
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True, unit: str = "bytes",
           others: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and ``kept``: the remaining bytes.
@@ -348,14 +415,23 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True, unit: s
     ``length`` counts ``unit``s: bytes or words.  ``with_text=False`` leaves ``kept`` null and carries the bytes of open texts only.
     ``others``: input columns that come out with their row.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = 4 * n
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one shuffle of the texts; all uses below read whole rows of it, so that Spark reuses the exchange
-    carried = keep_clear(docs.select(*[F.col(f"`{c}`") for c in others or []]), ["block", *T.StructType.fromDDL(RESULT).names, "text"])
+    carried = keep_clear(docs.select(*[F.col(f"`{c}`") for c in others or []]), ["doc_id", "text", *T.StructType.fromDDL(BLOCK + ", " + PLACED).names])
     docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(others or [], carried.columns)])
     packed = pack(docs, carried.columns).repartition(n, "block")
-    replies = exchange.repeated(_ask_samples(packed, n_parts, length, unit), SAMPLE_WIDTH).unionByName(_copies(packed))
-    pending = cut(_settle(packed, replies, n_parts, length, with_text, unit), "pending")
-    ties = exchange.repeated(_ask_suffixes(pending, n_parts, length, with_text, unit))
-    return _remove(pending, ties, n_parts, length, with_text, unit, carried.schema)
+    return _placed(packed, length, with_text, unit, carried.schema).drop("block", "place", "n_units")
+
+
+def repeats(docs: DataFrame, n_bytes: int = LENGTH, n_words: int = 51) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``dedup`` with ``n_bytes`` bytes, and beside them how many words
+    stand in runs of ``n_words`` words that also start elsewhere (n_repeat_words), and in how many maximal runs (n_repeat_runs).
+
+    Both searches read the same blocks and are joined on a row's place there, so ids may be null or repeated.
+    """
+    packed = cut(pack(docs.select("doc_id", "text"), []), "blocks")
+    by_bytes = _placed(packed, n_bytes, False, "bytes", T.StructType([])).drop("kept", "n_units")
+    by_words = _placed(packed, n_words, False, "words", T.StructType([])).select(
+        F.col("block").alias("_b"), F.col("place").alias("_p"), F.col("n_units").alias("n_repeat_words"), F.col("n_spans").alias("n_repeat_runs"))
+    out = by_bytes.join(by_words, (F.col("block") == F.col("_b")) & (F.col("place") == F.col("_p")))
+    return out.drop("block", "place", "_b", "_p")
