@@ -14,9 +14,12 @@ over its texts and emits expected counts, which are added up over partitions;
 the scaled forward recursion then gives the exact likelihood of each text.  The
 end of the text is a token like the words.
 
-The first parameters come from a few rounds on a bounded sample of training
-texts (SEED_TOKENS tokens, by hash); all rounds that make the model, and all
-counts, cover every training text.
+The first parameters come from counts of adjacent classes over every training text:
+classes are dealt into GROUPS groups (the most frequent alone, the others by number), pairs
+of groups are counted in one pass, and START_ROUNDS rounds of expectation and maximisation on
+the table of pairs, GROUPS x GROUPS at any input size, give the first transitions and
+emissions.  Whole numbers are added up, so files and partitions do not matter.
+All rounds after that, and all counts, cover every training text too.
 
 Scale: word counts travel as packed arrays (``exchange``): two shuffles of the
 blocks' vocabularies, none of the tokens.  What tasks get by closure is bounded:
@@ -47,9 +50,9 @@ STATES = 6
 FREQUENT = 16_384     # a frequent word is at least one in so many training tokens
 SHARED = 4_096        # classes of the other words
 ROUNDS = 2            # Baum-Welch rounds over all training texts
-SEED_ROUNDS = 12
-SEED_TOKENS = 200_000
-SEED_BLOCKS = 4
+GROUPS = 2_048        # groups of classes whose pairs are counted for the first parameters
+ALONE = 2_000         # of these, for the most frequent classes, one each
+START_ROUNDS = 60
 PRIOR = 0.5           # pseudo-tokens per state, spread like the classes' overall shares
 BLOCK_CHARS = 4_000_000
 BATCH_TOKENS = 400_000
@@ -236,6 +239,7 @@ class Model:
 
     @classmethod
     def first(cls, shares: np.ndarray, states: int = STATES, seed: int = 5) -> Model:
+        """States that keep to themselves, with emissions near the overall shares."""
         rng = np.random.default_rng(seed)
         emit = shares[:, None] * rng.uniform(0.5, 1.5, (len(shares), states))
         move = np.full((states, states), 0.1 / max(1, states - 1))
@@ -318,21 +322,60 @@ def _training(r: dict) -> tuple[np.ndarray, np.ndarray]:
     return classes[~np.repeat(held, sizes)], sizes[~held]
 
 
-def _seed_model(seqs: DataFrame, shares: np.ndarray) -> Model:
-    """Rounds on a bounded sample: the first tokens of SEED_BLOCKS blocks (by hash), SEED_TOKENS in all."""
-    some = [r["block"] for r in seqs.select("block").orderBy(F.xxhash64("block"), "block").limit(SEED_BLOCKS).collect()]
-    rows = seqs.where(F.col("block").isin(some)).orderBy("block").select("held", "size", "classes").collect() if some else []
-    model, classes, sizes, n = Model.first(shares), [], [], 0
-    for r in rows:
-        c, s = _training(r.asDict())
-        k = int(np.searchsorted(np.cumsum(s), SEED_TOKENS // max(1, len(rows))))
-        s = s[:k]
-        classes.append(c[:s.sum()])
-        sizes.append(s)
-    classes, sizes = np.concatenate([np.zeros(0, "<u2"), *classes]), np.concatenate([np.zeros(0, np.int64), *sizes])
-    for _ in range(SEED_ROUNDS if len(sizes) else 0):
-        model = Model.refit(*expected(model, classes.astype(np.int64), sizes), shares)
-    return model
+def _groups(shares: np.ndarray) -> np.ndarray:
+    """The group of every class: the ALONE most frequent ones by themselves, the others by their number."""
+    alone = np.argsort(-shares, kind="stable")[:ALONE]
+    out = ALONE + np.arange(len(shares)) % (GROUPS - ALONE)
+    out[alone] = np.arange(len(alone))
+    return out
+
+
+def _pairs(seqs: DataFrame, groups: np.ndarray) -> np.ndarray:
+    """How often each pair of groups is adjacent in the training texts."""
+    size = GROUPS * 32   # pairs in one row of counts
+
+    def run(batches):
+        n = np.zeros(GROUPS * GROUPS, np.int64)
+        for b in batches:
+            for r in b.to_pylist():
+                c, sizes = _training(r)
+                g = groups[c]
+                inside = np.ones(len(g), bool)
+                inside[np.cumsum(sizes) - 1] = False     # the last token of a text has no next one
+                i = np.flatnonzero(inside)
+                n += np.bincount(g[i] * GROUPS + g[i + 1], minlength=len(n))
+        if n.any():
+            k = len(n) // size
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int64()), pa.array([_zip(x) for x in n.reshape(k, size)], pa.binary())],
+                                             names=["range", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        x = np.zeros(size, np.int64)
+        for v in t.column("counts").to_pylist():
+            x += _unzip(v, "<i8")
+        return pa.table({"range": t.column("range").slice(0, 1), "counts": pa.array([_zip(x)], pa.binary())})
+
+    got = seqs.select("held", "size", "classes").mapInArrow(run, "range long, counts binary")
+    out = np.zeros((GROUPS * GROUPS // size, size), np.int64)
+    for r in got.groupBy("range").applyInArrow(add, "range long, counts binary").toLocalIterator():   # bounded: GROUPS x GROUPS
+        out[r["range"]] = _unzip(r["counts"], "<i8")
+    return out.reshape(GROUPS, GROUPS)
+
+
+def first_model(pairs: np.ndarray, shares: np.ndarray, groups: np.ndarray, states: int = STATES, seed: int = 5) -> Model:
+    """Transitions and emissions that explain the table of adjacent groups, by expectation and maximisation."""
+    share = np.bincount(groups, weights=shares, minlength=len(pairs))
+    model = Model.first(share, states, seed)
+    emit, both = model.emit, model.start[:, None] * model.move
+    for _ in range(START_ROUNDS if pairs.any() else 0):
+        r = pairs / np.maximum(emit @ both @ emit.T, 1e-300)
+        first, second = emit * (r @ emit @ both.T), emit * (r.T @ emit @ both)
+        both = both * (emit.T @ r @ emit) + 0.1
+        both /= both.sum()
+        emit = first + second + PRIOR * share[:, None]
+        emit /= emit.sum(0)
+    wide = emit[groups] * (shares / np.maximum(share[groups], 1e-300))[:, None]
+    return Model(both.sum(1), both / both.sum(1, keepdims=True), wide / wide.sum(0))
 
 
 def _round(seqs: DataFrame, model: Model, shares: np.ndarray) -> Model:
@@ -378,7 +421,8 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Vocabulary,
     vocabulary = Vocabulary(n, facts.toLocalIterator())
     seqs = cut(_sequences(packed, replies.where("block >= 0").select("block", "part", "totals"), vocabulary, n_parts), "sequences")
     shares = vocabulary.shares()
-    model = _seed_model(seqs, shares)
+    groups = _groups(shares)
+    model = first_model(_pairs(seqs, groups), shares, groups)
     for _ in range(rounds):
         model = _round(seqs, model, shares)
     return seqs, vocabulary, model
