@@ -41,6 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,15 +159,26 @@ def _entries(packed: DataFrame, replies: DataFrame, n_parts: int, percent: int)
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, ENTRY)
 
 
+def _by_bytes(b: pa.RecordBatch, *columns: str, size: int = 4_000_000):
+    """A batch in slices of about ``size`` bytes in some columns, so that no task holds a whole batch as objects."""
+    n = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    part = (np.cumsum(n) - n) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield b.slice(i, j - i)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(sig, shingles) of the wanted classes (sig, tkey), rebuilt from one text each."""
 
     def run(batches):
         for b in batches:
-            sets = [shingles.shingle_set(t, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shingles.signature(s) for s in sets], pa.binary()),
-                 pa.array([s.astype(exchange.U64).tobytes() for s in sets], pa.binary())], names=["sig", "shingles"])
+            for part in _by_bytes(b, "text"):
+                sets = [shingles.shingle_set(t, words) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shingles.signature(s) for s in sets], pa.binary()),
+                     pa.array([s.astype(exchange.U64).tobytes() for s in sets], pa.binary())], names=["sig", "shingles"])
 
     d = docs.select(whole_text().alias("text")).withColumn("tkey", F.xxhash64("text"))
     d = d.join(wanted.select("tkey"), "tkey", "left_semi").select("text").dropDuplicates(["text"])
@@ -179,18 +191,13 @@ def _repack(sets: DataFrame, tokens: int = 500_000) -> DataFrame:
     def run(batches):
         ids = exchange.block_ids()
         for b in batches:
-            sig, data = b.column("sig").to_pylist(), b.column("shingles").to_pylist()
-            start, size = 0, 0
-            for end in range(1, len(sig) + 1):
-                size += len(data[end - 1]) // 8
-                if size < tokens and end < len(sig):
-                    continue
-                n = [len(x) // 8 for x in data[start:end]]
+            for part in _by_bytes(b, "shingles", size=8 * tokens):
+                sig, data = part.column("sig").to_pylist(), part.column("shingles").to_pylist()
+                n = [len(x) // 8 for x in data]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([next(ids)], pa.int64()), pa.array([sig[start:end]], pa.list_(pa.binary())),
-                     *[pa.array([n], pa.list_(pa.int32()))] * 3, pa.array([b"".join(data[start:end])], pa.binary())],
+                    [pa.array([next(ids)], pa.int64()), pa.array([sig], pa.list_(pa.binary())),
+                     *[pa.array([n], pa.list_(pa.int32()))] * 3, pa.array([b"".join(data)], pa.binary())],
                     names=["block", "sig", "n", "kept", "chosen", "tokens"])
-                start, size = end, 0
 
     return sets.select("sig", "shingles").mapInArrow(
         run, "block long, sig array<binary>, n array<int>, kept array<int>, chosen array<int>, tokens binary")
@@ -209,14 +216,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = [np.frombuffer(v, exchange.U64) for v in b.column("sa").to_pylist()]
-            y = [np.frombuffer(v, exchange.U64) for v in b.column("sb").to_pylist()]
-            good = []
-            for s, t in zip(x, y):
-                i = np.searchsorted(t, s)
-                same = int((t[np.minimum(i, len(t) - 1)] == s).sum())
-                good.append(100 * same >= percent * (len(s) + len(t) - same))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good)], names=["a", "b", "linked"])
+            for part in _by_bytes(b, "sa", "sb"):
+                good = []
+                for v, w in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
+                    s, t = np.frombuffer(v, exchange.U64), np.frombuffer(w, exchange.U64)
+                    i = np.searchsorted(t, s)
+                    same = int((t[np.minimum(i, len(t) - 1)] == s).sum())
+                    good.append(100 * same >= percent * (len(s) + len(t) - same))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(good)], names=["a", "b", "linked"])
 
     j = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), "a")
     j = j.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("sb")), "b")
