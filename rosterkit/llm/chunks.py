@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, compress, pairwise
+from operator import not_
 
 import regex
 
-MEMO_BYTES = 48 << 20   # memory of all remembered matches of a worker
+MEMO_BYTES = 96 << 20   # memory of all remembered matches of a worker
 ENTRY_BYTES = 180       # what an entry takes besides its characters and ids
 LATIN = 0x250           # texts of characters below this are split by the standard library's engine, which is faster
 CLASSES = (r"\p{L}", r"\p{N}", r"\s", r"\S")
@@ -48,7 +49,7 @@ class Encoder:
         found = [self.matches(t) if self.beyond(t) else self.latin(t) for t in texts]
         flat = list(chain.from_iterable(found))
         out = list(map(self.memo.get, flat))
-        missing = [i for i, ids in enumerate(out) if ids is None]
+        missing = list(compress(range(len(out)), map(not_, out)))   # no match is without ids
         if missing:
             new = list(dict.fromkeys([flat[i] for i in missing]))
             ids = self.encode_many(new)
