@@ -11,12 +11,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
 
-from rosterkit.llm import (bpe, chunks, exchange, fingerprints, hmm, jaccard, mixing, quality, roles, suffixes, token_files,  # noqa: E402
-                           toxicity)
+from rosterkit.llm import (bpe, chunks, exchange, fingerprints, hmm, jaccard, mixing, quality, residues, roles, suffixes,  # noqa: E402
+                           token_files, toxicity)
 from . import brute  # noqa: E402
 
 ROWS = brute.odd_documents()
@@ -386,3 +387,79 @@ def test_fingerprints_one_row_and_none(spark, empty):
     x = fingerprints.edited(one).first()
     assert x.next_text == x.text and len(x.fingerprint) == 256
     assert fingerprints.edited(empty).count() == 0
+
+
+# -- names, layouts and limits ----------------------------------------------------
+
+def test_repeats_of_words_beside_bytes(spark, monkeypatch):
+    """51-word passages are reported beside the 400-byte ones; equal names of samples and words alone remove nothing."""
+    passage = " ".join(f"w{k}" for k in range(51))                 # 51 words, far below 400 bytes
+    long = " ".join(f"longword{k:04d}" for k in range(60))         # 60 words, above 400 bytes
+    rows = [(1, f"one {passage} two"), (2, f"three  {passage}\nfour"), (3, f"five {long} six"), (4, f"{long}"), (5, "only here " * 3),
+            (None, None), (None, ""), (6, f"copy {long}"), (6, f"copy {long}"), (7, " ".join(f"w{k}" for k in range(50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def words(texts, n):
+        data = [(t or "").encode().split() for t in texts]
+        count = Counter(tuple(w[i:i + n]) for w in data for i in range(len(w) - n + 1))
+        out = []
+        for w in data:
+            gone = [False] * len(w)
+            for i in range(len(w) - n + 1):
+                if count[tuple(w[i:i + n])] > 1:
+                    gone[i:i + n] = [True] * n
+            out.append((sum(gone), sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))))
+        return out
+
+    texts = [t for _, t in rows]
+    want = Counter((d, *b, *w) for (d, _), b, w in zip(rows, brute.repeats(texts, 400), words(texts, 51)))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeat_words", "n_repeat_runs"]
+    got = suffixes.repeats(df)
+    assert got.columns == names and Counter(map(tuple, got.collect())) == want
+    assert sum(w[0] == 51 for w in words(texts, 51)) == 2
+    assert hashlib.sha256(b"").hexdigest() in {x[4] for x in want}
+
+
+def test_equal_first_names_do_not_decide(monkeypatch):
+    """Two windows that share the first word of their names, but not the second, are different."""
+    x = np.frombuffer(b"abcdefghijklmnopqrst" * 3, np.uint8)
+    u = suffixes.Units(x, np.array([len(x)]), "bytes")
+    names, inverse, counts = u.distinct(np.arange(41), 20)
+    assert len(names) == 20 and counts.tolist().count(2) + counts.tolist().count(3) == 20 and inverse[0] == inverse[20] == inverse[40]
+    keys = np.array([[5, 1], [5, 2], [7, 1]], dtype=np.uint64)
+    rows = exchange.ask_repeated_pairs(0, keys, np.array([1, 1, 2]), 4)
+    table = pa.Table.from_batches([rows])
+    reply = pa.table({"part": table.column("part"), "totals": table.column("counts")})
+    assert exchange.collect_pairs(reply, keys, 4).tolist() == [False, False, True]
+
+
+def test_names_modulo_a_prime():
+    r = random.Random(2)
+    p = residues.PRIME
+    a, b = ([r.randrange(p) for _ in range(2000)] for _ in range(2))
+    A, B = np.array(a, np.uint64), np.array(b, np.uint64)
+    assert residues.mulmod(A, B).tolist() == [x * y % p for x, y in zip(a, b)]
+    assert residues.minus(A, B).tolist() == [(x - y) % p for x, y in zip(a, b)]
+    assert residues.powers(12345, 300).tolist() == [pow(12345, e, p) for e in range(300)] == residues.powmod(12345, np.arange(300)).tolist()
+    total, want = 77, []
+    for x in a:
+        total = (total + x) % p
+        want.append(total)
+    assert residues.running(A, 77).tolist() == want
+
+
+def test_hmm_scores_do_not_depend_on_files(spark):
+    """Equal scores for two layouts of the same rows, and a better likelihood of unseen texts than word counts give."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a, b = (hmm.hmm_scores(d).toPandas().sort_values("doc_id") for d in (docs, docs.repartition(7)))
+    assert np.allclose(a.score.values, b.score.values, rtol=0, atol=1e-9) and (a.base_score.values == b.base_score.values).all()
+    held = a[a.held_out]
+    assert held.score.sum() > held.base_score.sum()
+
+
+def test_unfinished_components_raise(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r.root for r in exchange.components(edges, "whole").collect()} == {0}
+    monkeypatch.setattr(exchange, "MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="still change"):
+        exchange.components(edges, "short")
