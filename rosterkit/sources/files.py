@@ -5,7 +5,8 @@ files, each with a few preamble lines before its own header.  Files are read
 as lines, so a large file is split over tasks; the preamble sits in a file's
 first block, where lines keep their order, and is dropped there.  Every file's
 header is read by itself and columns are matched by name.  A quoted field may
-hold separators and doubled quotes, but no line break.
+hold separators and doubled quotes; with ``multiline=True`` also line breaks
+(see ``records``).  Without it a line with an odd number of quotes raises an error.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import records
+from .types import apply_types, infer_types
+
 SOURCE_FILE = "source_file"
 NULL_TOKENS = ("", "NA")   # fields read as missing, after trimming
 QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
@@ -34,11 +38,11 @@ def period_paths(directory: str, closed_subdir: str = "complete_years") -> list[
     return [f"{directory}/{closed_subdir}/*.csv", f"{directory}/*.csv"]
 
 
-def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(value, file, in_first, at): ``at`` counts up by one from line to line of a file's block."""
-    return spark.read.text(list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_in_first"),
-        F.monotonically_increasing_id().alias("_at"))
+def _lines(spark: SparkSession, paths: Sequence[str], line_sep: str | None = None) -> DataFrame:
+    """(value, file, block, in_first, at): ``at`` counts up by one from line to line of a file's block."""
+    return spark.read.text(list(paths), lineSep=line_sep).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        (F.col("_metadata.file_block_start") == 0).alias("_in_first"), F.monotonically_increasing_id().alias("_at"))
 
 
 def _headers(lines: DataFrame, skip: int) -> DataFrame:
@@ -56,17 +60,22 @@ def _names(header: str, sep: str) -> list[str]:
 
 def read_many(spark: SparkSession, paths: Sequence[str], skip: int = 0, dedupe: bool = False,
               drop_rows_after_header: int = 0, sep: str = ",", keep_source: bool = True,
-              null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
-    """Rows of CSV files that start with ``skip`` preamble lines, matched by column name, all text.
+              null_tokens: Sequence[str] = NULL_TOKENS, multiline: bool = False, types: str = "text") -> DataFrame:
+    """Rows of CSV files that start with ``skip`` preamble lines, matched by column name.
 
     Columns come in the order of the first file (by path); a file whose set of
     names differs raises ``ValueError``.  Fields are trimmed, and those equal
     to one of ``null_tokens`` are null.  ``drop_rows_after_header`` drops that
     many lines right after each header (a description row, S7).  ``dedupe``
     removes whole-row duplicates across files (S3; the source file column is
-    excluded from the comparison).
+    excluded from the comparison).  ``multiline``: quoted fields may hold line
+    breaks (files with lines that end in LF or CRLF); preamble and header are
+    single lines.  ``types="infer"`` gives every column the least type that all
+    files' values have (``types.infer_types``: one more pass); else all are text.
     """
-    lines = _lines(spark, paths)
+    if types not in ("text", "infer"):
+        raise ValueError("types is 'text' or 'infer'")
+    lines = _lines(spark, paths, "\n" if multiline else None)
     heads = _headers(lines, skip).checkpoint(eager=True)
     kinds = [r["_header"] for r in heads.groupBy("_header").agg(F.min("_hf").alias("f")).orderBy("f").collect()]
     if not kinds:
@@ -75,9 +84,22 @@ def read_many(spark: SparkSession, paths: Sequence[str], skip: int = 0, dedupe:
     for h in kinds:
         if sorted(_names(h, sep)) != sorted(cols):
             raise ValueError(f"column names differ: {sorted(_names(h, sep))} and {sorted(cols)}")
+        if h.count('"') % 2:
+            raise ValueError(f"a header line with an odd number of quotes: {h}")
     n = heads.count()
-    x = lines.join(F.broadcast(heads) if n <= BROADCAST_FILES else heads, F.col("_file") == F.col("_hf"))
-    x = x.where(~(F.col("_in_first") & (F.col("_at") <= F.col("_first") + skip + drop_rows_after_header)) & (F.length("value") > 0))
+    x = lines.join(F.broadcast(heads) if n <= BROADCAST_FILES else heads, F.col("_file") == F.col("_hf"), "left")
+    # a file of preamble lines alone has no rows; lines beyond a first block that lacks the header are an error
+    x = x.where(F.when(F.col("_hf").isNull() & ~F.col("_in_first"), F.raise_error(F.concat(
+        F.lit("preamble and header do not fit the first split of "), F.col("_file"))).cast("boolean")).otherwise(F.col("_hf").isNotNull()))
+    x = x.where(~(F.col("_in_first") & (F.col("_at") <= F.col("_first") + skip + drop_rows_after_header)))
+    if multiline:
+        x = records.records(x.select("_file", "_block", "_at", "value"), heads.select(F.col("_hf").alias("_file"), "_header"),
+                            broadcast_rows=BROADCAST_FILES)
+        x = x.withColumn("value", F.regexp_replace("value", "\r\\z", ""))
+    else:
+        x = x.withColumn("value", F.when(records.quotes(F.col("value")) % 2 == 0, F.col("value")).otherwise(F.raise_error(F.concat(
+            F.lit("a quoted field holds a line break, read it with multiline=True: "), F.col("_file"), F.lit(": "), F.left("value", F.lit(200))))))
+    x = x.where(F.length("value") > 0)
     parts = []
     for h in kinds:  # files with one header are parsed together: usually one kind
         names = _names(h, sep)
@@ -90,6 +112,8 @@ def read_many(spark: SparkSession, paths: Sequence[str], skip: int = 0, dedupe:
     for p in parts[1:]:
         out = out.unionByName(p)
     out = out if keep_source else out.drop(SOURCE_FILE)
+    if types == "infer":
+        out = apply_types(out, infer_types(out, cols))
     if dedupe:
         out = out.dropDuplicates(cols) if keep_source else out.distinct()
     return out
@@ -115,7 +139,8 @@ def write_with_preamble(df: DataFrame, path: str, preamble: Sequence[str], file_
     header = sep.join('"' + c.replace('"', '""') + '"' if (sep in c or '"' in c) else c for c in cols)
     key = file_key if file_key is not None else F.lit("part")
     data = df.select(key.cast("string").alias("_file"), F.lit(len(preamble) + 1).alias("_seq"),
-                     F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]), {"sep": sep, "quote": '"', "escape": '"'}).alias("_line"))
+                     F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]),
+                              {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("_line"))
     heads = (data.select("_file").distinct()
              .select("_file", F.posexplode(F.array(*[F.lit(x) for x in [*preamble, header]])).alias("_seq", "_line")))
     lines = heads.unionByName(data.select("_file", "_seq", "_line"))
