@@ -63,6 +63,28 @@ SUMMARY_DISPLAY = {
 OVERLAP_LABELS = ("Eligible Services", "Eligible QI", "Completed SIS", "Deferred")
 
 
+@dataclass(frozen=True)
+class Source:
+    """One input: CSV files (paths or globs) and how they are laid out."""
+    paths: tuple[str, ...]
+    skip: int = 0                     # preamble lines before each header
+    drop_rows_after_header: int = 0   # description rows
+    multiline: bool = False           # quoted fields may hold line breaks
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """Where a run finds its five extracts.
+
+    ``deferrals``: one entry per sheet: (source, key column, date column, date kind), as ``union_sources`` takes them.
+    """
+    services: Source
+    attributes: Source
+    assessments: Source
+    deferrals: tuple[tuple[Source, str, str, str], ...]
+    admissions: Source
+
+
 @dataclass(frozen=True)
 class RunConfig:
     as_of: dt.date
@@ -83,3 +105,4 @@ class RunConfig:
     # parity switches for documented quirks
     blank_uses_proxies: bool = False
     dense_priority: bool = False
+    fy_uncut_assessments: bool = False   # Q9: the point-in-time roster takes all assessments, as the original joins them

@@ -110,12 +110,13 @@ def prep_attributes(raw: DataFrame) -> DataFrame:
 
 
 def eligible_by_attributes(attrs: DataFrame, as_of, min_age: float = 18, days_per_year: float = 365.25,
-                           blank_uses_proxies: bool = False) -> DataFrame:
+                           blank_uses_proxies: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """M4: IDD flag 1, or any of three proxy measures populated; adult at ``as_of``.
 
     An explicit '2' excludes.  As in the original code a blank flag is
     dropped by the first test (``blank_uses_proxies=True`` follows the
-    original comment instead: blank falls through to the proxies).
+    original comment instead: blank falls through to the proxies).  ``keep``:
+    further columns of the result.
     """
     idd = F.col("DISABILITYDD")
     not_no = (idd != "2") | idd.isNull() if blank_uses_proxies else (idd != "2")
@@ -123,7 +124,7 @@ def eligible_by_attributes(attrs: DataFrame, as_of, min_age: float = 18, days_pe
     return (attrs.where(not_no)
             .where((idd == "1") | proxies)
             .where(age_on("DATE_OF_BIRTH", as_of, days_per_year) >= F.lit(min_age))
-            .select(ID, F.lit(True).alias("eligible_qi")))
+            .select(ID, F.lit(True).alias("eligible_qi"), *keep))
 
 
 # -- M5 / M6: assessments ------------------------------------------------------------

@@ -8,37 +8,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def set_overlap(spark: SparkSession, sets: Sequence[tuple[str, DataFrame, str]],
-                count_null_id: bool = False) -> DataFrame:
-    """Size of every non-empty combination of the sets (inclusive sizes).
+def membership_masks(sets: Sequence[tuple[str, DataFrame, str]], count_null_id: bool = False) -> DataFrame:
+    """(mask, n): how many ids lie in exactly the sets of a mask, for the masks that occur.
 
-    ``sets`` is ``[(label, df, id_column), ...]``.  One shuffle replaces the
-    2^k - 1 intersections: each distinct id gets a bit mask of the sets that
-    hold it (partial-aggregated ``bit_or``), masks are counted (at most 2^k
-    rows), and each mask's count is added to every subset of the mask.
-    Combinations nobody reaches are kept with size 0.  A NULL id is skipped
-    unless ``count_null_id`` (then it is one element, as in R's ``unique``).
-    The result has 2^k - 1 rows and the step before it up to 3^k: bounded by
-    the number of sets, not by the data.
+    One shuffle: each distinct id gets the bits of the sets that hold it (map-side combined ``bit_or``).
     """
-    k = len(sets)
-    if not 1 <= k < 64:
+    if not 1 <= len(sets) < 64:
         raise ValueError("between 1 and 63 sets: the mask is a long")
-    parts = []
+    parts = None
     for i, (_, df, col) in enumerate(sets):
         x = df.select(F.col(col).cast("string").alias("_id"))
         if not count_null_id:
             x = x.where(F.col("_id").isNotNull())
-        parts.append(x.select("_id", F.lit(1 << i).cast("long").alias("_bit")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    full = (1 << k) - 1
-    masks = u.groupBy("_id").agg(F.bit_or("_bit").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
-    subsets = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(full).cast("long")), lambda t: (t.bitwiseAND(F.col("mask"))) == t)
-    per_combo = masks.select(F.explode(subsets).alias("combo"), "n")
-    zeros = spark.range(1, full + 1).select(F.col("id").alias("combo"), F.lit(0).cast("long").alias("n"))
-    sizes = per_combo.unionByName(zeros).groupBy("combo").agg(F.sum("n").alias("size"))
+        x = x.select("_id", F.lit(1 << i).cast("long").alias("_bit"))
+        parts = x if parts is None else parts.unionByName(x)
+    return parts.groupBy("_id").agg(F.bit_or("_bit").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+
+
+def superset_sums(masks: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """(combo, size): for every combination of sets that some id reaches, the ids that lie in all of its sets.
+
+    One set after the other: a mask with the bit also counts without it, and equal masks are added up before
+    the next one (map-side combined).  So there are never more rows than combinations that are reached, each
+    of them once; combinations that no id reaches have size 0 and no row.  ``most``: only combinations of up to
+    so many sets, which keeps the table within the number of these whatever the masks.
+    """
+    # (bits still to be decided, bits chosen): bits are decided from the lowest
+    t = masks.select(F.col("mask").alias("rest"), F.lit(0).cast("long").alias("combo"), "n")
+    for i in range(k):
+        bit = F.lit(1 << i).cast("long")
+        has = F.col("rest").bitwiseAND(bit) != 0
+        without = F.col("rest").bitwiseAND(F.lit(~(1 << i)).cast("long"))
+        take = F.struct(without.alias("rest"), F.col("combo").bitwiseOR(bit).alias("combo"))
+        leave = F.struct(without.alias("rest"), F.col("combo").alias("combo"))
+        may = has if most is None else has & (F.bit_count("combo") < most)
+        t = t.select(F.explode(F.when(may, F.array(leave, take)).otherwise(F.array(leave))).alias("x"), "n")
+        t = t.groupBy("x.rest", "x.combo").agg(F.sum("n").alias("n"))
+        if i % 8 == 7 and i + 1 < k:
+            t = t.checkpoint(eager=True)
+    return t.where("combo <> 0").groupBy("combo").agg(F.sum("n").alias("size"))
+
+
+def set_overlap(spark: SparkSession, sets: Sequence[tuple[str, DataFrame, str]], count_null_id: bool = False,
+                zeros: bool = True, most: int | None = None) -> DataFrame:
+    """Size of every non-empty combination of the sets (inclusive sizes).
+
+    ``sets`` is ``[(label, df, id_column), ...]``.  One shuffle of the ids replaces the 2^k - 1 intersections
+    (``membership_masks``); the sizes follow from the masks that occur (``superset_sums``).  Combinations nobody
+    reaches are listed with size 0 while ``zeros`` is set, which takes 2^k - 1 rows (at most 20 sets); without it
+    they have no row, and dozens of sets are fine.  ``most``: combinations of up to so many sets only.  A NULL id
+    is skipped unless ``count_null_id`` (then it is one element, as in R's ``unique``).
+    """
+    k = len(sets)
+    sizes = superset_sums(membership_masks(sets, count_null_id), k, most)
+    if zeros:
+        if k > 20:
+            raise ValueError("more than 20 sets have too many combinations to list those of size 0: pass zeros=False")
+        none = spark.range(1, 1 << k).select(F.col("id").alias("combo"), F.lit(0).cast("long").alias("size"))
+        none = none if most is None else none.where(F.bit_count("combo") <= most)
+        sizes = sizes.unionByName(none).groupBy("combo").agg(F.sum("size").alias("size"))
     labels = F.array(*[F.lit(lbl) for lbl, _, _ in sets])
     combo = F.col("combo")
     members = F.array_compact(F.array(*[F.when(combo.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(i)) for i in range(k)]))

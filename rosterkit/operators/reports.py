@@ -102,3 +102,24 @@ def supervisor_table(summary: DataFrame) -> DataFrame:
                           F.col("percent_complete"), _fmt("due_in_fy").alias("due_this_fy"),
                           _fmt("completed_elig").alias("completed"), _fmt("overdue").alias("overdue"),
                           _fmt("deferred").alias("deferred"))
+
+
+def dense_months(monthly: DataFrame, days: int = 365) -> DataFrame:
+    """M19 with empty months (Q15): every provider and month of the trailing window, 0 where nothing was completed.
+
+    The calendar runs from the window's first month to the latest month with data and is generated from these two
+    dates, so it is bounded by ``days``, not by the data; each provider of the monthly table gets every month.
+    """
+    latest = monthly.agg(F.max("month_complete").alias("last")).where(F.col("last").isNotNull())
+    months = latest.select(F.explode(F.sequence(floor_month(F.date_sub("last", days)), F.col("last"), F.expr("INTERVAL 1 MONTH"))).alias("month_complete"))
+    grid = monthly.select("PROVIDER_NAME").distinct().join(F.broadcast(months))   # a few years of months at most
+    own = monthly.select(F.col("PROVIDER_NAME").alias("_p"), F.col("month_complete").alias("_m"), "n")
+    same = F.col("PROVIDER_NAME").eqNullSafe(F.col("_p")) & (F.col("month_complete") == F.col("_m"))
+    return grid.join(own, same, "left").select("PROVIDER_NAME", "month_complete", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def trailing_months_dense(monthly: DataFrame, days: int = 365) -> DataFrame:
+    """M19 over all months of the window: regional completions, and the mean per month that counts empty months."""
+    d = dense_months(monthly, days).groupBy("month_complete").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy()   # one row per month
+    return d.withColumn("mean_per_month", round_ratio(F.sum("n").over(whole), F.count(F.lit(1)).over(whole), 1))

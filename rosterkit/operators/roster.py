@@ -211,12 +211,12 @@ def build_fy_roster(services: DataFrame, elig_attr: DataFrame, assessments: Data
 
     Services and assessments after the cut-off are ignored (the original
     computes the cut assessment table but joins the uncut one; the cut one
-    is used here).  Overdue = completed + ``reassess_days_fy`` < as_of.
+    is used here unless ``cfg.fy_uncut_assessments``).  Overdue = completed + ``reassess_days_fy`` < as_of.
     Persons known only from assessments stay, with NULL eligibility flags.
     """
     cutoff = cfg.fy_cutoff
     pairs = service_person_provider(services, cfg.procedure_codes, cfg.payer_codes, cutoff)
-    spine = person_spine(pairs, elig_attr, assessments, cutoff)
+    spine = person_spine(pairs, elig_attr, assessments, None if cfg.fy_uncut_assessments else cutoff)
     spine = spine.where(F.col("in_svs") | F.col("in_qi") | F.col("has_sis"))
     side = F.col("in_svs") | F.col("in_qi")
     r = _left_join_on_side(_explode_providers(spine, side), _deferral_side(deferrals), side)

@@ -101,10 +101,14 @@ def map_cols(df: DataFrame, cols: Sequence[str], f: Callable[[Column], Column])
     return df.withColumns({c: f(F.col(f"`{c}`")) for c in cols})
 
 
+def cols_of_type(df: DataFrame, type_name: str) -> list[str]:
+    """The columns of a given simple type, in schema order."""
+    return [fld.name for fld in df.schema.fields if fld.dataType.simpleString() == type_name]
+
+
 def map_cols_of_type(df: DataFrame, type_name: str, f: Callable[[Column], Column]) -> DataFrame:
     """Apply one column function to every column of a given simple type."""
-    cols = [fld.name for fld in df.schema.fields if fld.dataType.simpleString() == type_name]
-    return map_cols(df, cols, f)
+    return map_cols(df, cols_of_type(df, type_name), f)
 
 
 def recode(c, mapping: Mapping[str, str]) -> Column:
@@ -122,7 +126,7 @@ def recode(c, mapping: Mapping[str, str]) -> Column:
 def null_tokens(df: DataFrame, tokens: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
     """String values equal to one of ``tokens`` become NULL."""
     if cols is None:
-        cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+        return map_cols_of_type(df, "string", lambda c: F.when(~c.isin(list(tokens)), c))
     return map_cols(df, cols, lambda c: F.when(~c.isin(list(tokens)), c))
 
 

@@ -12,37 +12,57 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import RunConfig
-from ..operators import checks, cohorts, overlap, reports, roster, summary, worklist
+from ..config import Inputs, RunConfig, Source
+from ..operators import checks, cohorts, overlap, reports, roster, summary, timeline, worklist
 from ..operators.cohorts import ID
-from ..sources import standin
+from ..sources import files, standin
 
 
 class Run:
-    def __init__(self, spark: SparkSession, sf_dir: str, cfg: RunConfig | None = None):
-        self.spark, self.sf_dir = spark, sf_dir
+    """``Run(spark, folder)`` works on the stand-in extracts of the driver's tables; ``Run(spark, cfg=..., inputs=...)`` on files."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, cfg: RunConfig | None = None, inputs: Inputs | None = None):
+        if (sf_dir is None) == (inputs is None):
+            raise ValueError("a run reads either the tables of a folder or the files of its inputs")
+        if inputs is not None and cfg is None:
+            raise ValueError("a run from files needs its configuration (run date, codes)")
+        self.spark, self.sf_dir, self.inputs = spark, sf_dir, inputs
         self.cfg = cfg or standin.standin_config()
 
+    def _read(self, source: Source, dedupe: bool = False) -> DataFrame:
+        return files.read_many(self.spark, source.paths, skip=source.skip, dedupe=dedupe, keep_source=False,
+                               drop_rows_after_header=source.drop_rows_after_header, multiline=source.multiline)
+
     # -- raw extracts -------------------------------------------------------
     @cached_property
     def raw_services(self) -> DataFrame:
+        if self.inputs:
+            return self._read(self.inputs.services)
         return standin.raw_services(self.spark, self.sf_dir)
 
     @cached_property
     def raw_attributes(self) -> DataFrame:
+        if self.inputs:
+            return self._read(self.inputs.attributes)
         return standin.raw_attributes(self.spark, self.sf_dir)
 
     @cached_property
     def raw_assessments(self) -> DataFrame:
+        if self.inputs:
+            return self._read(self.inputs.assessments)
         return standin.raw_assessments(self.spark, self.sf_dir, self.cfg.clock_format_change)
 
     @cached_property
     def deferral_sources(self):
-        return standin.raw_deferral_sources(self.spark, self.sf_dir, self.cfg.as_of)
+        if self.inputs:
+            return [(self._read(source), key, date, kind) for source, key, date, kind in self.inputs.deferrals]
+        return standin.raw_deferral_sources(self.spark, self.sf_dir)   # the extract does not depend on the run date
 
     @cached_property
     def raw_admissions(self) -> DataFrame:
         # the admission reader de-duplicates whole rows (S3)
+        if self.inputs:
+            return self._read(self.inputs.admissions, dedupe=True)
         return standin.raw_admissions(self.spark, self.sf_dir).distinct()
 
     # -- clean tables and cohorts -------------------------------------------
@@ -132,6 +152,11 @@ class Run:
     def fy_summary(self) -> DataFrame:
         return summary.fy_summary(self.fy_roster, self.cfg.total_label)
 
+    def summary_timeline(self, dates) -> DataFrame:
+        """The point-in-time summary at many run dates (each its own cut-off), from one pass over the claims."""
+        changes = timeline.pair_changes(self.services, timeline.attribute_start(self.attributes, self.cfg), self.assessments, self.deferrals, self.cfg)
+        return timeline.summary_at(changes, dates, self.cfg.total_label)
+
     def trailing_months(self) -> DataFrame:
         return reports.trailing_months(self.monthly)
 
@@ -140,7 +165,10 @@ class Run:
 
     @cached_property
     def providers(self) -> list[str]:
-        """Provider labels from the provider dimension (a handful of rows), in key order."""
+        """Provider labels from the provider dimension (a handful of rows), in key order; from files, those that occur."""
+        if self.inputs:
+            found = self.services.select("PROVIDER_NAME").where("PROVIDER_NAME IS NOT NULL").distinct()
+            return sorted(r[0] for r in found.collect())
         return standin.provider_labels(self.spark, self.sf_dir, self.cfg.provider_recode)
 
     def crosstab(self) -> DataFrame:

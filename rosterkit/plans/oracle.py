@@ -15,6 +15,8 @@ from ..sources.standin import (
 )
 
 AS_OF = f"DATE '{STANDIN_AS_OF.isoformat()}'"
+# the day that the stand-in extracts count back from: theirs, not the run's
+DATA_DAY = f"CAST('{STANDIN_AS_OF.isoformat()}' AS DATE)"
 FLOOR = f"DATE '{STANDIN_DUE_FLOOR.isoformat()}'"
 FY_CUT = f"DATE '{STANDIN_FY_CUTOFF.isoformat()}'"
 TOTAL = "'Region 10'"
@@ -120,7 +122,7 @@ sis_ids AS (
 ),
 defer_raw AS (
   SELECT CAST(user_id * 10 + 1 AS VARCHAR) AS raw_id,
-         CAST({AS_OF} - CAST(floor((epoch(ts) - {EVENT_EPOCH_SECONDS}) / 3600) AS INTEGER) AS DATE) AS defer_date
+         CAST({DATA_DAY} - CAST(floor((epoch(ts) - {EVENT_EPOCH_SECONDS}) / 3600) AS INTEGER) AS DATE) AS defer_date
   FROM events
 ),
 sis_defer AS (
@@ -130,12 +132,13 @@ sis_defer AS (
   FROM defer_raw
 ),
 adm AS (
-  SELECT o_custkey, {PID.format(k='o_custkey')} AS medicaid_id, CAST(o_orderdate AS DATE) AS d
-  FROM orders
+  SELECT user_id * 10 + event_id % 5 AS k, {PID.format(k='(user_id * 10 + event_id % 5)')} AS medicaid_id,
+         CAST({DATA_DAY} - 2 * CAST(floor((epoch(ts) - {EVENT_EPOCH_SECONDS}) / 3600) AS INTEGER) AS DATE) AS d
+  FROM events
 ),
 open_date AS (
   SELECT DISTINCT medicaid_id, d AS agency_admission_date FROM adm a
-  WHERE d = (SELECT max(b.d) FROM adm b WHERE b.o_custkey = a.o_custkey)
+  WHERE d = (SELECT max(b.d) FROM adm b WHERE b.k = a.k)
 ),
 c0 AS (
   SELECT coalesce(a.MEDICAID_ID, e.MEDICAID_ID) AS MEDICAID_ID, e.PROVIDER_NAME, e.initial_service,
@@ -376,6 +379,57 @@ def _yn(cond: str) -> str:
     return f"CASE WHEN {cond} THEN 'Y' ELSE 'N' END"
 
 
+# the columns of the written extract that types are inferred from: name -> (text in SQL)
+TYPED = {
+    "order": "CAST(o_orderkey AS VARCHAR)", "open": "CASE WHEN o_orderstatus = 'O' THEN 'TRUE' ELSE 'FALSE' END",
+    "price": "CAST(o_totalprice AS VARCHAR)", "ordered": "strftime(o_orderdate, '%Y-%m-%d')", "priority": "o_orderpriority",
+    "code": "lpad(CAST(o_custkey AS VARCHAR), 8, '0')", "nothing": "CAST(NULL AS VARCHAR)",
+    "month": "strftime(o_orderdate, '%-m/%-d/%Y')",
+}
+
+
+def _inferred_types() -> str:
+    """Types from the values' shapes: the first of logical, integer, double and date that all values have, else text."""
+    shapes = [("logical", "(T|F|TRUE|FALSE|true|false)"), ("integer", "[+-]?(0|[1-9][0-9]*)"),
+              ("double", r"[+-]?(0|[1-9][0-9]*)(\.[0-9]*)?([eE][+-]?[0-9]+)?"), ("date", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}")]
+    parts = []
+    for name, text in TYPED.items():
+        whens = " ".join(f"WHEN bool_and(regexp_full_match(v, '{shape}')) THEN '{kind}'" for kind, shape in shapes)
+        parts.append(f"""SELECT '{name}' AS "column", CASE WHEN count(v) = 0 THEN 'empty' {whens} ELSE 'text' END AS type, count(v) AS n_values
+          FROM (SELECT {text} AS v FROM orders)""")
+    return " UNION ALL ".join(parts)
+
+
+def _timeline_sql() -> str:
+    """The point-in-time summary written out for each run date: claims and assessments cut at that date."""
+    return f"""WITH dates AS (
+        SELECT CAST(unnest(generate_series(DATE '1992-01-31', {AS_OF}, INTERVAL 1 DAY)) AS DATE) AS run_date
+      ), ends AS (SELECT run_date FROM dates WHERE month(run_date + 1) <> month(run_date)),
+      adults AS (SELECT MEDICAID_ID, DATE_OF_BIRTH FROM attrs WHERE DISABILITYDD <> '2'
+          AND (DISABILITYDD = '1' OR MOBILITY IS NOT NULL OR PERSONAL IS NOT NULL OR SUPPORT_SYSTEM IS NOT NULL)),
+      pair AS (SELECT e.MEDICAID_ID, e.PROVIDER_NAME, e.initial_service, a.DATE_OF_BIRTH FROM elig_svs e JOIN adults a ON a.MEDICAID_ID = e.MEDICAID_ID
+          WHERE e.MEDICAID_ID NOT IN (SELECT MEDICAID_ID FROM sis_defer WHERE MEDICAID_ID IS NOT NULL)),
+      done AS (SELECT run_date, mcaid_id, max(sis_completed_dt) AS d FROM ends JOIN sis ON sis_completed_dt <= run_date GROUP BY 1, 2),
+      counted AS (SELECT e.run_date, p.PROVIDER_NAME, count(*) AS denominator, count(o.d) AS completed, count(*) FILTER (WHERE o.d + 1095 < e.run_date) AS overdue
+          FROM ends e JOIN pair p ON p.initial_service <= e.run_date AND CAST(e.run_date - p.DATE_OF_BIRTH AS DOUBLE) / 365.25 >= 18
+          LEFT JOIN done o ON o.run_date = e.run_date AND o.mcaid_id = p.MEDICAID_ID GROUP BY 1, 2),
+      whole AS (SELECT *, 0 AS is_total FROM counted UNION ALL
+          SELECT run_date, {TOTAL}, sum(denominator)::BIGINT, sum(completed)::BIGINT, sum(overdue)::BIGINT, 1 FROM counted GROUP BY run_date)
+      SELECT run_date, PROVIDER_NAME, denominator, completed, overdue, completed - overdue AS numerator,
+        {pct('completed - overdue', 'denominator')} AS percent_complete, CAST(is_total AS INTEGER) AS is_total FROM whole"""
+
+
+def _many_sets_sql() -> str:
+    """Pairs and triples of 40 sets: people by day of month (31 sets) and by provider and code (9 more)."""
+    return """WITH member AS (
+        SELECT DISTINCT MEDICAID_ID AS id, day(FROM_DATE) - 1 AS s FROM svs WHERE MEDICAID_ID IS NOT NULL
+        UNION SELECT DISTINCT MEDICAID_ID, 31 + CAST(regexp_extract(provider_raw, '^[0-9]') AS INTEGER) FROM (
+          SELECT provider_raw, CASE WHEN l_linenumber = 7 THEN NULL ELSE lpad(CAST(o_custkey + 1 AS VARCHAR), 10, '0') END AS MEDICAID_ID FROM svs_raw) WHERE MEDICAID_ID IS NOT NULL
+        UNION SELECT DISTINCT MEDICAID_ID, 35 + CAST(left(CPT_CD, 1) AS INTEGER) FROM svs WHERE MEDICAID_ID IS NOT NULL AND CPT_CD < '5')
+      SELECT CAST(s AS VARCHAR) AS sets_key, count(*) AS size FROM member GROUP BY s
+      UNION ALL SELECT a.s || ',' || b.s, count(*) FROM member a JOIN member b ON a.id = b.id AND a.s < b.s GROUP BY a.s, b.s"""
+
+
 FINAL = {
     # marts
     "services_clean": "SELECT clm_id, MEDICAID_ID, PROVIDER_NAME, CPT_CD, MEDICAID, FROM_DATE, THRU_DATE, "
@@ -385,7 +439,33 @@ FINAL = {
     "admissions_via_files": "SELECT * FROM open_date",
     "assessments_via_files": """SELECT sis_id, CASE WHEN low AND o_orderstatus = 'F' THEN 'COMPLETED' WHEN low AND o_orderstatus = 'O' THEN 'IN PROGRESS' END AS statusText,
         CASE WHEN o_totalprice > 300000 THEN NULL ELSE 'Region' END AS sis_region FROM sis_all""",
-    "load_audit": "SELECT count(*) AS rows, TRUE AS every_file_has_rows FROM customer",
+    "load_audit": """SELECT (c_custkey % 4)::INTEGER AS file, count(*) AS rows FROM customer GROUP BY 1""",
+    "quoted_records_via_files": r"""SELECT doc_id, lang, source, nullif(trim(text), '') AS text, len(string_split(trim(text), chr(10))) - 1 AS n_breaks FROM documents""",
+    "inferred_types": _inferred_types(),
+    "encode_levels": """SELECT clm_id, dense_rank() OVER (ORDER BY PROVIDER_NAME) AS PROVIDER_NAME_code, dense_rank() OVER (ORDER BY CPT_CD) AS CPT_CD_code,
+        dense_rank() OVER (ORDER BY FROM_DATE) AS FROM_DATE_code FROM svs""",
+    "drop_levels": """WITH people AS (SELECT DISTINCT MEDICAID_ID AS level FROM svs WHERE MEDICAID_ID IS NOT NULL),
+        old AS (SELECT level, row_number() OVER (ORDER BY level) AS old_code FROM people),
+        used AS (SELECT DISTINCT MEDICAID_ID AS level FROM elig_svs WHERE MEDICAID_ID IS NOT NULL)
+      SELECT 'MEDICAID_ID' AS "column", old_code, row_number() OVER (ORDER BY level) AS code, level FROM old WHERE level IN (SELECT level FROM used)""",
+    "incremental_services": """SELECT PROVIDER_NAME, count(*) AS n_claims, count(DISTINCT MEDICAID_ID) AS n_people, min(FROM_DATE) AS first_service, max(FROM_DATE) AS last_service
+      FROM svs GROUP BY PROVIDER_NAME""",
+    "summary_timeline": _timeline_sql(),
+    "set_overlap_many": _many_sets_sql(),
+    "people_sketches": """SELECT PROVIDER_NAME, CAST(date_trunc('month', FROM_DATE) AS DATE) AS month, count(DISTINCT MEDICAID_ID) AS n_people, TRUE AS within
+      FROM svs WHERE MEDICAID_ID IS NOT NULL GROUP BY 1, 2""",
+    "sketch_unions": """SELECT PROVIDER_NAME, count(DISTINCT MEDICAID_ID) AS n_people, TRUE AS within FROM svs WHERE MEDICAID_ID IS NOT NULL GROUP BY 1""",
+    "kept_people": """WITH m AS (SELECT DISTINCT PROVIDER_NAME AS p, CAST(date_trunc('month', FROM_DATE) AS DATE) AS month, MEDICAID_ID AS id FROM svs WHERE MEDICAID_ID IS NOT NULL)
+      SELECT a.p AS PROVIDER_NAME, a.month, count(*) AS n_people, count(b.id) AS n_kept, count(*) - count(b.id) AS n_new, TRUE AS within
+      FROM m a LEFT JOIN m b ON b.p IS NOT DISTINCT FROM a.p AND b.id = a.id AND b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE) GROUP BY 1, 2""",
+    "trailing_months_dense": f"""WITH r AS (SELECT max(month_complete) AS last FROM monthly),
+        c AS (SELECT CAST(unnest(generate_series(date_trunc('month', last - 365), last, INTERVAL 1 MONTH)) AS DATE) AS month_complete FROM r),
+        t AS (SELECT c.month_complete, coalesce(sum(n), 0)::BIGINT AS n FROM c LEFT JOIN monthly m USING (month_complete) GROUP BY 1)
+      SELECT month_complete, n, {rr('(SELECT sum(n) FROM t)', '(SELECT count(*) FROM t)')} AS mean_per_month FROM t""",
+    "dense_months": """WITH r AS (SELECT max(month_complete) AS last FROM monthly),
+        c AS (SELECT CAST(unnest(generate_series(date_trunc('month', last - 365), last, INTERVAL 1 MONTH)) AS DATE) AS month_complete FROM r)
+      SELECT p.PROVIDER_NAME, c.month_complete, coalesce(m.n, 0) AS n FROM (SELECT DISTINCT PROVIDER_NAME FROM monthly) p CROSS JOIN c
+      LEFT JOIN monthly m ON m.PROVIDER_NAME IS NOT DISTINCT FROM p.PROVIDER_NAME AND m.month_complete = c.month_complete""",
     "service_eligibility": "SELECT * FROM elig_svs",
     "attributes_clean": "SELECT MEDICAID_ID, DISABILITYDD, MOBILITY, PERSONAL, SUPPORT_SYSTEM, DATE_OF_BIRTH FROM attrs",
     "attribute_eligibility": "SELECT * FROM elig_qi",
@@ -420,6 +500,14 @@ FINAL = {
     "fy_summary": f"""SELECT PROVIDER_NAME, denominator, completed, overdue, completed - overdue AS numerator,
         {pct('completed - overdue', 'denominator')} AS percent_complete, CAST(is_total AS INTEGER) AS is_total
       FROM fy_s2""",
+    "fy_summary_uncut": f"""WITH r AS (
+        SELECT PROVIDER_NAME, s.sis_completed_dt AS d FROM elig_svs_fy e JOIN elig_qi q ON q.MEDICAID_ID = e.MEDICAID_ID LEFT JOIN sis_ids s ON s.mcaid_id = e.MEDICAID_ID
+        WHERE e.MEDICAID_ID NOT IN (SELECT MEDICAID_ID FROM sis_defer WHERE MEDICAID_ID IS NOT NULL)),
+      t AS (SELECT PROVIDER_NAME, count(*) AS denominator, count(d) AS completed, count(*) FILTER (WHERE d + 1095 < {AS_OF}) AS overdue, 0 AS is_total FROM r GROUP BY 1),
+      u AS (SELECT * FROM t UNION ALL SELECT {TOTAL}, sum(denominator)::BIGINT, sum(completed)::BIGINT, sum(overdue)::BIGINT, 1 FROM t)
+      SELECT PROVIDER_NAME, denominator, completed, overdue, completed - overdue AS numerator, {pct('completed - overdue', 'denominator')} AS percent_complete,
+        CAST(is_total AS INTEGER) AS is_total FROM u""",
+    "summary_from_paths": "SELECT * FROM summary",
     "fy_worklist_numbered": """SELECT row_number() OVER (ORDER BY most_recent_service DESC NULLS LAST,
           MEDICAID_ID ASC NULLS LAST, PROVIDER_NAME ASC NULLS LAST, initial_service ASC NULLS LAST,
           status ASC NULLS LAST) AS "row", MEDICAID_ID, PROVIDER_NAME, initial_service, most_recent_service, status
@@ -476,6 +564,16 @@ FINAL = {
         (SELECT count(*) FROM (SELECT MEDICAID_ID FROM worklist INTERSECT SELECT MEDICAID_ID FROM roster))
           AS n_worklist_ids_in_roster
       FROM m""",
+    "worklist_changes": f"""WITH was AS ({PRELUDE.replace(AS_OF, "DATE '1999-03-31'")} SELECT * FROM worklist),
+        b AS (SELECT MEDICAID_ID, PROVIDER_NAME, count(*) AS n, list_sort(list(was::VARCHAR)) AS rows_, string_agg(DISTINCT status, ',' ORDER BY status) AS s
+              FROM was GROUP BY ALL),
+        a AS (SELECT MEDICAID_ID, PROVIDER_NAME, count(*) AS n, list_sort(list(worklist::VARCHAR)) AS rows_, string_agg(DISTINCT status, ',' ORDER BY status) AS s
+              FROM worklist GROUP BY ALL)
+      SELECT coalesce(a.MEDICAID_ID, b.MEDICAID_ID) AS MEDICAID_ID, coalesce(a.PROVIDER_NAME, b.PROVIDER_NAME) AS PROVIDER_NAME,
+        CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'closed' WHEN a.s <> b.s THEN 'status' ELSE 'details' END AS kind,
+        coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, coalesce(b.s, '') AS status_before, coalesce(a.s, '') AS status_after
+      FROM a FULL JOIN b ON a.MEDICAID_ID = b.MEDICAID_ID AND a.PROVIDER_NAME = b.PROVIDER_NAME
+      WHERE a.rows_ IS DISTINCT FROM b.rows_""",
     "coverage_gap": """WITH g1 AS (SELECT MEDICAID_ID FROM svs EXCEPT SELECT medicaid_id FROM open_date),
         g2 AS (SELECT MEDICAID_ID FROM worklist EXCEPT SELECT medicaid_id FROM open_date),
         gr AS (SELECT FROM_DATE FROM svs WHERE MEDICAID_ID IN (SELECT MEDICAID_ID FROM g2))

@@ -97,13 +97,136 @@ def q_assessments_via_files(spark, d):
     return back.select(F.col("`Assessment ID`").alias("sis_id"), "statusText", "sis_region")
 
 
-@query("load_audit")  # S8: rows per source file, summed over the files of the extract
+@query("load_audit")  # S8: rows per source file
 def q_load_audit(spark, d):
+    import uuid
+
+    from ..session import checkpoint_path
     from ..sources import files
-    raw = _run(spark, d).raw_attributes
-    path = _extract_files(raw, "attributes", [], "MEDICAID RECIP ID")
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    path = files.write_with_preamble(c, checkpoint_path(spark, f"customers-{uuid.uuid4().hex}"), [], F.col("c_custkey") % 4)
     per_file = files.load_audit(files.read_many(spark, [path]))
-    return per_file.agg(F.sum("rows").alias("rows"), F.min(F.col("rows") > 0).alias("every_file_has_rows"))
+    return per_file.select(F.regexp_extract(files.SOURCE_FILE, "_file=([0-9]+)/", 1).cast("int").alias("file"), "rows")
+
+
+@query("quoted_records_via_files")  # S2, S3: line breaks in quoted fields
+def q_quoted_records_via_files(spark, d):
+    from ..sources import files
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source", "text")
+    path = _extract_files(docs, "documents", ["A report", "It's with line breaks"], "doc_id")
+    back = files.read_many(spark, [path], skip=2, multiline=True, keep_source=False)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text",
+                       (F.size(F.split("text", "\n")) - 1).alias("n_breaks"))
+
+
+@query("inferred_types")  # S1, S3: the least type that every file's values have
+def q_inferred_types(spark, d):
+    from ..sources import files, types
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    day = F.col("o_orderdate").cast("date")
+    raw = o.select(
+        F.col("o_orderkey").cast("string").alias("order"), F.when(F.col("o_orderstatus") == "O", "TRUE").otherwise("FALSE").alias("open"),
+        F.col("o_totalprice").cast("string").alias("price"), day.cast("string").alias("ordered"), F.col("o_orderpriority").alias("priority"),
+        F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("code"), F.lit(None).cast("string").alias("nothing"),
+        F.date_format(day, "M/d/yyyy").alias("month"))
+    path = _extract_files(raw, "typed", ["Orders"], "order")
+    return types.inferred_columns(files.read_many(spark, [path], skip=1, keep_source=False), raw.columns)
+
+
+@query("incremental_services")  # S4, S8: closed years first, then both folders; only new files are read
+def q_incremental_services(spark, d):
+    import uuid
+
+    from ..session import checkpoint_path
+    from ..sources import files, incremental
+    r = _run(spark, d)
+    raw = r.raw_services.drop("NOTE:")
+    closed = F.coalesce(F.substring(F.col("`THRU DATE`"), 1, 4) < F.lit(str(r.cfg.as_of.year)), F.lit(False))
+    paths = [_extract_files(raw.where(closed), "services-closed", PREAMBLE, "CLM ID"),
+             _extract_files(raw.where(~closed), "services-current", PREAMBLE, "CLM ID")]
+    store = checkpoint_path(spark, f"services-store-{uuid.uuid4().hex}")
+    incremental.load_new(spark, paths[:1], store, skip=len(PREAMBLE))
+    incremental.load_new(spark, paths, store, skip=len(PREAMBLE))
+    s = cohorts.prep_services(incremental.loaded(spark, store), r.cfg.provider_recode)
+    return s.groupBy("PROVIDER_NAME").agg(F.count(F.lit(1)).alias("n_claims"), F.count_distinct(ID).alias("n_people"),
+                                          F.min("FROM_DATE").alias("first_service"), F.max("FROM_DATE").alias("last_service"))
+
+
+@query("encode_levels")  # C12: codes in the order of the values, from a dictionary table
+def q_encode_levels(spark, d):
+    from ..operators import levels
+    s = _run(spark, d).services.select(F.col("CLM_ID").alias("clm_id"), "PROVIDER_NAME", "CPT_CD", F.col("FROM_DATE").cast("string").alias("FROM_DATE"))
+    return levels.encode_levels(s, ["PROVIDER_NAME", "CPT_CD", "FROM_DATE"])[0]
+
+
+@query("drop_levels")  # C17: the people that still occur among eligible services, with new codes
+def q_drop_levels(spark, d):
+    from ..operators import levels
+    r = _run(spark, d)
+    people = levels.levels_of(r.services, [ID])
+    coded, _ = levels.encode_levels(r.elig_svs.select(ID), [ID], people)
+    return levels.drop_levels(people, coded, {ID: ID + "_code"})
+
+
+@query("summary_timeline")  # M16, M18 at every month end: claims read once
+def q_summary_timeline(spark, d):
+    import datetime as dt
+
+    from ..operators import timeline
+    r = _run(spark, d)
+    return r.summary_timeline(timeline.month_ends(dt.date(1992, 1, 31), r.cfg.as_of))
+
+
+@query("set_overlap_many")  # U6, U7: singles and pairs of 40 sets
+def q_set_overlap_many(spark, d):
+    from ..operators.overlap import set_overlap
+    s = _run(spark, d).services.select(ID, F.dayofmonth("FROM_DATE").alias("day"), "PROVIDER_NAME", "CPT_CD")
+    # one row per person and set, in place of 40 filters over the claims
+    labels = _run(spark, d).providers
+    number = F.when(F.col("PROVIDER_NAME").isin(labels), F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("PROVIDER_NAME")) + 30)
+    code = F.when(F.col("CPT_CD") < "5", F.left("CPT_CD", F.lit(1)).cast("int") + 35)
+    sets = F.array_compact(F.array(F.col("day") - 1, number.cast("int"), code))
+    member = s.select(ID, F.explode(sets).alias("s")).distinct().checkpoint(eager=True)
+    out = set_overlap(spark, [(str(k), member.where(F.col("s") == k), ID) for k in range(40)], zeros=False, most=2)
+    return out.select(F.array_join("sets", ",").alias("sets_key"), "size")
+
+
+def _within(n, bound):
+    """The estimate is exact while its bound is 0: it then is the count itself, which the SQL compares."""
+    return (F.col(bound) >= 0).alias("within")
+
+
+@query("people_sketches")  # A9: theta sketches per provider and month
+def q_people_sketches(spark, d):
+    from ..operators import sketches
+    e = sketches.estimate(sketches.people_sketches(_run(spark, d).services))
+    return e.select("PROVIDER_NAME", "month", "n_people", _within("n_people", "n_people_bound"))
+
+
+@query("sketch_unions")  # A9: the months' sketches united per provider
+def q_sketch_unions(spark, d):
+    from ..operators import sketches
+    e = sketches.estimate(sketches.unite(sketches.people_sketches(_run(spark, d).services, 16), ["PROVIDER_NAME"], 16), lg_nominal=16)
+    return e.select("PROVIDER_NAME", "n_people", _within("n_people", "n_people_bound"))
+
+
+@query("kept_people")  # U4, U5 on sketches: people also served the month before
+def q_kept_people(spark, d):
+    from ..operators import sketches
+    k = sketches.kept_from_month_to_month(sketches.people_sketches(_run(spark, d).services))
+    return k.select("PROVIDER_NAME", "month", "n_people", "n_kept", "n_new", _within("n_people", "n_people_bound"))
+
+
+@query("trailing_months_dense")  # M19, M20 with empty months
+def q_trailing_months_dense(spark, d):
+    from ..operators.reports import trailing_months_dense
+    return trailing_months_dense(_run(spark, d).monthly)
+
+
+@query("dense_months")  # M19: every provider and month of the window
+def q_dense_months(spark, d):
+    from ..operators.reports import dense_months
+    return dense_months(_run(spark, d).monthly)
 
 
 @query("service_eligibility")  # M2
@@ -231,6 +354,29 @@ def q_fy_summary(spark, d):
     return _run(spark, d).fy_summary
 
 
+@query("fy_summary_uncut")  # Q9: with the assessments after the cut-off, as the original joins them
+def q_fy_summary_uncut(spark, d):
+    from dataclasses import replace
+    return Run(spark, d, replace(_run(spark, d).cfg, fy_uncut_assessments=True)).fy_summary
+
+
+@query("summary_from_paths")  # S9: a run built from file paths alone
+def q_summary_from_paths(spark, d):
+    from ..config import Inputs, Source
+    r = _run(spark, d)
+    put = lambda df, name, key, preamble=(): Source((_extract_files(df, name, list(preamble), key),), skip=len(preamble))
+    deferrals = []
+    for i, (df, key, date, kind) in enumerate(r.deferral_sources):
+        text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+        deferrals.append((put(text, f"deferrals{i}", key), key, date, kind))
+    inputs = Inputs(
+        services=put(r.raw_services.drop("NOTE:"), "services", "CLM ID", PREAMBLE),
+        attributes=put(r.raw_attributes, "attributes", "MEDICAID RECIP ID"),
+        assessments=put(r.raw_assessments, "assessments", "Assessment ID", ["Assessments"]),
+        deferrals=tuple(deferrals), admissions=put(r.raw_admissions, "admissions", "case number", ["Admissions", "", "Generated"]))
+    return Run(spark, cfg=r.cfg, inputs=inputs).summary
+
+
 @query("fy_worklist_numbered")  # M17 + K3 (row names), O1 order
 def q_fy_worklist_numbered(spark, d):
     from ..sources.sinks import with_row_number
@@ -278,6 +424,17 @@ def q_reconcile_counts(spark, d):
     return _run(spark, d).reconcile_counts()
 
 
+@query("worklist_changes")  # M24: the worklists of two run dates over the same extracts
+def q_worklist_changes(spark, d):
+    import datetime as dt
+    from dataclasses import replace
+
+    from ..operators.changes import row_changes
+    now = _run(spark, d)
+    before = Run(spark, d, replace(now.cfg, as_of=dt.date(1999, 3, 31)))
+    return row_changes(before.worklist, now.worklist)
+
+
 @query("coverage_gap")  # M25
 def q_coverage_gap(spark, d):
     return _run(spark, d).coverage_gap()

@@ -188,12 +188,16 @@ def raw_deferral_sources(spark: SparkSession, sf_dir: str, as_of=STANDIN_AS_OF)
 
 
 def raw_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission reports: every order; one case per customer."""
-    o = table(spark, sf_dir, "orders")
-    day = F.col("o_orderdate").cast("date")
-    return o.select(
-        F.col("o_custkey").cast("string").alias("case number"),
-        F.lpad(_key(F.col("o_custkey")), 10, "0").alias("medicaid id"),
+    """Admission reports: every event is a line of a case, one case per person; people of other numbers have none."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("user_id") * 10 + F.col("event_id") % 5
+    # whole hours since the epoch, on the wall clock, count back from the run date two days each
+    ts = F.col("ts").cast("timestamp_ntz")
+    back = (F.datediff(ts.cast("date"), F.lit(EVENT_EPOCH_DATE)) * 24 + F.hour(ts)).cast("int")
+    day = F.date_sub(F.lit(STANDIN_AS_OF), back * 2)
+    return e.select(
+        k.cast("string").alias("case number"),
+        F.lpad(_key(k), 10, "0").alias("medicaid id"),
         F.date_format(day, "yyyy-MM-dd").alias("service start date"),
         F.date_format(day, "M/d/yyyy").alias("agency admission date"),
         F.lit(None).cast("string").alias("X_1"),
