@@ -96,50 +96,59 @@ def repeated(asked: DataFrame, width: int = 8) -> DataFrame:
     return asked.groupBy("part").applyInArrow(add, REPLY)
 
 
+PAIR = np.dtype([("first", "<u8"), ("second", "<u4")])   # a key of 12 bytes, as it is sent
+
+
+def _packed_pairs(keys: np.ndarray) -> np.ndarray:
+    out = np.empty(len(keys), PAIR)
+    out["first"], out["second"] = keys[:, 0], keys[:, 1]
+    return out
+
+
 def pair_order(keys: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of distinct 128-bit keys (two words each) by part of the key space and key, and their parts."""
+    """The order of distinct keys (64 and 32 bits) by part of the key space and key, and their parts."""
     part = parts_of(keys[:, 0], n_parts)
     return np.lexsort((keys[:, 1], keys[:, 0], part)), part
 
 
 def ask_repeated_pairs(block: int, keys: np.ndarray, counts: np.ndarray, n_parts: int) -> pa.RecordBatch:
-    """Request rows for distinct 128-bit keys: the keys, and whether the block holds each twice."""
+    """Request rows for distinct keys of 64 and 32 bits: the keys, and whether the block holds each twice (a bit)."""
     order, part = pair_order(keys, n_parts)
-    keys, twice, part = keys[order].astype(U64), (counts[order] > 1).astype(np.uint8), part[order]
+    packed, twice, part = _packed_pairs(keys[order]), counts[order] > 1, part[order]
     own, first = np.unique(part, return_index=True)
     cuts = [*first.tolist(), len(keys)]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(own), block, dtype=np.int64)), pa.array(own),
-         pa.array([keys[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
-         pa.array([twice[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())],
+         pa.array([packed[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
+         pa.array([np.packbits(twice[i:j]).tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())],
         names=["block", "part", "keys", "counts"])
 
 
 def repeated_pairs(asked: DataFrame) -> DataFrame:
-    """Replies: one byte per 128-bit key, 1 if it occurs twice or more over all requests."""
+    """Replies: one bit per key of ``ask_repeated_pairs``, 1 if it occurs twice or more over all requests."""
 
     def add(t: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(x, U64).reshape(-1, 2) for x in t.column("keys").to_pylist()]
+        raw = [np.frombuffer(x, PAIR) for x in t.column("keys").to_pylist()]
         keys = np.concatenate(raw)
-        more = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8) > 0
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        same = (keys[order[1:]] == keys[order[:-1]]).all(axis=1)
-        flag = more.astype(np.uint8)
+        flag = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=len(k)) for c, k in zip(t.column("counts").to_pylist(), raw)])
+        order = np.lexsort((keys["second"], keys["first"]))
+        same = keys[order[1:]] == keys[order[:-1]]
         flag[order[1:][same]] = 1
         flag[order[:-1][same]] = 1
         ends = np.cumsum([len(x) for x in raw])
         return pa.table({"block": t.column("block"), "part": t.column("part"),
-                         "totals": pa.array([flag[e - len(x):e].tobytes() for e, x in zip(ends, raw)], pa.binary())})
+                         "totals": pa.array([np.packbits(flag[e - len(x):e]).tobytes() for e, x in zip(ends, raw)], pa.binary())})
 
     return asked.groupBy("part").applyInArrow(add, REPLY)
 
 
 def collect_pairs(t: pa.Table, keys: np.ndarray, n_parts: int) -> np.ndarray:
-    """The flags of a block's distinct 128-bit ``keys`` (any order) from its reply rows."""
-    order, _ = pair_order(keys, n_parts)
+    """The flags of a block's distinct ``keys`` (two words each, any order) from its reply rows."""
+    order, part = pair_order(keys, n_parts)
+    sizes = np.unique(part, return_counts=True)[1].tolist()
     rows = sorted(zip(t.column("part").to_pylist(), t.column("totals").to_pylist()))
     out = np.zeros(len(keys), bool)
-    out[order] = np.frombuffer(b"".join(x for _, x in rows), np.uint8) > 0
+    out[order] = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for (_, x), n in zip(rows, sizes)]) > 0
     return out
 
 

@@ -23,13 +23,13 @@ place of bytes; read "byte" as "word" below where positions are meant.
 Exact copies of a text of ``length`` bytes or more are removed whole (white space
 at the ends included), and only one of them sends its suffixes into the buckets.
 
-Scale: samples (about 9 % of positions, 5 bytes each) and unsettled suffixes (16
+Scale: samples (about 9 % of positions, 5 bytes each) and unsettled suffixes (12
 bytes each) are exchanged as packed arrays; a bucket holds the keys of one part
 of the key space, evenly dealt whatever the texts.  Texts are shuffled once as
-compressed blocks.  A name that decides is two sums modulo the prime 2**61 - 1 with
-two bases: two different strings of n bytes share it with a probability of at most
-(n / 2**61) ** 2, below 1 in 10**31 for 400 bytes.  Names of samples are sums modulo
-2**64, cut to 5 bytes; they only choose what is sent to the buckets.
+compressed blocks.  A name that decides has 93 bits: a sum modulo the prime 2**61 - 1,
+which two different strings of n bytes share with a probability of at most n / 2**61, and
+32 bits of a sum modulo 2**64.  Names of samples are sums modulo 2**64, cut to 5 bytes;
+they only choose what is sent to the buckets.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all their
 bytes; an empty table gives an empty result.  There is one result row per input
@@ -56,9 +56,9 @@ BLOCK_BYTES = 3_000_000
 SAMPLE_WIDTH = 5   # bytes of a sample's name that are sent; a false tie only sends a suffix to the buckets
 PLAIN, COPY, OPEN, COPY_OPEN = 0, 1, 2, 3
 BLOCK = "block long, doc_id array<long>, size array<int>, hash array<binary>, data binary, others binary"
-PENDING = "block long, doc_id array<long>, size array<int>, state array<byte>, sha array<string>, units array<int>, starts binary, data binary, others binary"
+PENDING = ("block long, doc_id array<long>, size array<int>, held array<boolean>, state array<array<byte>>, units array<array<int>>, "
+           "sha array<string>, starts array<binary>, data binary, others binary")
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-PLACED = "block long, place long, n_units long, " + RESULT   # the row's place in its block, and the units removed
 
 
 def difference_cover(r: int = 2) -> tuple[int, np.ndarray]:
@@ -102,27 +102,28 @@ class Windows:
         return k ^ (k >> np.uint64(32))
 
 
-_BASES = (0x17A3C9E45D2B8F61, 0x0B6E1D93F58A2C47)
-_TABLES: list[list[np.ndarray]] = [[], []]
+_PRIME_BASE = 0x17A3C9E45D2B8F61
+_TABLE_P: list[np.ndarray] = []
 
 
 class Names:
-    """Names (two residues) of windows of an array of bytes, or of names (64 bit) of words."""
+    """Names that decide: for windows of an array of bytes, or of names (64 bit) of words, two words each.
 
-    def __init__(self, x: np.ndarray):
+    The first is the residue of their sum modulo 2**61 - 1, the second the high half of their fingerprint.
+    """
+
+    def __init__(self, x: np.ndarray, windows: Windows):
         n = len(x) + 1
+        if not _TABLE_P or len(_TABLE_P[0]) < n:
+            _TABLE_P[:] = [residues.powers(b, n) for b in (_PRIME_BASE % residues.PRIME, pow(_PRIME_BASE, -1, residues.PRIME))]
+        up, self.down = _TABLE_P
         x = x.astype(np.uint64) + np.uint64(1) if x.dtype == np.uint8 else x % np.uint64(residues.PRIME)
-        self.sums, self.inverse = [], []
-        for k, base in enumerate(_BASES):
-            if not _TABLES[k] or len(_TABLES[k][0]) < n:
-                _TABLES[k] = [residues.powers(b, n) for b in (base % residues.PRIME, pow(base, -1, residues.PRIME))]
-            up, down = _TABLES[k]
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), residues.running(residues.mulmod(x, up[:len(x)]), 0)]))
-            self.inverse.append(down)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), residues.running(residues.mulmod(x, up[:len(x)]), 0)])
+        self.windows = windows
 
     def at(self, start: np.ndarray, length: int) -> np.ndarray:
-        return np.stack([residues.mulmod(residues.minus(h[start + length], h[start]), down[start])
-                         for h, down in zip(self.sums, self.inverse)], axis=1)
+        first = residues.mulmod(residues.minus(self.sums[start + length], self.sums[start]), self.down[start])
+        return np.stack([first, self.windows.at(start, length) >> np.uint64(32)], axis=1)
 
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -154,7 +155,8 @@ class Units:
 
     def distinct(self, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct names of windows, each window's place among them, and how often each occurs."""
-        names = Names(self._x).at(start, length)
+        self._windows = self._windows or Windows(self._x)
+        names = Names(self._x, self._windows).at(start, length)
         order = np.lexsort((names[:, 1], names[:, 0]))
         new = np.append(True, (names[order[1:]] != names[order[:-1]]).any(axis=1))
         inverse = np.empty(len(start), np.int64)
@@ -214,21 +216,35 @@ def _samples(units: Units, length: int, v: int, cover: np.ndarray) -> np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _ask_samples(packed: DataFrame, n_parts: int, length: int, unit: str) -> DataFrame:
-    v, cover = cover_of(length)
+def _shifted(b: pa.RecordBatch, by: int) -> pa.RecordBatch:
+    """Request rows with their part moved: every search has its own parts."""
+    i = b.schema.get_field_index("part")
+    return b.set_column(i, "part", pa.array(b.column(i).to_numpy() + by))
+
 
+def _ask_samples(packed: DataFrame, n_parts: int, searches: list[tuple[int, str]]) -> DataFrame:
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                units = Units(_open(r["data"]), np.array(r["size"], dtype=np.int64), unit)
-                at = _samples(units, length, v, cover)
-                if len(at):
-                    keys, counts = np.unique(units.at(at, length - v + 1), return_counts=True)
-                    yield exchange.ask_repeated(r["block"], keys, counts, n_parts, SAMPLE_WIDTH)
+                x, size = _open(r["data"]), np.array(r["size"], dtype=np.int64)
+                for k, (length, unit) in enumerate(searches):
+                    v, cover = cover_of(length)
+                    units = Units(x, size, unit)
+                    at = _samples(units, length, v, cover)
+                    if len(at):
+                        keys, counts = np.unique(units.at(at, length - v + 1), return_counts=True)
+                        yield _shifted(exchange.ask_repeated(r["block"], keys, counts, n_parts, SAMPLE_WIDTH), k * n_parts)
 
     return packed.mapInArrow(run, exchange.REQUEST)
 
 
+def _replies_of(t: pa.Table, k: int, n_parts: int) -> pa.Table:
+    """The reply rows of the k-th search, with their parts from 0 on."""
+    part = t.column("part").to_numpy()
+    own = t.filter(pa.array((part >= k * n_parts) & (part < (k + 1) * n_parts)))
+    return own.set_column(own.schema.get_field_index("part"), "part", pa.array(own.column("part").to_numpy() - k * n_parts))
+
+
 def _copies(packed: DataFrame) -> DataFrame:
     """Reply rows (part -1) that name a block's exact copies: ``place,place,...:first`` per text, joined by ``;``.
 
@@ -262,55 +278,61 @@ def _copy_places(totals: list[bytes]) -> dict[int, bool]:
     return out
 
 
-def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, length: int, with_text: bool, unit: str) -> DataFrame:
-    """Blocks with every text's state; open texts keep their bytes and the suffixes still to be sorted."""
-    v, cover = cover_of(length)
+def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, searches: list[tuple[int, str]], with_text: bool) -> DataFrame:
+    """Blocks with every text's state in each search; texts open in any keep their bytes, and the suffixes still to be sorted."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = {k: [] for k in ("block", "doc_id", "size", "state", "sha", "units", "starts", "data", "others")}
-        part = np.array(right.column("part").to_pylist(), dtype=np.int64)
-        copy = _copy_places([x for x, p in zip(right.column("totals").to_pylist(), part) if p == -1])
-        right = right.filter(pa.array(part >= 0))
+        rows = {k: [] for k in ("block", "doc_id", "size", "held", "state", "units", "sha", "starts", "data", "others")}
+        is_copy = np.array(right.column("part").to_pylist(), dtype=np.int64) == -1
+        copy = _copy_places(right.filter(pa.array(is_copy)).column("totals").to_pylist())
+        right = right.filter(pa.array(~is_copy))
+        z = zstandard.ZstdCompressor(level=1).compress
         for r in left.to_pylist():
             size = np.array(r["size"], dtype=np.int64)
             x, begin = _open(r["data"]), np.cumsum(size) - size
-            units = Units(x, size, unit)
-            at = _samples(units, length, v, cover)
-            twice = np.zeros(len(units) + v + 1, np.int32)
-            if len(at):
-                keys, inverse = np.unique(units.at(at, length - v + 1), return_inverse=True)
-                twice[at] = exchange.collect_replies(right, keys, n_parts, "u1")[inverse]
-            count = np.concatenate([[0], np.cumsum(twice)])
-            state, sha, starts, data, kept_units = [], [], [], [], 0
-            for k, (b, m, s, n) in enumerate(zip(begin.tolist(), size.tolist(), units.begin.tolist(), units.n.tolist())):
-                own = x[b:b + m]
-                if k in copy and n >= length:
-                    here = np.arange(n - length + 1) if copy[k] else np.zeros(0, np.int64)
-                    state.append(COPY_OPEN if copy[k] else COPY)
-                else:
+            states, unit_counts, found = [], [], []
+            for k, (length, unit) in enumerate(searches):
+                v, cover = cover_of(length)
+                units = Units(x, size, unit)
+                at = _samples(units, length, v, cover)
+                twice = np.zeros(len(units) + v + 1, np.int32)
+                if len(at):
+                    keys, inverse = np.unique(units.at(at, length - v + 1), return_inverse=True)
+                    twice[at] = exchange.collect_replies(_replies_of(right, k, n_parts), keys, n_parts, "u1")[inverse]
+                count = np.concatenate([[0], np.cumsum(twice)])
+                state, starts = [], []
+                for place, (s, n) in enumerate(zip(units.begin.tolist(), units.n.tolist())):
+                    # only suffixes with a repeated sample among their first v positions can tie with another
                     i = np.arange(s, s + max(0, n - length + 1))
                     here = np.flatnonzero(count[i + v] > count[i]) if len(i) else i
-                    state.append(OPEN if len(here) else PLAIN)
-                if state[-1] == COPY_OPEN:  # only suffixes that tie with some sample can tie with another text
-                    i = s + here
-                    here = here[count[i + v] > count[i]]
-                sha.append(hashlib.sha256(own).hexdigest() if state[-1] == PLAIN and not with_text else None)
-                if with_text or state[-1] in (OPEN, COPY_OPEN):
-                    data.append(own.tobytes())
-                starts.append(here + kept_units if len(here) else np.zeros(0, np.int64))
-                kept_units += n if with_text or state[-1] in (OPEN, COPY_OPEN) else 0
-            z = zstandard.ZstdCompressor(level=1).compress
+                    if place in copy and n >= length:
+                        state.append(COPY_OPEN if copy[place] else COPY)
+                        here = here if copy[place] else here[:0]
+                    else:
+                        state.append(OPEN if len(here) else PLAIN)
+                    starts.append(here)
+                states.append(state)
+                unit_counts.append(units.n.tolist())
+                found.append(starts)
+            held = [with_text or any(st[place] in (OPEN, COPY_OPEN) for st in states) for place in range(len(size))]
+            packed_starts = []
+            for n_units, starts in zip(unit_counts, found):
+                first = np.cumsum([0, *[n if h else 0 for n, h in zip(n_units, held)]])
+                packed_starts.append(z(_runs(np.concatenate([np.zeros(0, np.int64), *[here + f for here, f, h in zip(starts, first, held) if h]])).astype("<i8").tobytes()))
+            own = [x[b:b + m] for b, m in zip(begin.tolist(), size.tolist())]
             rows["block"].append(r["block"])
             rows["doc_id"].append(r["doc_id"])
             rows["size"].append(r["size"])
-            rows["state"].append(state)
-            rows["sha"].append(sha)
-            rows["units"].append(units.n.tolist())
-            rows["starts"].append(z(_runs(np.concatenate(starts)).astype("<i8").tobytes()))
-            rows["data"].append(z(b"".join(data)))
+            rows["held"].append(held)
+            rows["state"].append(states)
+            rows["units"].append(unit_counts)
+            rows["sha"].append([hashlib.sha256(t).hexdigest() if st == PLAIN and not with_text else None for t, st in zip(own, states[0])])
+            rows["starts"].append(packed_starts)
+            rows["data"].append(z(b"".join(t.tobytes() for t, h in zip(own, held) if h)))
             rows["others"].append(r["others"])
-        kinds = dict(block=pa.int64(), doc_id=pa.list_(pa.int64()), size=pa.list_(pa.int32()), state=pa.list_(pa.int8()),
-                     sha=pa.list_(pa.string()), units=pa.list_(pa.int32()), starts=pa.binary(), data=pa.binary(), others=pa.binary())
+        kinds = dict(block=pa.int64(), doc_id=pa.list_(pa.int64()), size=pa.list_(pa.int32()), held=pa.list_(pa.bool_()),
+                     state=pa.list_(pa.list_(pa.int8())), units=pa.list_(pa.list_(pa.int32())), sha=pa.list_(pa.string()),
+                     starts=pa.list_(pa.binary()), data=pa.binary(), others=pa.binary())
         return pa.table({k: pa.array(x, kinds[k]) for k, x in rows.items()})
 
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, PENDING)
@@ -329,83 +351,98 @@ def _starts(data: bytes) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *[np.arange(a, b) for a, b in runs.tolist()]])
 
 
-def _held(r: dict, with_text: bool) -> np.ndarray:
+def _held(r: dict) -> np.ndarray:
     """Sizes of the texts whose bytes a pending block has."""
-    return np.array([n for n, s in zip(r["size"], r["state"]) if with_text or s in (OPEN, COPY_OPEN)], dtype=np.int64)
+    return np.array([n for n, h in zip(r["size"], r["held"]) if h], dtype=np.int64)
 
 
-def _ask_suffixes(pending: DataFrame, n_parts: int, length: int, with_text: bool, unit: str) -> DataFrame:
+def _ask_suffixes(pending: DataFrame, n_parts: int, searches: list[tuple[int, str]]) -> DataFrame:
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                at = _starts(r["starts"])
-                if len(at):
-                    units = Units(_open(r["data"]), _held(r, with_text), unit)
-                    keys, _, counts = units.distinct(at, length)
-                    yield exchange.ask_repeated_pairs(r["block"], keys, counts, n_parts)
+                x = _open(r["data"])
+                for k, (length, unit) in enumerate(searches):
+                    at = _starts(r["starts"][k])
+                    if len(at):
+                        keys, _, counts = Units(x, _held(r), unit).distinct(at, length)
+                        yield _shifted(exchange.ask_repeated_pairs(r["block"], keys, counts, n_parts), k * n_parts)
 
-    return pending.select("block", "size", "state", "starts", "data").mapInArrow(run, exchange.REQUEST)
+    return pending.select("block", "size", "held", "starts", "data").mapInArrow(run, exchange.REQUEST)
 
 
-def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, length: int, with_text: bool, unit: str,
+def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, searches: list[tuple[int, str]], with_text: bool,
             others: T.StructType) -> DataFrame:
+    """RESULT of the first search, ``n_units<k>`` and ``n_spans<k>`` of the k-th (units and runs removed), and ``others``."""
+
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        more = []
-        out = {k: [] for k in ("block", "place", "n_units", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        more, out = [], {k: [] for k in names}
         for r in left.to_pylist():
-            if names:
+            if others.names:
                 more.append(_rows(r["others"]))
-            x, at = _open(r["data"]), _starts(r["starts"])
-            units = Units(x, _held(r, with_text), unit)
-            edge = np.zeros(len(x) + 1, np.int32)
-            if len(at):
-                keys, inverse, _ = units.distinct(at, length)
-                hit = at[exchange.collect_pairs(right, keys, n_parts)[inverse]]
-                first, end = units.bytes_of(hit, length)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, end, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            lost = gone if units.first is None else gone[units.first]   # by unit
-            lost = np.concatenate([[0], np.cumsum(lost)])
-            s, held_texts = 0, 0
-            for place, (i, n, state, sha, n_units) in enumerate(zip(r["doc_id"], r["size"], r["state"], r["sha"], r["units"])):
-                held = with_text or state in (OPEN, COPY_OPEN)
-                own, cover = (x[s:s + n], gone[s:s + n]) if held else (x[:0], gone[:0])
-                s += n if held else 0
-                units_gone = 0
-                if held:
-                    u, m = int(units.begin[held_texts]), int(units.n[held_texts])
-                    units_gone, held_texts = int(lost[u + m] - lost[u]), held_texts + 1
-                if state in (COPY, COPY_OPEN):
-                    kept, removed, spans, units_gone = b"", n, 1, n_units
-                elif state == PLAIN:
-                    kept, removed, spans = own.tobytes(), 0, 0
-                else:
-                    kept, removed = own[~cover].tobytes(), int(cover.sum())
-                    spans = int(cover[:1].sum() + (cover[1:] & ~cover[:-1]).sum())
-                for k, v in zip(out, (r["block"], place, units_gone, i, n, removed, spans, sha or hashlib.sha256(kept).hexdigest(),
-                                      kept if with_text else None)):
-                    out[k].append(v)
-        kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
-        result = pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
-        if names:
+            x, size = _open(r["data"]), _held(r)
+            begin = np.cumsum(size) - size
+            found = []   # per search: bytes that go, units that go (running), and each held text's first unit
+            for k, (length, unit) in enumerate(searches):
+                units, at = Units(x, size, unit), _starts(r["starts"][k])
+                edge = np.zeros(len(x) + 1, np.int32)
+                if len(at):
+                    keys, inverse, _ = units.distinct(at, length)
+                    hit = at[exchange.collect_pairs(_replies_of(right, k, n_parts), keys, n_parts)[inverse]]
+                    first, end = units.bytes_of(hit, length)
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, end, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                found.append((gone, np.concatenate([[0], np.cumsum(gone if units.first is None else gone[units.first])]), units))
+            at_held = -1
+            for place, (i, n, sha, h) in enumerate(zip(r["doc_id"], r["size"], r["sha"], r["held"])):
+                at_held += h
+                b = int(begin[at_held]) if h else 0
+                row = {"doc_id": i, "n_bytes": n}
+                for k, (gone, lost, units) in enumerate(found):
+                    state, cover = r["state"][k][place], gone[b:b + n] if h else gone[:0]
+                    if state in (COPY, COPY_OPEN):
+                        removed, spans, n_units = n, 1, r["units"][k][place]
+                    elif h:
+                        u, m = int(units.begin[at_held]), int(units.n[at_held])
+                        removed, spans = int(cover.sum()), int(cover[:1].sum() + (cover[1:] & ~cover[:-1]).sum())
+                        n_units = int(lost[u + m] - lost[u])
+                    else:
+                        removed = spans = n_units = 0
+                    row |= {f"n_units{k}": n_units, f"n_spans{k}": spans}
+                    if not k:
+                        own = x[b:b + n] if h else x[:0]
+                        kept = b"" if state in (COPY, COPY_OPEN) else own[~cover].tobytes()
+                        plain = state == PLAIN and sha is not None
+                        row |= {"n_removed": removed, "n_spans": spans, "kept_sha256": sha if plain else hashlib.sha256(kept).hexdigest(),
+                                "kept": kept if with_text else None}
+                for c in names:
+                    out[c].append(row[c])
+        result = pa.table({c: pa.array(out[c], pa.string() if c == "kept_sha256" else pa.binary() if c == "kept" else pa.int64()) for c in names})
+        if others.names:
             more = pa.concat_tables(more)
-            for k in names:
-                result = result.append_column(k, more.column(k))
+            for c in others.names:
+                result = result.append_column(c, more.column(c))
         return result
 
-    names = others.names
-    schema = T.StructType([*T.StructType.fromDDL(PLACED).fields, *others.fields])
-    return pending.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, schema)
+    per_search = ", ".join(f"n_units{k} long, n_spans{k} long" for k in range(len(searches)))
+    own = T.StructType.fromDDL(RESULT + ", " + per_search)
+    names = own.names
+    return pending.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, T.StructType([*own.fields, *others.fields]))
 
 
-def _placed(packed: DataFrame, length: int, with_text: bool, unit: str, others: T.StructType) -> DataFrame:
-    """The rows of PLACED and ``others``, of packed blocks."""
-    n_parts = 4 * int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    replies = exchange.repeated(_ask_samples(packed, n_parts, length, unit), SAMPLE_WIDTH).unionByName(_copies(packed))
-    pending = cut(_settle(packed, replies, n_parts, length, with_text, unit), "pending")
-    ties = exchange.repeated_pairs(_ask_suffixes(pending, n_parts, length, with_text, unit))
-    return _remove(pending, ties, n_parts, length, with_text, unit, others)
+def _search(docs: DataFrame, searches: list[tuple[int, str]], with_text: bool, others: list[str]) -> DataFrame:
+    """All searches over the same blocks: one shuffle of the texts, one exchange of samples, one of suffixes."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = 4 * n
+    taken = ["doc_id", "text", *T.StructType.fromDDL(RESULT).names, *[f"n_{c}{k}" for c in ("units", "spans") for k in range(len(searches))]]
+    carried = keep_clear(docs.select(*[F.col(f"`{c}`") for c in others]), taken)
+    docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(others, carried.columns)])
+    # all uses below read whole rows of the exchange, so that Spark reuses it
+    packed = pack(docs, carried.columns).repartition(n, "block")
+    replies = exchange.repeated(_ask_samples(packed, n_parts, searches), SAMPLE_WIDTH).unionByName(_copies(packed))
+    pending = cut(_settle(packed, replies, n_parts, searches, with_text), "pending")
+    ties = exchange.repeated_pairs(_ask_suffixes(pending, n_parts, searches))
+    return _remove(pending, ties, n_parts, searches, with_text, carried.schema)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True, unit: str = "bytes",
@@ -415,23 +452,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True, unit: s
     ``length`` counts ``unit``s: bytes or words.  ``with_text=False`` leaves ``kept`` null and carries the bytes of open texts only.
     ``others``: input columns that come out with their row.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one shuffle of the texts; all uses below read whole rows of it, so that Spark reuses the exchange
-    carried = keep_clear(docs.select(*[F.col(f"`{c}`") for c in others or []]), ["doc_id", "text", *T.StructType.fromDDL(BLOCK + ", " + PLACED).names])
-    docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(others or [], carried.columns)])
-    packed = pack(docs, carried.columns).repartition(n, "block")
-    return _placed(packed, length, with_text, unit, carried.schema).drop("block", "place", "n_units")
+    return _search(docs, [(length, unit)], with_text, others or []).drop("n_units0", "n_spans0")
 
 
 def repeats(docs: DataFrame, n_bytes: int = LENGTH, n_words: int = 51) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``dedup`` with ``n_bytes`` bytes, and beside them how many words
     stand in runs of ``n_words`` words that also start elsewhere (n_repeat_words), and in how many maximal runs (n_repeat_runs).
-
-    Both searches read the same blocks and are joined on a row's place there, so ids may be null or repeated.
     """
-    packed = cut(pack(docs.select("doc_id", "text"), []), "blocks")
-    by_bytes = _placed(packed, n_bytes, False, "bytes", T.StructType([])).drop("kept", "n_units")
-    by_words = _placed(packed, n_words, False, "words", T.StructType([])).select(
-        F.col("block").alias("_b"), F.col("place").alias("_p"), F.col("n_units").alias("n_repeat_words"), F.col("n_spans").alias("n_repeat_runs"))
-    out = by_bytes.join(by_words, (F.col("block") == F.col("_b")) & (F.col("place") == F.col("_p")))
-    return out.drop("block", "place", "_b", "_p")
+    d = _search(docs.select("doc_id", "text"), [(n_bytes, "bytes"), (n_words, "words")], False, [])
+    return d.drop("kept", "n_units0", "n_spans0").withColumnsRenamed({"n_units1": "n_repeat_words", "n_spans1": "n_repeat_runs"})
