@@ -7,8 +7,9 @@ empty messages may be inserted anywhere.  Dynamic programming over the states of
 this automaton (the role of the last message) finds the cheapest repair, which
 is then rendered.
 
-Scale: a conversation is cut into segments of SEGMENT turn numbers.  A segment
-is summarised by its (min, +) matrix: the least cost from each state before it
+Scale: rows are numbered over range partitions (``ordered``), so a conversation
+of any number of rows is cut into segments of SEGMENT rows, whatever their turn
+numbers and ids.  A segment is summarised by its (min, +) matrix: the least cost from each state before it
 to each state after it.  Matrices are combined over super segments and over the
 conversation, which fixes the states at every segment's edges; then each segment
 is repaired by itself.  So a conversation with a third of all rows is many
@@ -30,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 MERGE, INSERT, RELABEL = 1.0, 2.0, 3.0
-SEGMENT = 256          # turn numbers in a segment
+SEGMENT = 256          # rows in a segment
 SUPER = 1024           # segments in a super segment
 ROLES = ("", "system", "user", "assistant")   # states; 0 is the start
 LEGAL = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
@@ -149,15 +152,17 @@ def repair(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"))
     d = d.withColumn("_c", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")))
-    d = d.withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(1 << 40)))
-    d = d.withColumn("_super", F.floor(F.col("segment") / SUPER))
+    d = numbered(d.withColumn("_last", F.col("turn").isNull()), ["_c", "_last", "turn", "role", "text"], "_row", "turns").drop("_last")
+    first_row = d.groupBy("_c").agg(F.min("_row").alias("_first"))
+    d = d.join(first_row, "_c").withColumn("_pos", F.col("_row") - F.col("_first")).drop("_row", "_first")
+    d = d.withColumn("segment", F.floor(F.col("_pos") / SEGMENT)).withColumn("_super", F.floor(F.col("_pos") / (SEGMENT * SUPER)))
 
     def summarise(key, rows):
         m = combine(COST[role_state(r["role"])] for r in rows)
         return [{"_c": key[0], "_super": key[1], "segment": key[2], "m": m.ravel().tolist()}]
 
-    order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc()]
-    first = _stream(d.select("_c", "_super", "segment", "turn", "role", "text"), ["_c", "_super", "segment"], order, summarise,
+    order = ["_pos"]
+    first = _stream(d.select("_c", "_super", "segment", "_pos", "role"), ["_c", "_super", "segment"], order, summarise,
                     "_c string, _super long, segment long, m array<double>")
     second = _stream(first, ["_c", "_super"], ["segment"],
                      lambda k, rows: [{"_c": k[0], "_super": k[1], "m": combine(_matrix(rows)).ravel().tolist()}],
