@@ -195,8 +195,12 @@ def shards(mixed: DataFrame, seed: int = SEED) -> DataFrame:
                     F.xxhash64(F.lit(seed), "_u.shard", "_u.pass", "doc_id").alias("position"))
 
 
+def in_shards(mixed: DataFrame, seed: int = SEED) -> DataFrame:
+    """``shards`` ranged by (shard, position) and sorted: a shard's rows are together, shuffled inside."""
+    return shards(mixed, seed).repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
+
+
 def write_shards(mixed: DataFrame, path: str, seed: int = SEED) -> str:
-    """Write the mix: rows ranged by (shard, position), so shards are contiguous and shuffled inside."""
-    s = shards(mixed, seed).repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
-    s.write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write the mix, one folder per shard, in the order of ``in_shards``."""
+    in_shards(mixed, seed).write.mode("overwrite").partitionBy("shard").parquet(path)
     return path

@@ -16,7 +16,7 @@ from .oracle import ORACLE  # noqa: F401
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", "size", "source_size", "target", "taken")
+    return m.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda x: x["shard"]).alias("shards"))
 
 
 def op2_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
