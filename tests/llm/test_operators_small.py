@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
 
@@ -421,7 +422,7 @@ def test_repeats_of_words_beside_bytes(spark, monkeypatch):
 
 
 def test_equal_first_names_do_not_decide(monkeypatch):
-    """Two windows that share the first word of their names, but not the second, are different."""
+    """Two windows that share the first part of their names, but not the second, are different."""
     x = np.frombuffer(b"abcdefghijklmnopqrst" * 3, np.uint8)
     u = suffixes.Units(x, np.array([len(x)]), "bytes")
     names, inverse, counts = u.distinct(np.arange(41), 20)
@@ -463,3 +464,42 @@ def test_unfinished_components_raise(spark, monkeypatch):
     monkeypatch.setattr(exchange, "MOST_ROUNDS", 2)
     with pytest.raises(RuntimeError, match="still change"):
         exchange.components(edges, "short")
+
+
+def test_shards_hold_equal_numbers_of_draws(spark, tmp_path, monkeypatch):
+    """The splitting tree's leaves: every block draw lies in one shard, and shards differ by one draw at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    m = mixing.mix(docs, block_words=300, shard_words=4000).cache()
+    rows = mixing.shards(m)
+    n_shards = rows.agg(F.count_distinct("shard")).first()[0]
+    per = {}
+    for x in rows.select("shard", "pass", "doc_id", "words").collect():
+        assert (x["pass"], x.doc_id) not in per      # a document is drawn once a pass, by one shard
+        per[x["pass"], x.doc_id] = x.shard
+    quota = [37, 5, 111]
+    table = mixing.shard_quotas(spark, quota, 8, seed=3).collect()
+    sizes = Counter()
+    for x in table:
+        sizes[x.shard] += x.n
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and sum(sizes.values()) == sum(quota) and len(sizes) == 8
+    for si, n in enumerate(quota):                   # disjoint ranges of every source's draws that cover them
+        ranges = sorted((x["first"], x.n) for x in table if x.si == si)
+        assert [a for a, _ in ranges] == list(itertools.accumulate((k for _, k in ranges[:-1]), initial=0)) and sum(k for _, k in ranges) == n
+    path = mixing.write_shards(m, f"{tmp_path}/shards")
+    back = spark.read.parquet(path)
+    assert n_shards > 1 and back.count() == rows.count() and back.agg(F.count_distinct("shard")).first()[0] == n_shards
+
+
+def test_role_repair_of_rows_without_numbers(spark, monkeypatch):
+    """Null ids, null turns and one turn number for all: segments hold a bounded number of rows all the same."""
+    monkeypatch.setattr(roles, "SEGMENT", 4)
+    monkeypatch.setattr(roles, "SUPER", 2)
+    rows = [(None, k, "user", f"n{k}") for k in range(30)] + [(1, None, "user" if k % 2 else "assistant", f"t{k:02d}") for k in range(30)]
+    rows += [(2, 7, "user", "same")] * 30
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = roles.repair(df).toPandas()
+    assert len(got) == 90 and got.groupby(["conv_id", "segment"], dropna=False).size().max() <= 4
+    for c in (None, 1, 2):
+        own = got[got.conv_id.isna() if c is None else got.conv_id == c].sort_values(["segment", "place"])
+        assert own.turn.tolist() == list(range(30)) if c is None else own.turn.isna().all() if c == 1 else set(own.turn) == {7}
+        assert abs(own.cost.sum() - cheapest(own.role)) < 1e-9
