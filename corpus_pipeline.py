@@ -50,8 +50,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: one row per draw; a document that a draw takes in part stays whole."""
-    return mixing.shards(mixing.mix(docs)).select(*COLUMNS)
+    """Operator 1: one row per draw, shard by shard and shuffled inside; a document that a draw takes in part stays whole."""
+    return mixing.in_shards(mixing.mix(docs)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,18 +60,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; without it, a folder of the SQL warehouse.
 
     Both are shared by the driver and all executors (HDFS / object store) and
-    survive executor loss; a machine-local temporary folder is never used.
+    survive executor loss.  A warehouse in a machine-local folder is taken in
+    local mode only: elsewhere other machines would not see it, so it raises.
     (The setting is static, so the fallback goes through the SparkContext.)
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        d = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        if is_machine_local(d) and not sc.master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share: {d} is local to one")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
+def is_machine_local(path: str) -> bool:
+    """A path without a scheme, or of the local file system."""
+    return "://" not in path and not path.startswith(("hdfs:", "s3:", "s3a:", "gs:", "abfs:", "abfss:")) or path.startswith("file:")
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A table location under the shared checkpoint folder."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
