@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "suffix_dedup", "mixing", "bpe"]
 
 
@@ -46,10 +46,13 @@ def test_oracle_sql(spark):
     import duckdb
     from rosterkit.llm.queries import ORACLE
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in ORACLE.items():
         df = REGISTRY[name](spark, SF)
-        assert sorted(map(tuple, df.collect())) == sorted(con.execute(sql).fetchall()), name
+        cur = con.execute(sql)
+        assert df.columns == [c[0] for c in cur.description], name
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(cur.fetchall(), key=repr), name
 
 
 def small_words(seed, n):
