@@ -102,6 +102,8 @@ class RunConfig:
     fy_cutoff: dt.date | None = None
     clock_format_change: dt.date = CLOCK_FORMAT_CHANGE
     total_label: str = TOTAL_LABEL
+    # people with more distinct deferrals or admissions than this are split over tasks; None: nobody is
+    fan_out_limit: int | None = 1024
     # parity switches for documented quirks
     blank_uses_proxies: bool = False
     dense_priority: bool = False

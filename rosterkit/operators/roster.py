@@ -146,10 +146,84 @@ def compliance_flags(df: DataFrame, as_of, rollover_month: int = 10, coming_days
 ROSTER_ORDER = dict(named=[ID, "PROVIDER_NAME"], suffixes=["_dt", "_date", "_service"], prefixes=["eligible"])
 
 
+BROADCAST_PEOPLE = 1_000_000   # more people of many rows than this join by shuffle
+
+
+def _admission_side(admissions: DataFrame) -> DataFrame:
+    return (admissions.where(F.col("medicaid_id").isNotNull())
+            .select(F.col("medicaid_id").alias(ID), "agency_admission_date").distinct())
+
+
+def people_of_many_rows(deferrals: DataFrame, admissions: DataFrame, limit: int) -> DataFrame | None:
+    """(id, _nd, _na): into how many parts the deferrals and admissions of a person are split, for people with more
+    than ``limit`` distinct ones of either; None when there are none.
+
+    A person's roster rows are the product of providers, deferrals and admissions.  One small job over the two
+    inputs (not the claims) finds the people whose product would be one long task.
+    """
+    parts = lambda d, name: d.groupBy(ID).agg(F.ceil(F.count(F.lit(1)) / limit).alias(name)).where(F.col(name) > 1)
+    one = F.lit(1).cast("long")
+    d, a = parts(_deferral_side(deferrals), "_nd"), parts(_admission_side(admissions), "_na")
+    both = d.select(ID, "_nd", one.alias("_na")).unionByName(a.select(ID, one.alias("_nd"), "_na"))
+    both = both.groupBy(ID).agg(F.max("_nd").alias("_nd"), F.max("_na").alias("_na")).checkpoint(eager=True)
+    return None if both.isEmpty() else both
+
+
+class _Spread:
+    """Salts that deal a person's product of deferrals and admissions to a grid of ``_nd`` x ``_na`` parts.
+
+    Without people of many rows every salt is 0 and no column is added.
+    """
+
+    def __init__(self, many: DataFrame | None):
+        self.many = None
+        if many is not None:
+            many = many.select(F.col(ID).alias("_many"), "_nd", "_na")
+            self.many = F.broadcast(many) if many.count() <= BROADCAST_PEOPLE else many
+        self.keys = [ID] if many is None else [ID, "_salt"]
+
+    def _salted(self, df: DataFrame, salts) -> DataFrame:
+        """``df`` with one row per salt of ``salts`` (an array over ``_nd``, ``_na``); people of few rows have salt 0."""
+        d = df.join(self.many, F.col(ID) == F.col("_many"), "left")
+        some = F.when(F.col("_many").isNull(), F.array(F.lit(0).cast("long"))).otherwise(salts)
+        return d.withColumn("_salt", F.explode(some)).drop("_many", "_nd", "_na")
+
+    def people(self, df: DataFrame) -> DataFrame:
+        """Each person's rows in every part of the grid."""
+        return df if self.many is None else self._salted(df, F.sequence(F.lit(0).cast("long"), F.col("_nd") * F.col("_na") - 1))
+
+    def deferrals(self, df: DataFrame) -> DataFrame:
+        """A deferral in its row of the grid."""
+        if self.many is None:
+            return df
+        own = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_nd")) * F.col("_na")
+        return self._salted(df, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_na") - 1), lambda j: own + j)).withColumn("_has_d", F.lit(True))
+
+    def admissions(self, df: DataFrame) -> DataFrame:
+        """An admission in its column of the grid."""
+        if self.many is None:
+            return df
+        own = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_na"))
+        return self._salted(df, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_nd") - 1), lambda i: i * F.col("_na") + own)).withColumn("_has_a", F.lit(True))
+
+    def whole(self, df: DataFrame) -> DataFrame:
+        """The joined rows, each once: a person of many rows has no empty part, so a part without a match is none of theirs.
+
+        A person split by one input only and without a row of the other keeps the row of the parts where the split one matched.
+        """
+        if self.many is None:
+            return df
+        d = df.join(self.many, F.col(ID) == F.col("_many"), "left")
+        kept = F.col("_many").isNull() | ((F.col("_has_d").isNotNull() | (F.col("_nd") == 1)) & (F.col("_has_a").isNotNull() | (F.col("_na") == 1)))
+        return d.where(kept).drop("_many", "_nd", "_na", "_has_d", "_has_a", "_salt")
+
+
 def build_roster(services: DataFrame, elig_attr: DataFrame, assessments: DataFrame, deferrals: DataFrame,
-                 admissions: DataFrame, cfg: RunConfig) -> DataFrame:
+                 admissions: DataFrame, cfg: RunConfig, many: DataFrame | None = None) -> DataFrame:
     """M9: one row per person x eligible provider x deferral x admission.
 
+    ``many``: the people whose rows are split over tasks (``people_of_many_rows``).
+
     ``services`` as returned by ``prep_services``; ``elig_attr`` by
     ``eligible_by_attributes``; ``assessments`` has ``mcaid_id`` and
     ``sis_completed_dt``; ``deferrals`` by ``prep_deferrals``; ``admissions``
@@ -157,11 +231,11 @@ def build_roster(services: DataFrame, elig_attr: DataFrame, assessments: DataFra
     """
     pairs = service_person_provider(services, cfg.procedure_codes, cfg.payer_codes)
     spine = person_spine(pairs, elig_attr, assessments)
-    return reorder(roster_rows(spine, deferrals, admissions, cfg), **ROSTER_ORDER)
+    return reorder(roster_rows(spine, deferrals, admissions, cfg, many=many), **ROSTER_ORDER)
 
 
 def roster_rows(spine: DataFrame, deferrals: DataFrame, admissions: DataFrame, cfg: RunConfig,
-                keep_all: bool = False) -> DataFrame:
+                keep_all: bool = False, many: DataFrame | None = None) -> DataFrame:
     """The roster from a person spine.
 
     ``keep_all=False``: the roster's filters drop rows.  ``keep_all=True``:
@@ -180,9 +254,11 @@ def roster_rows(spine: DataFrame, deferrals: DataFrame, admissions: DataFrame, c
     else:
         spine = spine.withColumn("_side", side)
         extra = ["_side", *extra]
-    r = (_explode_providers(spine)
-         .join(_deferral_side(deferrals), ID, "left")
-         .select(ID, "PROVIDER_NAME", "initial_service", "most_recent_service",
+    spread = _Spread(many)
+    salt = spread.keys[1:] + ["_has_d"] * (many is not None)
+    r = (_explode_providers(spread.people(spine))
+         .join(spread.deferrals(_deferral_side(deferrals)), spread.keys, "left")
+         .select(*salt, ID, "PROVIDER_NAME", "initial_service", "most_recent_service",
                  F.coalesce("eligible_svs", F.lit(False)).alias("eligible_svs"),
                  F.col("in_qi").alias("eligible_qi"),
                  "defer_date", F.coalesce("deferral", F.lit(False)).alias("deferral"), "deferral_active",
@@ -199,9 +275,7 @@ def roster_rows(spine: DataFrame, deferrals: DataFrame, admissions: DataFrame, c
     else:
         r = (r.withColumn("_in_roster", F.col("_side") & F.col("_kept") & in_roster & F.col(ID).isNotNull())
              .drop("_side", "_kept"))
-    adm = (admissions.where(F.col("medicaid_id").isNotNull())
-           .select(F.col("medicaid_id").alias(ID), "agency_admission_date").distinct())
-    r = r.join(adm, ID, "left")
+    r = spread.whole(r.join(spread.admissions(_admission_side(admissions)), spread.keys, "left"))
     return compliance_flags(due_date(r, cfg.due_floor), cfg.as_of, cfg.rollover_month, cfg.coming_days)
 
 

@@ -33,7 +33,7 @@ def row_priority(roster: DataFrame) -> DataFrame:
     return roster.withColumn("_rank", F.when(F.col("PROVIDER_NAME").isNotNull(), best))
 
 
-def worklist(roster: DataFrame, dense_priority: bool = False) -> DataFrame:
+def worklist(roster: DataFrame, dense_priority: bool = False, spread: bool = False) -> DataFrame:
     """Each person's highest-priority open issue, one row per roster row that has it.
 
     The original unpivots six flags into (field, value) rows, labels each,
@@ -44,12 +44,20 @@ def worklist(roster: DataFrame, dense_priority: bool = False) -> DataFrame:
     a window on the person key, which the roster is already partitioned by:
     no extra shuffle, and the roster is computed once.
 
+    ``spread=True`` is for rosters in which a person's rows are spread over
+    tasks: the minimum is an aggregate (map-side combined) joined back, and a
+    person's rows stay where they are or are split by the skew join.
+
     ``dense_priority=True`` numbers the ranks among the statuses present in
     the result (the original's factor levels) instead of the fixed 1..5.
     """
     rows = row_priority(roster).where(F.col("_rank").isNotNull())
-    kept = (rows.withColumn("_min", F.min("_rank").over(Window.partitionBy(ID)))
-            .where(F.col("_rank") == F.col("_min")))
+    if spread:
+        least = rows.groupBy(F.col(ID).alias("_wid")).agg(F.min("_rank").alias("_min"))
+        kept = rows.join(least, F.col(ID).eqNullSafe(F.col("_wid")) & (F.col("_rank") == F.col("_min")))
+    else:
+        kept = (rows.withColumn("_min", F.min("_rank").over(Window.partitionBy(ID)))
+                .where(F.col("_rank") == F.col("_min")))
     label = F.element_at(F.array(*[F.lit(s) for _, s, _ in _rank_candidates()]), F.col("_rank"))
     out = kept.select(*WORKLIST_COLUMNS, label.alias("status"), label.alias("priority"),
                       F.col("_rank").cast("int").alias("n_priority"))

@@ -101,10 +101,16 @@ class Run:
         return cohorts.latest_assessment(self.assessments)
 
     # -- roster and marts ----------------------------------------------------
+    @cached_property
+    def many(self) -> DataFrame | None:
+        """The people whose roster rows are split over tasks (one small job over deferrals and admissions), or None."""
+        limit = self.cfg.fan_out_limit
+        return None if limit is None else roster.people_of_many_rows(self.deferrals, self.admissions, limit)
+
     @cached_property
     def roster(self) -> DataFrame:
         return roster.build_roster(self.services, self.elig_qi, self.assessments, self.deferrals,
-                                   self.admissions, self.cfg)
+                                   self.admissions, self.cfg, self.many)
 
     def persist_roster(self) -> DataFrame:
         self.__dict__["roster"] = self.roster.persist()
@@ -130,7 +136,7 @@ class Run:
 
     @cached_property
     def worklist(self) -> DataFrame:
-        return worklist.worklist(self.roster, self.cfg.dense_priority)
+        return worklist.worklist(self.roster, self.cfg.dense_priority, spread=self.many is not None)
 
     @cached_property
     def summary(self) -> DataFrame:

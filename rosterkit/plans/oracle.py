@@ -482,6 +482,10 @@ FINAL = {
                         "due_in_fy FROM roster",
     "eligibility_flags": "SELECT MEDICAID_ID, PROVIDER_NAME, eligible_svs, eligible_qi, sis_eligible, "
                          "sis_complete_elig, sis_complete_inel, sis_complete_any FROM roster",
+    "select_prefixed": """SELECT MEDICAID_ID, PROVIDER_NAME, sis_completed_dt, sis_eligible, sis_complete_elig, sis_complete_inel, sis_complete_any,
+        sis_overdue, sis_coming90 FROM roster""",
+    "roster_spread": f"SELECT {ROSTER_COLS} FROM roster",
+    "worklist_spread": "SELECT * FROM worklist",
     "worklist": "SELECT * FROM worklist",
     "completion_summary": "SELECT * FROM summary",
     "worklist_split_files": "SELECT * FROM worklist",

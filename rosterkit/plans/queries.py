@@ -152,6 +152,12 @@ def q_incremental_services(spark, d):
                                           F.min("FROM_DATE").alias("first_service"), F.max("FROM_DATE").alias("last_service"))
 
 
+@query("select_prefixed")  # C10: the person, the provider and all columns of one prefix
+def q_select_prefixed(spark, d):
+    r = _run(spark, d).roster
+    return r.select(ID, "PROVIDER_NAME", *schema.select_prefixed(r, "sis_"))
+
+
 @query("encode_levels")  # C12: codes in the order of the values, from a dictionary table
 def q_encode_levels(spark, d):
     from ..operators import levels
@@ -272,6 +278,21 @@ def q_roster(spark, d):
     return _run(spark, d).roster
 
 
+@query("roster_spread")  # M9 with every person of over 16 deferrals or admissions split over tasks
+def q_roster_spread(spark, d):
+    return _spread_run(spark, d).roster
+
+
+@query("worklist_spread")  # M13 on that roster
+def q_worklist_spread(spark, d):
+    return _spread_run(spark, d).worklist
+
+
+def _spread_run(spark, d) -> Run:
+    from dataclasses import replace
+    return Run(spark, d, replace(_run(spark, d).cfg, fan_out_limit=16))
+
+
 @query("due_dates")  # M10
 def q_due_dates(spark, d):
     return _run(spark, d).roster.select(ID, "PROVIDER_NAME", "sis_completed_dt", "defer_date", "deferral_active",

@@ -8,6 +8,7 @@ cluster submit (spark-submit / spark-defaults) keeps its own values.
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -82,6 +83,30 @@ def is_machine_local(path: str) -> bool:
     return "://" not in path and not path.startswith(("hdfs:", "s3:", "s3a:", "gs:", "abfs:", "abfss:")) or path.startswith("file:")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
-    """A table location under the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    """A table location under the shared checkpoint folder; an enclosing ``scratch_scope`` deletes it."""
+    path = os.path.join(ensure_checkpoint_dir(spark), name)
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the intermediate tables that are made inside the block, when it ends.
+
+    Results are lazy and read these tables, so write or collect them inside the block.
+    Deletes through the file system that holds each table, so shared folders work too.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

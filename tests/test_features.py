@@ -186,3 +186,54 @@ def test_a_run_needs_one_kind_of_input(spark):
         Run(spark, SF_SMALL, inputs=inputs)
     with pytest.raises(ValueError, match="configuration"):
         Run(spark, inputs=inputs)
+
+
+# -- M9, M13 for one person of many rows --------------------------------------------------------------
+
+def test_a_person_of_many_rows_is_many_tasks(spark):
+    from rosterkit.config import RunConfig
+    from rosterkit.operators.roster import people_of_many_rows, roster_rows
+    from rosterkit.operators.worklist import worklist
+    day = dt.date(2010, 1, 1)
+    spine = spark.createDataFrame(
+        [(f"p{k}", True, True, k % 2 == 0, dt.date(2016, 5, 1) if k % 2 == 0 else None, [("A", day, day), ("B", day, day)][:1 + k % 2]) for k in range(8)],
+        f"{ID} string, in_svs boolean, in_qi boolean, has_sis boolean, sis_completed_dt date, "
+        "providers array<struct<PROVIDER_NAME: string, initial_service: date, most_recent_service: date>>")
+    # p0 has many of both, p1 many deferrals and no admission, p2 many admissions and no deferral, p3 few
+    d = [(p, day + dt.timedelta(days=k), True, k % 2 == 0) for p, n in (("p0", 70), ("p1", 90), ("p3", 2)) for k in range(n)]
+    a = [(p, day + dt.timedelta(days=k)) for p, n in (("p0", 50), ("p2", 80), ("p3", 3)) for k in range(n)]
+    deferrals = spark.createDataFrame(d + d[:20] + [(None, day, True, True)], f"{ID} string, defer_date date, deferral boolean, deferral_active boolean")
+    admissions = spark.createDataFrame(a + a[:20] + [(None, day)], "medicaid_id string, agency_admission_date date")
+    cfg = RunConfig(as_of=dt.date(2019, 1, 1), due_floor=dt.date(2012, 1, 1))
+    assert people_of_many_rows(deferrals, admissions, 100) is None
+    many = people_of_many_rows(deferrals, admissions, 8)
+    assert {x[ID]: (x._nd, x._na) for x in many.collect()} == {"p0": (9, 7), "p1": (12, 1), "p2": (1, 10)}
+    plain, spread = (roster_rows(spine, deferrals, admissions, cfg, many=m) for m in (None, many))
+    assert plain.columns == spread.columns and _rows(plain) == _rows(spread)
+    assert plain.where(f"{ID} = 'p0'").count() == 70 * 50
+    assert _rows(worklist(plain)) == _rows(worklist(spread, spread=True))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        tasks = [x.n for x in spread.where(f"{ID} = 'p0'").groupBy(F.spark_partition_id().alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(tasks) >= 6 and max(tasks) < 70 * 50 / 2
+
+
+# -- scratch tables and folders ------------------------------------------------------------------------
+
+def test_scratch_is_removed_with_its_scope(spark, tmp_path):
+    import os
+
+    from rosterkit.session import checkpoint_path, is_machine_local, scratch_scope
+    with scratch_scope(spark):
+        path = checkpoint_path(spark, "scope-test")
+        spark.range(5).write.parquet(path)
+        local = path.removeprefix("file:")
+        assert os.path.isdir(local) and spark.read.parquet(path).count() == 5
+    assert not os.path.exists(local)
+    outside = checkpoint_path(spark, "scope-test-kept")
+    spark.range(5).write.parquet(outside)
+    assert spark.read.parquet(outside).count() == 5
+    assert is_machine_local("file:/x") and is_machine_local("/x") and not is_machine_local("hdfs://n/x") and not is_machine_local("s3a://b/x")
