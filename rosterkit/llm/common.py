@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint_path
 
 # A word is a run of characters other than space, tab, LF, VT, FF and CR
 # (what ``bytes.split()`` cuts at in UTF-8 text).
@@ -73,8 +72,8 @@ def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"llm-{uuid.uuid4().hex}", name)
+    """A new path in the folder that ``spark.checkpoint.dir`` names; ``session.scratch_scope`` removes it."""
+    return checkpoint_path(spark, f"llm-{uuid.uuid4().hex}/{name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
