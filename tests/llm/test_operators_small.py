@@ -503,3 +503,29 @@ def test_role_repair_of_rows_without_numbers(spark, monkeypatch):
         own = got[got.conv_id.isna() if c is None else got.conv_id == c].sort_values(["segment", "place"])
         assert own.turn.tolist() == list(range(30)) if c is None else own.turn.isna().all() if c == 1 else set(own.turn) == {7}
         assert abs(own.cost.sum() - cheapest(own.role)) < 1e-9
+
+
+def test_the_penalty_lowers_false_positives_on_neutral_mentions(spark, monkeypatch):
+    """Toxic training texts name one group far more often; neutral texts that name it score lower with the penalty."""
+    r = random.Random(8)
+    plain = [f"word{k}" for k in range(60)]
+    say = lambda: " ".join(r.choice(plain) for _ in range(12))
+    rows, labels = [], []
+    for k in range(1200):
+        toxic = k % 2
+        named = r.random() < (0.8 if toxic else 0.05)
+        insult = toxic and r.random() < 0.7
+        other = plain[:1] if toxic else ["christian", "jewish", "hindu", plain[0]]   # other groups are named in harmless texts
+        rows.append((k, f"{say()} {'muslim' if named else r.choice(other)} {say()} {'vermin scum' if insult else say()}."))
+        labels.append((k, toxic))
+    neutral = [(10_000 + k, f"{say()} muslim {say()}.") for k in range(100)]
+    docs = spark.createDataFrame(rows + neutral, "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    mean = {}
+    for weight in (0.0, 1.0):
+        monkeypatch.setattr(toxicity, "FAIRNESS", weight)
+        s = {x.doc_id: x for x in toxicity.score(docs, toxicity.fit(docs, table)).collect()}
+        mean[weight] = sum(s[d].score for d, _ in neutral) / len(neutral), sum(s[d].predicted for d, _ in neutral)
+        insults = [d for d, t in rows if "vermin" in t]
+        assert sum(s[d].predicted for d in insults) > 0.9 * len(insults)
+    assert mean[1.0][0] < mean[0.0][0] - 0.05 and mean[1.0][1] <= mean[0.0][1]
