@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunks
-from .common import keep_clear, whole_text
+from .common import keep_clear, tidy, whole_text
 
 OUT = ["n_tokens", "ids", "decoded"]
 
@@ -125,7 +125,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                      pa.array([decode(ranks, x) for x in ids], pa.binary())],
                     names=[*part.schema.names, "n_tokens", "ids", "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

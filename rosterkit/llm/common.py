@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
 
+# the C library's call for it, where there is one
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 # A word is a run of characters other than space, tab, LF, VT, FF and CR
 # (what ``bytes.split()`` cuts at in UTF-8 text).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,5 +82,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return checkpoint_path(spark, f"llm-{uuid.uuid4().hex}/{name}")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is used again by tasks that need little."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(run):
+    """A function of a task's batches that gives freed memory back when the task ends."""
+    @wraps(run)
+    def task(batches):
+        yield from run(batches)
+        give_back()
+    return task
+
+
+def tidy_group(one):
+    """A function of a group (one table, or two that were grouped together) that gives freed memory back when it is done."""
+    def done(out: pa.Table) -> pa.Table:
+        give_back()
+        return out
+
+    if one.__code__.co_argcount == 1:
+        return lambda t: done(one(t))
+    return lambda left, right: done(one(left, right))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

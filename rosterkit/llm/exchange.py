@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy_group
 
 U64 = "<u8"
 REQUEST = "block long, part long, keys binary, counts binary"
@@ -62,7 +62,7 @@ def totals(asked: DataFrame) -> DataFrame:
         return pa.table({"block": t.column("block"), "part": t.column("part"),
                          "totals": pa.array([total[e - k:e].tobytes() for e, k in zip(ends, n)], pa.binary())})
 
-    return asked.groupBy("part").applyInArrow(add, REPLY)
+    return asked.groupBy("part").applyInArrow(tidy_group(add), REPLY)
 
 
 def ask_repeated(block: int, keys: np.ndarray, counts: np.ndarray, n_parts: int, width: int = 8) -> pa.RecordBatch:
@@ -93,7 +93,7 @@ def repeated(asked: DataFrame, width: int = 8) -> DataFrame:
         return pa.table({"block": t.column("block"), "part": t.column("part"),
                          "totals": pa.array([flag[e - len(x):e].tobytes() for e, x in zip(ends, raw)], pa.binary())})
 
-    return asked.groupBy("part").applyInArrow(add, REPLY)
+    return asked.groupBy("part").applyInArrow(tidy_group(add), REPLY)
 
 
 PAIR = np.dtype([("first", "<u8"), ("second", "<u4")])   # a key of 12 bytes, as it is sent
@@ -139,7 +139,7 @@ def repeated_pairs(asked: DataFrame) -> DataFrame:
         return pa.table({"block": t.column("block"), "part": t.column("part"),
                          "totals": pa.array([np.packbits(flag[e - len(x):e]).tobytes() for e, x in zip(ends, raw)], pa.binary())})
 
-    return asked.groupBy("part").applyInArrow(add, REPLY)
+    return asked.groupBy("part").applyInArrow(tidy_group(add), REPLY)
 
 
 def collect_pairs(t: pa.Table, keys: np.ndarray, n_parts: int) -> np.ndarray:

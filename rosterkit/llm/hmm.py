@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import cut, id_crc, whole_text
+from .common import cut, id_crc, tidy, tidy_group, whole_text
 
 STATES = 6
 FREQUENT = 16_384     # a frequent word is at least one in so many training tokens
@@ -108,7 +108,7 @@ def pack(docs: DataFrame) -> DataFrame:
                 start, size = end, 0
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), (id_crc() % 7 == 2).alias("held"))
-    return d.mapInArrow(run, BLOCK)
+    return d.mapInArrow(tidy(run), BLOCK)
 
 
 def _block_counts(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def _ask(packed: DataFrame, n_parts: int) -> DataFrame:
                     [*rows.columns, pa.array([classes[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())],
                     names=[*rows.schema.names, "shared"])
 
-    return packed.select("block", "held", "size", "codes", "keys", "shared").mapInArrow(run, exchange.REQUEST + ", shared binary")
+    return packed.select("block", "held", "size", "codes", "keys", "shared").mapInArrow(tidy(run), exchange.REQUEST + ", shared binary")
 
 
 def _vocabulary(asked: DataFrame, threshold: float) -> DataFrame:
@@ -166,7 +166,7 @@ def _vocabulary(asked: DataFrame, threshold: float) -> DataFrame:
             "class_n": pa.array([None] * size + [_zip(n)], pa.binary()),
             "class_v": pa.array([None] * size + [_zip(v)], pa.binary())})
 
-    return asked.groupBy("part").applyInArrow(add, exchange.REPLY + ", v long, own binary, own_n binary, class_n binary, class_v binary")
+    return asked.groupBy("part").applyInArrow(tidy_group(add), exchange.REPLY + ", v long, own binary, own_n binary, class_n binary, class_v binary")
 
 
 class Vocabulary:
@@ -228,7 +228,7 @@ def _sequences(packed: DataFrame, replies: DataFrame, vocabulary: Vocabulary, n_
                      known=pa.list_(pa.int32()), base=pa.list_(pa.float64()), inner=pa.list_(pa.float64()), classes=pa.binary())
         return pa.table({k: pa.array(x, kinds[k]) for k, x in out.items()})
 
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, SEQ)
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidy_group(one), SEQ)
 
 
 class Model:
@@ -355,9 +355,9 @@ def _pairs(seqs: DataFrame, groups: np.ndarray) -> np.ndarray:
             x += _unzip(v, "<i8")
         return pa.table({"range": t.column("range").slice(0, 1), "counts": pa.array([_zip(x)], pa.binary())})
 
-    got = seqs.select("held", "size", "classes").mapInArrow(run, "range long, counts binary")
+    got = seqs.select("held", "size", "classes").mapInArrow(tidy(run), "range long, counts binary")
     out = np.zeros((GROUPS * GROUPS // size, size), np.int64)
-    for r in got.groupBy("range").applyInArrow(add, "range long, counts binary").toLocalIterator():   # bounded: GROUPS x GROUPS
+    for r in got.groupBy("range").applyInArrow(tidy_group(add), "range long, counts binary").toLocalIterator():   # bounded: GROUPS x GROUPS
         out[r["range"]] = _unzip(r["counts"], "<i8")
     return out.reshape(GROUPS, GROUPS)
 
@@ -400,8 +400,8 @@ def _round(seqs: DataFrame, model: Model, shares: np.ndarray) -> Model:
         x = sum(np.frombuffer(v, "<f8") for v in t.column("counts").to_pylist())
         return pa.table({"range": t.column("range").slice(0, 1), "counts": pa.array([x.tobytes()], pa.binary())})
 
-    got = seqs.select("held", "size", "classes").mapInArrow(run, "range long, counts binary")
-    got = {r["range"]: np.frombuffer(r["counts"], "<f8") for r in got.groupBy("range").applyInArrow(add, "range long, counts binary").collect()}
+    got = seqs.select("held", "size", "classes").mapInArrow(tidy(run), "range long, counts binary")
+    got = {r["range"]: np.frombuffer(r["counts"], "<f8") for r in got.groupBy("range").applyInArrow(tidy_group(add), "range long, counts binary").collect()}
     states = len(model.start)
     if -1 not in got:
         return model
@@ -442,7 +442,7 @@ def score(seqs: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
                     "n_known": np.array(r["known"], dtype=np.int64), "train_tokens": np.full(len(sizes), n),
                     "base_score": r["base"], "score": s + np.array(r["inner"])}), preserve_index=False)
 
-    return seqs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+    return seqs.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                 "base_score double, score double")
 
 

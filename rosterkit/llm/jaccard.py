@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange, shingles
-from .common import cut, whole_text
+from .common import cut, tidy, tidy_group, whole_text
 
 WORDS = 5            # words in a shingle
 PERCENT = 80         # least similarity, in percent
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 start, size = end, 0
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return d.withColumn("tkey", F.xxhash64("text")).mapInArrow(run, PACKED)
+    return d.withColumn("tkey", F.xxhash64("text")).mapInArrow(tidy(run), PACKED)
 
 
 def _chosen(tokens: np.ndarray, kept: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def _requests(packed: DataFrame, n_parts: int) -> DataFrame:
                     keys, counts = np.unique(t, return_counts=True)
                     yield exchange.requests(r["block"], keys, counts, n_parts)
 
-    return packed.select("block", "kept", "chosen", "tokens").mapInArrow(run, exchange.REQUEST)
+    return packed.select("block", "kept", "chosen", "tokens").mapInArrow(tidy(run), exchange.REQUEST)
 
 
 def _entries(packed: DataFrame, replies: DataFrame, n_parts: int, percent: int) -> DataFrame:
@@ -156,7 +156,7 @@ def _entries(packed: DataFrame, replies: DataFrame, n_parts: int, percent: int)
         return pa.table({"token": cat("token", np.int64), "sig": pa.array(out["sig"], pa.binary()), "n": cat("n", np.int32),
                          "pos": cat("pos", np.int32), "level": cat("level", np.int32), "score": cat("score", np.float64)})
 
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, ENTRY)
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidy_group(one), ENTRY)
 
 
 def _by_bytes(b: pa.RecordBatch, *columns: str, size: int = 4_000_000):
@@ -182,7 +182,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     d = docs.select(whole_text().alias("text")).withColumn("tkey", F.xxhash64("text"))
     d = d.join(wanted.select("tkey"), "tkey", "left_semi").select("text").dropDuplicates(["text"])
-    return d.mapInArrow(run, "sig binary, shingles binary").join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    return d.mapInArrow(tidy(run), "sig binary, shingles binary").join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def _repack(sets: DataFrame, tokens: int = 500_000) -> DataFrame:
@@ -200,7 +200,7 @@ def _repack(sets: DataFrame, tokens: int = 500_000) -> DataFrame:
                     names=["block", "sig", "n", "kept", "chosen", "tokens"])
 
     return sets.select("sig", "shingles").mapInArrow(
-        run, "block long, sig array<binary>, n array<int>, kept array<int>, chosen array<int>, tokens binary")
+        tidy(run), "block long, sig array<binary>, n array<int>, kept array<int>, chosen array<int>, tokens binary")
 
 
 def _may_match(n: str, pos: str, level: str | None, other_n: str, other_pos: str, other_level: str | None, percent: int) -> Column:
@@ -227,7 +227,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     j = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), "a")
     j = j.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("sb")), "b")
-    return j.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, linked boolean")
+    return j.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a binary, b binary, linked boolean")
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

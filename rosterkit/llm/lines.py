@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import cut, whole_text
+from .common import cut, tidy, tidy_group, whole_text
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, min_chars: int) -> DataFrame:
                     names=["block", "doc_id", "n_lines", "n_long", "n_keys", "keys", "data"])
                 start, size = end, 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, BLOCK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(tidy(run), BLOCK)
 
 
 def _stream(texts: pa.Array) -> bytes:
@@ -158,7 +158,7 @@ def _ask(packed: DataFrame, n_shards: int) -> DataFrame:
                      pa.array([np.packbits(flags[i:j]).tobytes() for i, j in pieces], pa.binary())],
                     names=["shard", "block", "keys", "twice"])
 
-    return packed.select("block", "doc_id", "n_long", "keys").mapInArrow(run, ASK)
+    return packed.select("block", "doc_id", "n_long", "keys").mapInArrow(tidy(run), ASK)
 
 
 class TwoFilters:
@@ -200,7 +200,7 @@ def _suspect(asked: DataFrame) -> DataFrame:
         return pa.table({"block": t.column("block"), "shard": t.column("shard"),
                          "suspect": pa.array([np.packbits(filters.repeated(k)).tobytes() for k in keys], pa.binary())})
 
-    return asked.groupBy("shard").applyInArrow(one, REPLY)
+    return asked.groupBy("shard").applyInArrow(tidy_group(one), REPLY)
 
 
 def _candidates(packed: DataFrame, replies: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _candidates(packed: DataFrame, replies: DataFrame, n_shards: int, min_docs:
         return pa.table({k: pa.array(v) for k, v in cat.items()})
 
     small = packed.select("block", "doc_id", "n_long", "keys")
-    return small.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, SUSPECT)
+    return small.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidy_group(one), SUSPECT)
 
 
 def _drop(packed: DataFrame, verdicts: DataFrame, with_text: bool, min_chars: int) -> DataFrame:
@@ -260,7 +260,7 @@ def _drop(packed: DataFrame, verdicts: DataFrame, with_text: bool, min_chars: in
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.table({k: pa.array(out[k], t) for k, t in zip(NAMES, kinds)})
 
-    return packed.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(one, RESULT)
+    return packed.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(tidy_group(one), RESULT)
 
 
 NAMES = ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"]

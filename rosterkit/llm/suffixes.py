@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange, residues
-from .common import cut, keep_clear, whole_text
+from .common import cut, keep_clear, tidy, tidy_group, whole_text
 
 LENGTH = 400
 BLOCK_BYTES = 3_000_000
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, others: list[str]) -> DataFrame:
                     names=["block", "doc_id", "size", "hash", "data", "others"])
                 start, size = end, 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *others).mapInArrow(run, BLOCK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *others).mapInArrow(tidy(run), BLOCK)
 
 
 def _open(data: bytes) -> np.ndarray:
@@ -235,7 +235,7 @@ def _ask_samples(packed: DataFrame, n_parts: int, searches: list[tuple[int, str]
                         keys, counts = np.unique(units.at(at, length - v + 1), return_counts=True)
                         yield _shifted(exchange.ask_repeated(r["block"], keys, counts, n_parts, SAMPLE_WIDTH), k * n_parts)
 
-    return packed.mapInArrow(run, exchange.REQUEST)
+    return packed.mapInArrow(tidy(run), exchange.REQUEST)
 
 
 def _replies_of(t: pa.Table, k: int, n_parts: int) -> pa.Table:
@@ -260,7 +260,7 @@ def _copies(packed: DataFrame) -> DataFrame:
                     [pa.array([block] * len(places), pa.int64()), pa.array(list(places), pa.binary()), pa.array([len(p) for p in places.values()], pa.int64()),
                      pa.array([",".join(map(str, p)) for p in places.values()])], names=["block", "hash", "n", "places"])
 
-    d = packed.select("block", "hash").mapInArrow(run, "block long, hash binary, n long, places string")
+    d = packed.select("block", "hash").mapInArrow(tidy(run), "block long, hash binary, n long, places string")
     g = d.groupBy("hash").agg(F.sum("n").alias("m"), F.min("block").alias("first")).where("m > 1")
     d = d.join(g, "hash").withColumn("is_first", F.col("block") == F.col("first"))
     item = F.concat_ws(":", F.col("places"), F.col("is_first").cast("int").cast("string"))
@@ -335,7 +335,7 @@ def _settle(packed: DataFrame, replies: DataFrame, n_parts: int, searches: list[
                      starts=pa.list_(pa.binary()), data=pa.binary(), others=pa.binary())
         return pa.table({k: pa.array(x, kinds[k]) for k, x in rows.items()})
 
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, PENDING)
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidy_group(one), PENDING)
 
 
 def _runs(i: np.ndarray) -> np.ndarray:
@@ -367,7 +367,7 @@ def _ask_suffixes(pending: DataFrame, n_parts: int, searches: list[tuple[int, st
                         keys, _, counts = Units(x, _held(r), unit).distinct(at, length)
                         yield _shifted(exchange.ask_repeated_pairs(r["block"], keys, counts, n_parts), k * n_parts)
 
-    return pending.select("block", "size", "held", "starts", "data").mapInArrow(run, exchange.REQUEST)
+    return pending.select("block", "size", "held", "starts", "data").mapInArrow(tidy(run), exchange.REQUEST)
 
 
 def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, searches: list[tuple[int, str]], with_text: bool,
@@ -427,7 +427,7 @@ def _remove(pending: DataFrame, replies: DataFrame, n_parts: int, searches: list
     per_search = ", ".join(f"n_units{k} long, n_spans{k} long" for k in range(len(searches)))
     own = T.StructType.fromDDL(RESULT + ", " + per_search)
     names = own.names
-    return pending.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(one, T.StructType([*own.fields, *others.fields]))
+    return pending.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidy_group(one), T.StructType([*own.fields, *others.fields]))
 
 
 def _search(docs: DataFrame, searches: list[tuple[int, str]], with_text: bool, others: list[str]) -> DataFrame:

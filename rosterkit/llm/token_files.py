@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from . import chunks
 from .bpe import byte_characters
-from .common import scratch, whole_text
+from .common import scratch, tidy, whole_text
 
 END_ID = 2
 ORC = {
@@ -99,7 +99,7 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = END_ID)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("_t", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_t").asc()]
     d = d.repartitionByRange(*order).sortWithinPartitions(*order)
-    return d.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return d.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def write(encoded: DataFrame, path: str) -> str:
@@ -128,7 +128,7 @@ def digests(files: DataFrame) -> DataFrame:
     # part files are numbered with at least five digits: the number orders them, not the name
     files = files.withColumn("file", F.struct(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("number"), F.col("file").alias("name")))
     d = files.select("doc_id", "file", "row", "ids").mapInArrow(
-        run, "doc_id long, file struct<number: long, name: string>, row long, n_tokens long, ids_crc32 long")
+        tidy(run), "doc_id long, file struct<number: long, name: string>, row long, n_tokens long, ids_crc32 long")
     d = d.withColumn("_in", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens"))
     per = files.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
     per = per.select(F.col("file").alias("_file"), (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_base"))

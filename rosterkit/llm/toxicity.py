@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, id_crc, keep_clear, whole_text
+from .common import cut, id_crc, keep_clear, tidy, whole_text
 
 MAX_ROWS = 10_000     # sampled training texts of each class
 MAX_WORDS = 20_000
@@ -110,7 +110,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[0][w] for w in words], pa.int64()),
                                               pa.array([counts[1][w] for w in words], pa.int64())], names=["word", "n0", "n1"])
 
-    d = sample.select("text", "toxic").mapInArrow(run, "word binary, n0 long, n1 long")
+    d = sample.select("text", "toxic").mapInArrow(tidy(run), "word binary, n0 long, n1 long")
     return d.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -126,7 +126,7 @@ def _features(sample: DataFrame, index: dict[bytes, int]) -> DataFrame:
                  pa.array([[x for o, i in swaps(t) for x in [*[-1 - k for k in at(o)], *at(i), 1 << 30]] for t in texts], pa.list_(pa.int32()))],
                 names=["doc_id", "toxic", "places", "swaps"])
 
-    return sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, places array<int>, swaps array<int>")
+    return sample.select("doc_id", "text", "toxic").mapInArrow(tidy(run), "doc_id long, toxic int, places array<int>, swaps array<int>")
 
 
 def _optimise(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, pair: np.ndarray, place: np.ndarray, sign: np.ndarray,
@@ -197,4 +197,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
                                              names=[*b.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
