@@ -52,7 +52,7 @@ SHARED = 4_096        # classes of the other words
 ROUNDS = 2            # Baum-Welch rounds over all training texts
 GROUPS = 2_048        # groups of classes whose pairs are counted for the first parameters
 ALONE = 2_000         # of these, for the most frequent classes, one each
-START_ROUNDS = 60
+START_ROUNDS = 150
 PRIOR = 0.5           # pseudo-tokens per state, spread like the classes' overall shares
 BLOCK_CHARS = 4_000_000
 BATCH_TOKENS = 400_000
@@ -367,8 +367,9 @@ def first_model(pairs: np.ndarray, shares: np.ndarray, groups: np.ndarray, state
     share = np.bincount(groups, weights=shares, minlength=len(pairs))
     model = Model.first(share, states, seed)
     emit, both = model.emit, model.start[:, None] * model.move
+    pairs = pairs.astype(np.float32)
     for _ in range(START_ROUNDS if pairs.any() else 0):
-        r = pairs / np.maximum(emit @ both @ emit.T, 1e-300)
+        r = pairs / np.maximum((emit @ both).astype(np.float32) @ emit.T.astype(np.float32), 1e-30)
         first, second = emit * (r @ emit @ both.T), emit * (r.T @ emit @ both)
         both = both * (emit.T @ r @ emit) + 0.1
         both /= both.sum()
