@@ -16,13 +16,16 @@ from pyspark.sql.window import Window
 from .common import cut
 
 
-def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+def in_order(df: DataFrame, order: list[str], ties: bool = True) -> DataFrame:
     """Range partitions, each sorted, of the ascending order (nulls first) of some columns.
 
-    Rows that are equal in all of them are spread by their place in the input, so
-    ``df`` is a table or made from one row by row.
+    Rows that are equal in all of them (``ties``) are spread by their place in the input, so ``df`` then is a table
+    or made from one row by row, which a lost task reads again in the same order.
     """
-    keys = [*[F.col(c).asc_nulls_first() for c in order], F.col("_tie")]
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    if not ties:
+        return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys.append(F.col("_tie"))
     return df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
 
 
@@ -32,14 +35,14 @@ def offsets(parts: DataFrame, value: str) -> DataFrame:
     return parts.select("_pid", (total.over(Window.orderBy("_pid")) - F.col(value).cast("decimal(38,0)")).alias("before"))
 
 
-def numbered(df: DataFrame, order: list[str], row: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], row: str, name: str, ties: bool = True) -> DataFrame:
     """The rows with ``row``: their place, from 0, in ascending order of some columns; cut into the shared folder.
 
     A partition's first number is the count of the rows before it; these counts
     are a table of one row per partition, the bound of its broadcast.
     """
     pid = F.spark_partition_id()
-    d = in_order(df, order).withColumn("_pid", pid).withColumn(
+    d = in_order(df, order, ties).withColumn("_pid", pid).withColumn(
         "_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
     d = cut(d, name)
     before = offsets(d.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")), "n")

@@ -111,7 +111,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("c"), b.column("d"), b.column("n_bytes"), pa.array(np.full(len(d), pid, np.int64)), *cols],
                                              names=["c", "d", "n_bytes", "_pid", "u1", "s1", "u2", "s2"])
 
-    d = in_order(turns, ["c", "d"]).select("c", "d", "n_bytes", "t1", "t2")
+    d = in_order(turns, ["c", "d"], ties=False).select("c", "d", "n_bytes", "t1", "t2")
     d = cut(d.mapInArrow(run, "c long, d long, n_bytes long, _pid long, u1 long, s1 long, u2 long, s2 long"), "sums")
     for k in "12":
         parts = d.groupBy("_pid").agg((F.sum(F.col("u" + k).cast("decimal(38,0)")) % PRIME).cast("long").alias("n"))
@@ -134,7 +134,7 @@ def ranks(names: DataFrame, conversations: DataFrame) -> DataFrame:
     keys = conversations.join(keys.withColumnRenamed("c", "_c"), F.col("c").eqNullSafe(F.col("_c")), "left")
     empty = F.array().cast("array<struct<depth: bigint, p1: bigint, p2: bigint>>")
     keys = keys.select("c", "length", F.coalesce("forks", empty).alias("forks"))
-    return numbered(keys, ["forks", "length", "c"], "rank", "ranks").select("c", "length", "rank")
+    return numbered(keys, ["forks", "length", "c"], "rank", "ranks", ties=False).select("c", "length", "rank")
 
 
 # -- nodes and shards ---------------------------------------------------------------
@@ -343,7 +343,7 @@ def prefix_trie(conversations: DataFrame, group: int = 5, most: int = 9, shard_n
         zero.alias("depth"), zero.alias("p1"), zero.alias("p2"), F.lit(-1).cast("long").alias("first"), "conv_id", "n_convs",
         zero.alias("n_bytes"), F.lit(None).cast("long").alias("q1"), F.lit(None).cast("long").alias("q2"))
     nodes = nodes.unionByName(root).withColumn("own", (F.col("n_convs") - 1) * F.col("n_bytes"))
-    nodes = numbered(nodes, ["first", "depth"], "place", "nodes").withColumn("shard", F.floor(F.col("place") / shard_nodes))
+    nodes = numbered(nodes, ["first", "depth"], "place", "nodes", ties=False).withColumn("shard", F.floor(F.col("place") / shard_nodes))
     found = _subtrees(nodes)
     above = (F.col("depth") - 1).alias("depth")
     children = nodes.where("depth > 0").groupBy(above, F.col("q1").alias("p1"), F.col("q2").alias("p2")).agg(F.count(F.lit(1)).alias("n_children"))
