@@ -44,13 +44,19 @@ def test_every_query_has_an_oracle():
     assert set(REGISTRY) <= set(E.oracle_sql()) <= set(E.queries())
 
 
+# queries that may have no row on the smallest data (on sf0.01 none is empty)
+MAY_BE_EMPTY = {"reconcile_missing"}
+
+
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     cur = duck.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
-    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, cur.fetchall())
+    rows = [tuple(r) for r in df.collect()]
+    assert _rows(df.columns, rows) == _rows(dcols, cur.fetchall())
+    assert name in MAY_BE_EMPTY or any(v is not None for r in rows for v in r)
 
 
 def test_entry_runs(spark):
