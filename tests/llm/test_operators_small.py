@@ -34,6 +34,11 @@ def empty(spark):
     return spark.createDataFrame([], brute.DOCS)
 
 
+@pytest.fixture(autouse=True)
+def few_starting_rounds(monkeypatch):
+    monkeypatch.setattr(hmm, "START_ROUNDS", 20)   # enough for small tables
+
+
 def rows_of(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=repr)
 
