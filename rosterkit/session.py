@@ -83,6 +83,16 @@ def is_machine_local(path: str) -> bool:
     return "://" not in path and not path.startswith(("hdfs:", "s3:", "s3a:", "gs:", "abfs:", "abfss:")) or path.startswith("file:")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000   # rows with whole texts: a task's batch then is a few MB
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of BATCH_ROWS, unless the cluster or the session has its own number."""
+    if not spark.sparkContext.getConf().contains(BATCH) and spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 _SCOPES: list[list[str]] = []
 
 
