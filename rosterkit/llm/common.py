@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_path
+from ..session import bounded_batches, checkpoint_path
 
 # the C library's call for it, where there is one
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -72,6 +72,7 @@ def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     what is above it.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = path or scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -110,4 +111,5 @@ def tidy_group(one):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
