@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from functools import wraps
 
@@ -78,6 +79,12 @@ def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_exchanges(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referenced (it does so when the driver collects garbage)."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names; ``session.scratch_scope`` removes it."""
     return checkpoint_path(spark, f"llm-{uuid.uuid4().hex}/{name}")

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange, residues
-from .common import cut, keep_clear, tidy, tidy_group, whole_text
+from .common import cut, free_exchanges, keep_clear, tidy, tidy_group, whole_text
 
 LENGTH = 400
 BLOCK_BYTES = 3_000_000
@@ -260,7 +260,7 @@ def _copies(packed: DataFrame) -> DataFrame:
                     [pa.array([block] * len(places), pa.int64()), pa.array(list(places), pa.binary()), pa.array([len(p) for p in places.values()], pa.int64()),
                      pa.array([",".join(map(str, p)) for p in places.values()])], names=["block", "hash", "n", "places"])
 
-    d = packed.select("block", "hash").mapInArrow(tidy(run), "block long, hash binary, n long, places string")
+    d = packed.mapInArrow(tidy(run), "block long, hash binary, n long, places string")
     g = d.groupBy("hash").agg(F.sum("n").alias("m"), F.min("block").alias("first")).where("m > 1")
     d = d.join(g, "hash").withColumn("is_first", F.col("block") == F.col("first"))
     item = F.concat_ws(":", F.col("places"), F.col("is_first").cast("int").cast("string"))
@@ -441,6 +441,8 @@ def _search(docs: DataFrame, searches: list[tuple[int, str]], with_text: bool, o
     packed = pack(docs, carried.columns).repartition(n, "block")
     replies = exchange.repeated(_ask_samples(packed, n_parts, searches), SAMPLE_WIDTH).unionByName(_copies(packed))
     pending = cut(_settle(packed, replies, n_parts, searches, with_text), "pending")
+    del packed, replies
+    free_exchanges(pending.sparkSession)   # the texts go on in ``pending``, the samples are done with
     ties = exchange.repeated_pairs(_ask_suffixes(pending, n_parts, searches))
     return _remove(pending, ties, n_parts, searches, with_text, carried.schema)
 
