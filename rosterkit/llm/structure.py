@@ -186,7 +186,9 @@ def faults(rows: DataFrame) -> DataFrame:
 
 
 def _sorted(df: DataFrame, by: list[str], within: list[str]) -> DataFrame:
-    return df.repartition(*by).sortWithinPartitions(*by, *within)
+    # a fixed number of partitions: parsing costs far more than the few bytes of a row, by which partitions would be merged
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *by).sortWithinPartitions(*by, *within)
 
 
 SUMMARY = ("c string, seg long, n_blank long, n_duplicate long, n_truncated long, n_illegal long, head string, tail string, "
