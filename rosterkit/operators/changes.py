@@ -35,8 +35,9 @@ def row_changes(before: DataFrame, after: DataFrame, key: Sequence[str] = WORKLI
     keys = [f"_k{i}" for i in range(len(key))]
     was, now = F.col("_sign") < 0, F.col("_sign") > 0
     # equal rows first become one, so that a key's list holds distinct contents only
-    rows = side(before, -1).unionByName(side(after, 1)).groupBy(*keys, "_h1", "_h2").agg(
-        F.min("_state").alias("_state"), F.count_if(was).alias("_was"), F.count_if(now).alias("_now"))
+    # (equal contents have equal states: as a key the state needs no minimum of strings, which would sort the rows)
+    rows = side(before, -1).unionByName(side(after, 1)).groupBy(*keys, "_state", "_h1", "_h2").agg(
+        F.count_if(was).alias("_was"), F.count_if(now).alias("_now"))
     states = lambda n: F.array_join(F.sort_array(F.collect_set(F.when(F.col(n) > 0, F.coalesce("_state", F.lit("")))))  , ",")
     per = rows.groupBy(*keys).agg(
         F.sum("_was").alias("n_before"), F.sum("_now").alias("n_after"), F.bool_or(F.col("_was") != F.col("_now")).alias("_differs"),
