@@ -53,6 +53,7 @@ from .common import cut, free_exchanges, keep_clear, tidy, tidy_group, whole_tex
 
 LENGTH = 400
 BLOCK_BYTES = 3_000_000
+WORD_BLOCK_BYTES = 1_500_000   # words take arrays for their bytes and for themselves
 SAMPLE_WIDTH = 5   # bytes of a sample's name that are sent; a false tie only sends a suffix to the buckets
 PLAIN, COPY, OPEN, COPY_OPEN = 0, 1, 2, 3
 BLOCK = "block long, doc_id array<long>, size array<int>, hash array<binary>, data binary, others binary"
@@ -94,7 +95,10 @@ class Windows:
 
     def __init__(self, x: np.ndarray):
         p, self.inverse = _powers(len(x) + 1)
-        self.h = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_TABLE[x] if x.dtype == np.uint8 else x) * p[:len(x)])])
+        terms = _TABLE[x] if x.dtype == np.uint8 else x.copy()
+        terms *= p[:len(x)]
+        self.h = np.zeros(len(x) + 1, np.uint64)   # summed in place: a block's arrays are eight times its bytes each
+        np.cumsum(terms, out=self.h[1:])
 
     def at(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         k = (self.h[start + length] - self.h[start]) * self.inverse[start]
@@ -179,8 +183,8 @@ def _rows(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(_open(data).tobytes()).read_all()
 
 
-def pack(docs: DataFrame, others: list[str]) -> DataFrame:
-    """One row per block of about BLOCK_BYTES: ids, sizes, hashes, the compressed bytes of its texts and its ``others``."""
+def pack(docs: DataFrame, others: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block of about ``block_bytes``: ids, sizes, hashes, the compressed bytes of its texts and its ``others``."""
 
     def run(batches):
         ids, zip_ = exchange.block_ids(), zstandard.ZstdCompressor(level=1)
@@ -189,7 +193,7 @@ def pack(docs: DataFrame, others: list[str]) -> DataFrame:
             start, size = 0, 0
             for end in range(1, len(texts) + 1):
                 size += len(texts[end - 1])
-                if size < BLOCK_BYTES and end < len(texts):
+                if size < block_bytes and end < len(texts):
                     continue
                 own = texts[start:end]
                 yield pa.RecordBatch.from_arrays(
@@ -438,7 +442,8 @@ def _search(docs: DataFrame, searches: list[tuple[int, str]], with_text: bool, o
     carried = keep_clear(docs.select(*[F.col(f"`{c}`") for c in others]), taken)
     docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(others, carried.columns)])
     # all uses below read whole rows of the exchange, so that Spark reuses it
-    packed = pack(docs, carried.columns).repartition(n, "block")
+    size = WORD_BLOCK_BYTES if any(unit == "words" for _, unit in searches) else BLOCK_BYTES
+    packed = pack(docs, carried.columns, size).repartition(n, "block")
     replies = exchange.repeated(_ask_samples(packed, n_parts, searches), SAMPLE_WIDTH).unionByName(_copies(packed))
     pending = cut(_settle(packed, replies, n_parts, searches, with_text), "pending")
     del packed, replies
