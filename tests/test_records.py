@@ -118,6 +118,12 @@ def test_types_over_all_files(spark, tmp_path):
         files.read_many(spark, paths, types="guess")
 
 
+def test_missing_values_break_no_type(spark):
+    from rosterkit.sources.types import infer_types
+    df = spark.createDataFrame([("1", "2017-01-31", "T", None), (None, None, None, None)], "i string, day string, l string, e string")
+    assert infer_types(df) == {"i": "integer", "day": "date", "l": "logical", "e": "empty"}
+
+
 def test_types_merge_as_a_lattice():
     kinds = ["empty", "logical", "integer", "double", "date", "text"]
     for a in kinds:
