@@ -40,6 +40,7 @@ unchanged with their row when asked for (``others``), clashing ones as ``<name>_
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange, residues
-from .common import cut, free_exchanges, keep_clear, tidy, tidy_group, whole_text
+from .common import cut, keep_clear, tidy, tidy_group, whole_text
 
 LENGTH = 400
 BLOCK_BYTES = 3_000_000
@@ -360,16 +361,17 @@ def _held(r: dict) -> np.ndarray:
     return np.array([n for n, h in zip(r["size"], r["held"]) if h], dtype=np.int64)
 
 
-def _ask_suffixes(pending: DataFrame, n_parts: int, searches: list[tuple[int, str]]) -> DataFrame:
+def _ask_suffixes(pending: DataFrame, n_parts: int, searches: list[tuple[int, str]], k: int) -> DataFrame:
+    """Request rows of the k-th search."""
+    length, unit = searches[k]
+
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                x = _open(r["data"])
-                for k, (length, unit) in enumerate(searches):
-                    at = _starts(r["starts"][k])
-                    if len(at):
-                        keys, _, counts = Units(x, _held(r), unit).distinct(at, length)
-                        yield _shifted(exchange.ask_repeated_pairs(r["block"], keys, counts, n_parts), k * n_parts)
+                at = _starts(r["starts"][k])
+                if len(at):
+                    keys, _, counts = Units(_open(r["data"]), _held(r), unit).distinct(at, length)
+                    yield _shifted(exchange.ask_repeated_pairs(r["block"], keys, counts, n_parts), k * n_parts)
 
     return pending.select("block", "size", "held", "starts", "data").mapInArrow(tidy(run), exchange.REQUEST)
 
@@ -446,9 +448,9 @@ def _search(docs: DataFrame, searches: list[tuple[int, str]], with_text: bool, o
     packed = pack(docs, carried.columns, size).repartition(n, "block")
     replies = exchange.repeated(_ask_samples(packed, n_parts, searches), SAMPLE_WIDTH).unionByName(_copies(packed))
     pending = cut(_settle(packed, replies, n_parts, searches, with_text), "pending")
-    del packed, replies
-    free_exchanges(pending.sparkSession)   # the texts go on in ``pending``, the samples are done with
-    ties = exchange.repeated_pairs(_ask_suffixes(pending, n_parts, searches))
+    # one search after the other: the names it sent are gone before the next one sends its own
+    ties = [cut(exchange.repeated_pairs(_ask_suffixes(pending, n_parts, searches, k)), f"ties{k}") for k in range(len(searches))]
+    ties = reduce(DataFrame.unionByName, ties)
     return _remove(pending, ties, n_parts, searches, with_text, carried.schema)
 
 
