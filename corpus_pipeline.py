@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterkit.llm import bpe, jaccard, mixing, suffixes, toxicity
-from rosterkit.llm.common import cut, table, whole_text
+from rosterkit.llm.common import cut, scratch, table, whole_text
+from rosterkit.session import scratch_scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # The pipeline removes passages of over 50 words that also start elsewhere, whatever their length in bytes.
@@ -33,7 +34,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     is on rows, not on ids.  Documents without a word are linked with nothing and stay.  Of rows with the same
     id and the same text, the one with the least (lang, source, n_chars) stays.
     """
-    stay = jaccard.survivors(docs, words=5, percent=80).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"))
+    path = scratch(spark, "survivors")
+    with scratch_scope(spark):   # only the survivors are read once they are known
+        stay = cut(jaccard.survivors(docs, words=5, percent=80).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")), "survivors", path)
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (F.xxhash64(whole_text()) == stay["_tkey"]), "left_semi")
     kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
     return kept.select("doc_id", "text", "row.lang", "row.source", "row.n_chars").select(*COLUMNS)
