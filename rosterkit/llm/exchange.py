@@ -35,10 +35,25 @@ def parts_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
     return ((keys >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
 
 
+def by_part(part: np.ndarray) -> np.ndarray:
+    """The order of ascending keys by part of the key space and key: a stable sort of the parts alone (16 bits are sorted by digits)."""
+    return np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+
+
+def pairs_in_order(keys: np.ndarray) -> np.ndarray:
+    """The order of keys of two words each; the second words are looked at only if equal first ones have different second ones."""
+    first, second = np.ascontiguousarray(keys[:, 0]), keys[:, 1]
+    order = np.argsort(first)
+    same = first[order[1:]] == first[order[:-1]]
+    if (second[order[1:]] != second[order[:-1]])[same].any():
+        order = np.lexsort((second, first))
+    return order
+
+
 def requests(block: int, keys: np.ndarray, counts: np.ndarray, n_parts: int) -> pa.RecordBatch:
     """The request rows of a block; ``keys`` distinct."""
     part = parts_of(keys, n_parts)
-    order = np.lexsort((keys, part))
+    order = by_part(part) if (keys[1:] > keys[:-1]).all() else np.lexsort((keys, part))
     keys, counts, part = keys[order].astype(U64), counts[order].astype("<u4"), part[order]
     own, first = np.unique(part, return_index=True)
     cuts = [*first.tolist(), len(keys)]
@@ -83,7 +98,7 @@ def repeated(asked: DataFrame, width: int = 8) -> DataFrame:
         wide[:, :width] = np.concatenate(raw)
         keys = wide.reshape(-1).view(U64)
         more = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8) > 1
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)   # any order of equal keys will do
         same = keys[order[1:]] == keys[order[:-1]]
         flag = np.zeros(len(keys), np.uint8)
         flag[order[1:][same]] = 1
@@ -108,7 +123,9 @@ def _packed_pairs(keys: np.ndarray) -> np.ndarray:
 def pair_order(keys: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of distinct keys (64 and 32 bits) by part of the key space and key, and their parts."""
     part = parts_of(keys[:, 0], n_parts)
-    return np.lexsort((keys[:, 1], keys[:, 0], part)), part
+    first, second = keys[:, 0], keys[:, 1]
+    ascending = ((first[1:] > first[:-1]) | ((first[1:] == first[:-1]) & (second[1:] > second[:-1]))).all()
+    return by_part(part) if ascending else np.lexsort((second, first, part)), part
 
 
 def ask_repeated_pairs(block: int, keys: np.ndarray, counts: np.ndarray, n_parts: int) -> pa.RecordBatch:
@@ -131,8 +148,9 @@ def repeated_pairs(asked: DataFrame) -> DataFrame:
         raw = [np.frombuffer(x, PAIR) for x in t.column("keys").to_pylist()]
         keys = np.concatenate(raw)
         flag = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=len(k)) for c, k in zip(t.column("counts").to_pylist(), raw)])
-        order = np.lexsort((keys["second"], keys["first"]))
-        same = keys[order[1:]] == keys[order[:-1]]
+        wide = np.stack([keys["first"], keys["second"].astype(U64)], axis=1)
+        order = pairs_in_order(wide)
+        same = (wide[order[1:]] == wide[order[:-1]]).all(axis=1)
         flag[order[1:][same]] = 1
         flag[order[:-1][same]] = 1
         ends = np.cumsum([len(x) for x in raw])
@@ -155,7 +173,7 @@ def collect_pairs(t: pa.Table, keys: np.ndarray, n_parts: int) -> np.ndarray:
 def collect_replies(t: pa.Table, keys: np.ndarray, n_parts: int, kind: str = "<u4") -> np.ndarray:
     """The totals (``repeated``: flags, kind u1) of a block's ``keys`` (distinct, any order) from its reply rows."""
     part = parts_of(keys, n_parts)
-    order = np.lexsort((keys, part))
+    order = by_part(part) if (keys[1:] > keys[:-1]).all() else np.lexsort((keys, part))
     rows = sorted(zip(t.column("part").to_pylist(), t.column("totals").to_pylist()))
     got = np.frombuffer(b"".join(x for _, x in rows), kind)
     out = np.zeros(len(keys), dtype=np.int64)

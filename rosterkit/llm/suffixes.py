@@ -162,7 +162,7 @@ class Units:
         """Distinct names of windows, each window's place among them, and how often each occurs."""
         self._windows = self._windows or Windows(self._x)
         names = Names(self._x, self._windows).at(start, length)
-        order = np.lexsort((names[:, 1], names[:, 0]))
+        order = exchange.pairs_in_order(names)
         new = np.append(True, (names[order[1:]] != names[order[:-1]]).any(axis=1))
         inverse = np.empty(len(start), np.int64)
         inverse[order] = np.cumsum(new) - 1
